@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, near_dup
 
-MODULES = (mixing,)
+MODULES = (mixing, near_dup)
 
 
 def queries() -> dict:
