@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup
+from . import mixing, near_dup, token_file
 
-MODULES = (mixing, near_dup)
+MODULES = (mixing, near_dup, token_file)
 
 
 def queries() -> dict:
