@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, token_file
+from . import mixing, near_dup, quality, token_file
 
-MODULES = (mixing, near_dup, token_file)
+MODULES = (mixing, near_dup, token_file, quality)
 
 
 def queries() -> dict:
