@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, quality, token_file
+from . import decontaminate, mixing, near_dup, pii, quality, token_file
 
-MODULES = (mixing, near_dup, token_file, quality)
+MODULES = (mixing, near_dup, token_file, quality, decontaminate, pii)
 
 
 def queries() -> dict:
