@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dup, pii, quality, token_file
+from . import decontaminate, mixing, near_dup, pii, quality, repetition, token_file
 
-MODULES = (mixing, near_dup, token_file, quality, decontaminate, pii)
+MODULES = (mixing, near_dup, token_file, quality, decontaminate, pii, repetition)
 
 
 def queries() -> dict:
