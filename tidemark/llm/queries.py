@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dup, pii, quality, repetition, token_file
+from . import decontaminate, mixing, near_dup, pii, preference, quality, repetition, site_lines, token_file, unigram
 
-MODULES = (mixing, near_dup, token_file, quality, decontaminate, pii, repetition)
+MODULES = (mixing, near_dup, token_file, quality, decontaminate, pii, repetition, site_lines, unigram, preference)
 
 
 def queries() -> dict:
