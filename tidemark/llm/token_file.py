@@ -30,46 +30,78 @@ END = 0
 SCHEMA = "part int, segment int, n_tokens long, doc_ids binary, lengths binary, frequencies binary, blocks array<binary>"
 
 
+def _byte_characters() -> str:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is printable in Latin-1, the
+    others in order from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
 class Tokens(dict):
-    """Token ids (little-endian uint16 bytes) of the pieces of text between which the tokenizer always splits.
+    """Token ids (little-endian uint16 bytes) of words with a space in front.
 
-    Its pattern never joins a space that follows something else than white space to what stands before it, so a text
-    cut before such spaces is encoded piece by piece. Pieces come again and again: each is encoded once, until so many
-    are known that the table starts anew.
+    The tokenizer's pattern never joins a space that follows something else than white space to what stands before it,
+    so a text cut before such spaces is encoded word by word, and a word again by the pieces that its pattern makes.
+    Both come again and again: each is encoded once, by the library's model, until so many are known that the table
+    starts anew. Words with letters beyond Latin go through the library's whole encoder.
     """
 
-    LIMIT = 600_000
+    LIMIT = 700_000
     _odd = re.compile(r"\s ")
     _cut = re.compile(r"(?<=\S) ")
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def pieces(self, text: str) -> list[str]:
-        return self._cut.split(text) if self._odd.search(text) or text[:1] == " " else text.split(" ")
+        self.model = self.tokenizer.model
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.characters = _byte_characters()
+        self.piece_ids: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        return self._cut.split(text) if text[:1] == " " or self._odd.search(text) else text.split(" ")
+
+    def ids(self, text: str) -> bytes:
+        """Of a short text, from the model and the table of pieces."""
+        if max(text) >= "\u0250":
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        known, out = self.piece_ids, []
+        for piece in self.pattern.findall(text):
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) >= self.LIMIT:
+                    known.clear()
+                found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+                known[piece] = ids = struct.pack(f"<{len(found)}H", *found)
+            out.append(ids)
+        return b"".join(out)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = out = self.ids(" " + word)
+        return out
 
     def encode(self, texts: list) -> list[bytes]:
         """Each text's ids with the end id."""
-        cut = [self.pieces(t) if t else () for t in texts]
-        new = set()
-        for parts in cut:
-            if parts:
-                new.add(parts[0])
-                new.update([" " + p for p in parts[1:]])
-        known = {p: self[p] for p in new if p in self} if len(self) + len(new) > self.LIMIT else self
-        if known is not self:
-            self.clear()
-            self.update(known)
-        new = [p for p in new if p not in self]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self.update(zip(some, (np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        get = self.__getitem__
-        end = struct.pack("<H", END)
-        return [b"".join([get(p[0]), *map(get, [" " + x for x in p[1:]]), end]) if p else end for p in cut]
+        out, end = [], struct.pack("<H", END)
+        for text in texts:
+            if not text:
+                out.append(end)
+                continue
+            words = self.cut(text)
+            got = list(map(self.get, words))
+            got[0] = self.ids(words[0]) if words[0] else b""
+            if None in got:
+                got = [self[w] if g is None else g for w, g in zip(words, got, strict=True)]
+            got.append(end)
+            out.append(b"".join(got))
+        return out
 
 
 _tokens: dict[str, Tokens] = {}
