@@ -1,10 +1,64 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: documents go through a quality classifier, near-dedup, benchmark decontamination and mixing to
+target weights, and end as a token file. Each stage is written as Parquet and read again as the next one's documents.
+
+All stages but the last return the columns of documents. Rows without a doc_id pass the first two stages, as nothing
+can point at them; rows that share a doc_id share its fate.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.common import shared_dir, table
+from tidemark.llm.decontaminate import clean
+from tidemark.llm.mixing import mix, mixed_rows
+from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.quality import classify
+from tidemark.llm.token_file import encoded
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    gone = judged.where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (low quality or toxic) go."""
+    return _without(docs, classify(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    return _without(docs, near_duplicates(docs))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut or repeated to their target weights; a row per copy of a document."""
+    return mixed_rows(docs, mix(docs))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token file of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    return encoded(spark, docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixture", mixture), ("token_output", token_output)]
+
+#: Classifier, edit distances and tokenizer have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/tidemark-pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,103 @@
+import re
+from collections import defaultdict
+
+import pytest
+
+import corpus_pipeline
+from tidemark.llm import decontaminate as dc
+
+from .test_token_file import PATH, brute as token_rows
+
+SF = "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for name, f in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stages") / name)
+        f(spark, out[-1], SF).write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return [x.collect() for x in out]
+
+
+def test_columns(stages):
+    assert all(s[0].__fields__ == stages[0][0].__fields__ for s in stages[:5])
+
+
+def test_quality(spark, stages):
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r.doc_id for r in stages[1]}
+    good = [d for d, r in labels.items() if r.quality == 1 and r.toxic == 0]
+    bad = [d for d, r in labels.items() if r.quality == 0]
+    assert sum(d in kept for d in good) >= 0.97 * len(good)
+    assert sum(d in kept for d in bad) <= 0.1 * len(bad)
+
+
+def test_near_dedup(stages):
+    def sets(text):
+        w = text.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    all_sets = {r.doc_id: sets(r.text) for r in stages[1]}
+    where, parent = defaultdict(list), {d: d for d in all_sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d, s in sorted(all_sets.items()):
+        for g in s:
+            where[g].append(d)
+    common = defaultdict(int)
+    for ds in where.values():
+        for i, a in enumerate(ds):
+            for b in ds[:i]:
+                common[a, b] += 1
+    for (a, b), n in common.items():
+        if 100 * n >= 85 * (len(all_sets[a]) + len(all_sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert {r.doc_id for r in stages[2]} == {d for d in all_sets if root(d) == d}
+
+
+def test_decontaminate(spark, stages):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    match = dc.Matcher(items, dc.ERROR_RATE)
+    assert {r.doc_id for r in stages[3]} == {r.doc_id for r in stages[2] if not match(r.text)}
+    assert not any(dc.normal(t) in dc.normal(r.text) for _, t in items for r in stages[3])
+
+
+def test_mixture(stages):
+    size, out = defaultdict(int), defaultdict(int)
+    texts = {r.doc_id: r.text for r in stages[3]}
+    for r in stages[3]:
+        size[r.source] += len(WORD.findall(r.text))
+    for r in stages[4]:
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+        out[r.source] += len(WORD.findall(r.text))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size))}
+    target, free, rest = {}, set(size), sum(size.values())
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * size[s]}
+        for s in over or free:
+            target[s] = 3 * size[s] if over else level * weight[s]
+        if not over:
+            break
+        rest -= sum(target[s] for s in over)
+        free -= over
+    for s in size:
+        assert out[s] == pytest.approx(target[s], abs=0.02 * target[s] + 48)
+
+
+def test_token_output(stages):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in stages[5])
+    assert got == sorted(token_rows(library, [(r.doc_id, r.text) for r in stages[4]]))
