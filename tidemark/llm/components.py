@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import BROADCAST_ROWS, forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,10 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    near_all = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # the nodes stay the same
+    hint = F.broadcast if near_all else (lambda df: df)
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("best"))
-        hop = labels.select(F.col("node").alias("at"), F.col("label").alias("hop"))
+        known = hint(labels)
+        near = edges.join(known, edges.b == known.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        best = near.join(known, "node").select("node", "label", F.least("label", "near").alias("best"))
+        hop = hint(labels.select(F.col("node").alias("at"), F.col("label").alias("hop")))
         moved = stored(best.join(hop, best.best == hop.at).select("node", F.col("label").alias("was"), F.least("best", "hop").alias("label")))
         forget(labels)
         labels = moved.select("node", "label")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import forget, small, stored, table
+from .common import BROADCAST_ROWS, forget, small, stored, table
 from .components import components
 from .shingles import WordHashes, shingle_sets
 
@@ -134,8 +134,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(pairs: DataFrame, sketched: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those with 100 * intersection >= percent * union on their whole sets."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    chosen = lambda df: df.join(small(ids), "doc_id", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    chosen = lambda df: df.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     k = chosen(sketched.select("doc_id", "n_shingles", "registers"))
     near = (
         pairs.join(k.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a")
@@ -143,14 +144,10 @@ def linked(pairs: DataFrame, sketched: DataFrame, documents: DataFrame, percent:
         .where(_estimate("r_a", "r_b", "n_a", "n_b") >= percent / 100 - MARGIN)
         .select("a", "b")
     )
-    near = stored(near)
     t = chosen(documents.select("doc_id", "text"))
     both = near.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
     sure = both.select("a", "b", "t_a", "t_b").mapInArrow(_shared, "a long, b long, common long, either long")
-    out = stored(sure.where(f"common * 100 >= either * {percent}").select("a", "b").distinct())
-    forget(near)
-    forget(ids)
-    return out
+    return stored(sure.where(f"common * 100 >= either * {percent}").select("a", "b"))
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,10 +157,10 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(known.join(unsettled, "bucket", "left_semi"))
 
 
-def _star(rows: DataFrame) -> DataFrame:
+def _star(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Each row's document with the document that is first most often in its buckets (of other components)."""
     first = rows.groupBy("bucket").agg(F.min_by(F.struct("doc", "comp", "n"), "doc").alias("first"))
-    met = rows.join(first, "bucket").where("first.comp <> comp and 100 * least(n, first.n) >= 85 * greatest(n, first.n)")
+    met = rows.join(first, "bucket").where(f"first.comp <> comp and 100 * least(n, first.n) >= {percent} * greatest(n, first.n)")
     votes = met.groupBy("doc", F.col("first.doc").alias("first")).agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("doc").agg(F.max_by("first", F.struct("votes", -F.col("first"))).alias("b")).select(F.col("doc").alias("a"), "b")
 
@@ -176,7 +173,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], ["doc", "shingle"])
 
 
-def _rest(rows: DataFrame, documents: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def _rest(rows: DataFrame, documents: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """All pairs of a bucket that may link two components.
 
     A document can only be linked across components by shingles that another component has as well; one with too few
@@ -189,13 +186,15 @@ def _rest(rows: DataFrame, documents: DataFrame, percent: int, rounds: int = 3)
         of = each.join(docs, "doc")
         spread = of.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
         shared = of.join(spread, "shingle", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("s"))
-        docs = stored(docs.select("doc", "comp", "n").join(shared, "doc").where(f"100 * s >= {percent} * n"))
-    live = rows.select("bucket", "doc").join(docs, "doc")
+        docs = docs.select("doc", "comp", "n").join(shared, "doc").where(f"100 * s >= {percent} * n")
+    docs = stored(docs)
+    of_doc = rows.groupBy("doc").agg(F.collect_list("bucket").alias("buckets"))  # as many as there are bands at most
+    live = rows.select("bucket", "doc").join(docs.join(of_doc, "doc"), "doc")
     forget(each)
-    x, y = (live.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "comp", "n", "s")]) for k in "ab")
+    x, y = (live.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "comp", "n", "s", "buckets")]) for k in "ab")
     least = "least(s_a, s_b, n_a, n_b)"
     both = x.join(y, "bucket").where(f"doc_a < doc_b and comp_a <> comp_b and 100 * {least} >= {percent} * (n_a + n_b - {least})")
-    return both.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    return both.where(F.col("bucket") == F.array_min(F.array_intersect("buckets_a", "buckets_b"))).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -214,19 +213,20 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     documents = documents.select("doc_id", "text")
     sketched = stored(sketches(documents))
     rows = stored(buckets(sketched))
-    nobody = documents.sparkSession.createDataFrame([], "node long, label long")
-    links, labels, done = None, nobody, []
-    for step in ("star", "star", "rest"):
-        unsettled = _open(rows, labels)
-        pairs = stored(_star(unsettled) if step == "star" else _rest(unsettled, documents, percent))
+    unsettled = rows.withColumn("comp", F.col("doc"))
+    links, done = None, [rows]
+    for step in (_star, _star, _rest):
+        pairs = stored(step(unsettled, documents, percent))
         found = linked(pairs, sketched, documents, percent)
         links = found if links is None else links.union(found)
-        labels = components(links)
-        done += [unsettled, pairs]
+        done.append(pairs)
+        if step is not _rest:
+            unsettled = _open(rows, components(links))
+            done.append(unsettled)
     one = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
     copies = sketched.where("n_shingles > 0").join(one, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     labels = components(links.union(copies))
-    for df in (*done, rows):
+    for df in done:
         forget(df)
     component = F.coalesce("label", "doc_id")
     return sketched.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

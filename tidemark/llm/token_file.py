@@ -22,9 +22,9 @@ from . import rans
 from .common import shared_dir, table
 
 SEGMENT_TOKENS = 1 << 21
-BLOCK_TOKENS = 1 << 18
-LANES = 1024
-MARK_STEPS = 64
+BLOCK_TOKENS = 1 << 20
+LANES = 4096
+MARK_STEPS = 128
 END = 0
 
 SCHEMA = "part int, segment int, n_tokens long, doc_ids binary, lengths binary, frequencies binary, blocks array<binary>"
@@ -71,7 +71,12 @@ class Tokens(dict):
         if max(text) >= "\u0250":
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         known, out = self.piece_ids, []
-        for piece in self.pattern.findall(text):
+        word, tail = text[1:-1], text[-1]
+        if text[0] == " " and word.isalpha() and (tail in ".,;:" or tail.isalpha()):  # what the pattern does to most words
+            pieces = (text,) if tail.isalpha() else (text[:-1], tail)
+        else:
+            pieces = self.pattern.findall(text)
+        for piece in pieces:
             ids = known.get(piece)
             if ids is None:
                 if len(known) >= self.LIMIT:
@@ -116,18 +121,18 @@ def tokens(path: str) -> Tokens:
 
 def packed(block: dict) -> bytes:
     """Sizes and checksum, lane states, checkpoints, words."""
-    marks = b"".join(struct.pack("<II", t, p) + s.astype("<u8").tobytes() for t, p, s in block["marks"])
+    marks = b"".join(struct.pack("<II", t, p) + s.astype("<i8").tobytes() for t, p, s in block["marks"])
     head = struct.pack("<IIIII", block["n"], block["lanes"], block["crc32"], len(block["marks"]), len(block["words"]))
-    return head + block["states"].astype("<u8").tobytes() + marks + block["words"].astype("<u4").tobytes()
+    return head + block["states"].astype("<i8").tobytes() + marks + block["words"].astype("<u4").tobytes()
 
 
 def unpacked(data: bytes) -> dict:
     n, lanes, crc, n_marks, n_words = struct.unpack_from("<IIIII", data)
     at = 20 + 8 * lanes
-    states, marks = np.frombuffer(data, "<u8", lanes, 20).copy(), []
+    states, marks = np.frombuffer(data, "<i8", lanes, 20).copy(), []
     for _ in range(n_marks):
         t, p = struct.unpack_from("<II", data, at)
-        marks.append((t, p, np.frombuffer(data, "<u8", lanes, at + 8)))
+        marks.append((t, p, np.frombuffer(data, "<i8", lanes, at + 8)))
         at += 8 + 8 * lanes
     return {"n": n, "lanes": lanes, "crc32": crc, "states": states, "marks": marks, "words": np.frombuffer(data, "<u4", n_words, at)}
 
