@@ -1,11 +1,456 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the given tables and their SQL."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import values as V
+from ..operators import evidence, scoring, temporal
+from ..operators.features import build_features
+
+AS_OF = "2024-01-24"
+SHORT = (3, 7, 14)
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double"})
+
+
+# -- event features ----------------------------------------------------------------------------------------------------
+
+
+def _features(spark, sf_dir: str, groups: tuple[str, ...], as_of=AS_OF, windows=SHORT, types: bool = False) -> DataFrame:
+    out = build_features(
+        table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=as_of, windows=windows, groups=groups,
+        type_column="event_type" if types else None, value_column="value" if "monetary" in groups else None,
+        types=["click", "error", "purchase", "signup", "view"] if types else None, check=False,
+    )
+    return rounded(out.features.drop("source_ts")).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
+
+
+_BASE = f"""
+WITH pop AS (SELECT DISTINCT user_id AS customer, TIMESTAMP '{AS_OF}' AS as_of FROM events WHERE user_id IS NOT NULL),
+ev AS (
+  SELECT p.customer, p.as_of, e.ts, e.event_type, e.value, e.user_id IS NOT NULL AS hit,
+    CASE WHEN e.ts < p.as_of THEN date_diff('microsecond', e.ts, p.as_of) / 86400e6 END AS d
+  FROM pop p LEFT JOIN events e ON e.user_id = p.customer)
+"""
+
+
+def _select(columns: str) -> str:
+    return f"{_BASE} SELECT customer, strftime(as_of, '%Y-%m-%d') AS as_of, {columns} FROM ev GROUP BY customer, as_of"
+
+
+def _each(template: str, windows=SHORT) -> str:
+    return ", ".join(template.replace("$w2", str(2 * w)).replace("$w", str(w)) for w in windows)
+
+
+@query(_select(_each("CAST(count(*) FILTER (d <= $w) AS DOUBLE) AS events_$wd")))
+def feat_counts(spark, sf_dir):
+    return _features(spark, sf_dir, ("counts",))
+
+
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(_select(_each("CAST(count(*) FILTER (d <= $w) AS DOUBLE) AS events_$wd") + ", " + ", ".join(_each(f"CAST(count(*) FILTER (d <= $w AND event_type = '{t}') AS DOUBLE) AS events_{t}_$wd") for t in _TYPES)))
+def feat_type_counts(spark, sf_dir):
+    return _features(spark, sf_dir, ("counts",), types=True)
+
+
+_CUR, _PREV = "count(*) FILTER (d <= $w)", "count(*) FILTER (d > $w AND d <= $w2)"
+
+
+@query(_select(_each(f"CAST({_CUR} - {_PREV} AS DOUBLE) AS events_$wd_delta, round(CAST({_CUR} AS DOUBLE) / nullif({_PREV}, 0), 6) AS events_$wd_ratio")))
+def feat_deltas(spark, sf_dir):
+    return _features(spark, sf_dir, ("deltas",))
+
+
+@query(_select(_each("round(coalesce(sum(value) FILTER (d <= $w), 0), 6) AS value_sum_$wd, round(CASE WHEN count(*) FILTER (d <= $w) = 0 THEN 0 ELSE sum(value) FILTER (d <= $w) END, 6) / greatest(1, count(*) FILTER (d <= $w)) AS value_mean_$wd")))
+def feat_monetary(spark, sf_dir):
+    raw = build_features(table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=AS_OF, windows=SHORT, groups=("counts", "monetary"), value_column="value", check=False).features
+    means = {f"value_mean_{w}d": F.round(F.col(f"value_mean_{w}d") * F.greatest(F.lit(1.0), f"events_{w}d"), 6) / F.greatest(F.lit(1.0), f"events_{w}d") for w in SHORT}
+    return raw.withColumns(means | {f"value_sum_{w}d": F.round(f"value_sum_{w}d", 6) for w in SHORT}).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd")).drop("source_ts", *[f"events_{w}d" for w in SHORT])
+
+
+@query(_select("round(min(d), 6) AS days_since_last_event, " + ", ".join(f"round(min(d) FILTER (event_type = '{t}'), 6) AS days_since_last_{t}" for t in _TYPES)))
+def feat_recency(spark, sf_dir):
+    return _features(spark, sf_dir, ("recency",), types=True)
+
+
+@query(_select("round(coalesce(CAST(count(d) AS DOUBLE) / nullif(count(DISTINCT CASE WHEN d IS NOT NULL THEN CAST(ts AS DATE) END), 0), 0), 6) AS events_per_active_day"))
+def feat_frequency(spark, sf_dir):
+    return _features(spark, sf_dir, ("frequency",))
+
+
+@query(
+    f"""{_BASE}, daily AS (SELECT customer, as_of, CAST(floor(d) AS INT) AS x, count(*) AS n FROM ev WHERE d <= 90 GROUP BY ALL),
+span AS (SELECT customer, as_of, CAST(ceil(max(d)) AS INT) + 1 AS s, count(*) AS n FROM ev WHERE d <= 90 GROUP BY ALL),
+grid AS (SELECT customer, as_of, n, unnest(range(s)) AS x FROM span),
+fit AS (SELECT g.customer, g.as_of, any_value(g.n) AS n, regr_slope(coalesce(daily.n, 0), g.x) AS slope
+        FROM grid g LEFT JOIN daily ON daily.customer = g.customer AND daily.as_of = g.as_of AND daily.x = g.x GROUP BY g.customer, g.as_of)
+SELECT p.customer, strftime(p.as_of, '%Y-%m-%d') AS as_of, round(CASE WHEN coalesce(n, 0) < 2 THEN 0 ELSE -slope END, 6) + 0.0 AS engagement_slope_90d
+FROM pop p LEFT JOIN fit USING (customer, as_of)"""
+)
+def feat_slope(spark, sf_dir):
+    return _features(spark, sf_dir, ("trend",)).withColumn("engagement_slope_90d", F.col("engagement_slope_90d") + F.lit(0.0))
+
+
+@query(
+    f"""{_BASE}, gap AS (SELECT customer, as_of, d, lag(d) OVER (PARTITION BY customer, as_of ORDER BY d DESC) AS b FROM ev WHERE d > 0)
+SELECT p.customer, strftime(p.as_of, '%Y-%m-%d') AS as_of, """
+    + _each("round(coalesce(greatest(max(least(coalesce(b, $w), $w) - d) FILTER (d <= $w), min(d) FILTER (d <= $w)), CAST($w AS DOUBLE)), 6) AS longest_gap_$wd")
+    + " FROM pop p LEFT JOIN gap USING (customer, as_of) GROUP BY p.customer, p.as_of"
+)
+def feat_gaps(spark, sf_dir):
+    return _features(spark, sf_dir, ("gaps",))
+
+
+@query(_select("CASE WHEN count(*) FILTER (d > 30 AND d <= 60) > 0 AND count(*) FILTER (d <= 30) < 0.7 * count(*) FILTER (d > 30 AND d <= 60) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS usage_down_30pct_mom"))
+def feat_flag(spark, sf_dir):
+    return _features(spark, sf_dir, ("flags",))
+
+
+@query(f"{_BASE} SELECT CAST(count(d) AS BIGINT) AS n_events_used, CAST(count(*) FILTER (hit AND d IS NULL) AS BIGINT) AS n_events_excluded_as_future FROM ev")
+def feat_accounting(spark, sf_dir):
+    return build_features(table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=AS_OF, groups=("counts",), windows=SHORT, check=False).accounting
+
+
+def _dates(spark, sf_dir):
+    """Two prediction dates a user: the 15th and, for even users, the 25th of January."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("customer")).distinct()
+    days = F.when(F.col("customer") % 2 == 0, F.array(F.lit("2024-01-15"), F.lit("2024-01-25"))).otherwise(F.array(F.lit("2024-01-15")))
+    return users.select("customer", F.explode(days).alias("as_of")).withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
+
+
+@query(
+    """WITH users AS (SELECT DISTINCT user_id AS customer FROM events),
+pop AS (SELECT customer, TIMESTAMP '2024-01-15' AS as_of FROM users UNION ALL SELECT customer, TIMESTAMP '2024-01-25' FROM users WHERE customer % 2 = 0),
+ev AS (SELECT p.customer, p.as_of, e.ts, e.value, CASE WHEN e.ts < p.as_of THEN date_diff('microsecond', e.ts, p.as_of) / 86400e6 END AS d FROM pop p LEFT JOIN events e ON e.user_id = p.customer)
+SELECT customer, strftime(as_of, '%Y-%m-%d') AS as_of, """
+    + _each("CAST(count(*) FILTER (d <= $w) AS DOUBLE) AS events_$wd")
+    + ", round(min(d), 6) AS days_since_last_event FROM ev GROUP BY customer, as_of"
+)
+def feat_multi_asof(spark, sf_dir):
+    return _features(spark, sf_dir, ("counts", "recency"), as_of=_dates(spark, sf_dir))
+
+
+@query()
+def feat_all(spark, sf_dir):
+    """Every feature group at once, as one aggregation."""
+    return _features(spark, sf_dir, ("counts", "deltas", "monetary", "recency", "frequency", "trend", "gaps", "flags"), types=True)
+
+
+# -- temporal validation -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'train' WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN 'eval' ELSE 'undated' END AS split, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day FROM orders GROUP BY 1")
+def cutoff_split(spark, sf_dir):
+    rows = temporal.cutoff_split(table(spark, sf_dir, "orders"), "o_orderdate", "1999-01-01")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), day(F.min("o_orderdate")).alias("first_day"), day(F.max("o_orderdate")).alias("last_day"))
+
+
+@query(
+    """WITH b AS (SELECT i AS fold, l - to_days(30) * (4 - i) AS s, l - to_days(30) * (4 - i) + to_days(30) AS e FROM (SELECT max(o_orderdate) AS l FROM orders), unnest(range(4)) AS t(i))
+SELECT CAST(fold AS INT) AS fold, CASE WHEN o_orderdate < s THEN 'train' ELSE 'eval' END AS role, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM orders JOIN b ON o_orderdate < e GROUP BY 1, 2""".replace("to_days(30) * (4 - i)", "to_days(CAST(30 * (4 - i) AS INTEGER))")
+)
+def walk_forward(spark, sf_dir):
+    rows = temporal.walk_forward(table(spark, sf_dir, "orders"), "o_orderdate")
+    return rows.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    """Start: a customer's first order; event: 90 days after the last one, where that lies before 2001-08-01."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("start"), (F.max("o_orderdate") + F.expr("interval 90 days")).alias("gone"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(orders, "id", "left")
+    return known.withColumn("event", F.when(F.col("gone") < F.lit("2001-08-01").cast("timestamp_ntz"), F.col("gone"))).select("id", "start", "event")
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    return temporal.label_with_censoring(_customers(spark, sf_dir), start="start", event="event", observation_end="2001-03-31", horizon=timedelta(days=90), min_tenure=timedelta(days=365), data_end="2001-06-15")
+
+
+_LABELS = """WITH o AS (SELECT o_custkey AS id, min(o_orderdate) AS start, max(o_orderdate) + INTERVAL 90 DAY AS gone FROM orders GROUP BY 1),
+c AS (SELECT c_custkey AS id, start, CASE WHEN gone < TIMESTAMP '2001-08-01' THEN gone END AS event FROM customer LEFT JOIN o ON o.id = c_custkey),
+l AS (SELECT id, CASE WHEN start > TIMESTAMP '2001-03-31' THEN 'started_after' WHEN start > TIMESTAMP '2001-03-31' - INTERVAL 365 DAY THEN 'short_tenure' WHEN start IS NULL THEN 'no_start'
+  WHEN event <= TIMESTAMP '2001-03-31' THEN 'already_gone' WHEN event <= TIMESTAMP '2001-03-31' + INTERVAL 90 DAY THEN 'positive' WHEN event IS NOT NULL THEN 'event_after_window'
+  WHEN TIMESTAMP '2001-06-15' >= TIMESTAMP '2001-03-31' + INTERVAL 90 DAY THEN 'negative' ELSE 'censored' END AS outcome FROM c)
+"""
+
+
+@query(_LABELS + "SELECT id, outcome, CASE outcome WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 END AS label FROM l")
+def censor_labels(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("id", "outcome", "label")
+
+
+@query(_LABELS + ", r AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY CAST(id AS VARCHAR)) AS k FROM l WHERE outcome NOT IN ('positive', 'negative')) SELECT outcome AS reason, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) FILTER (k <= 5) AS sample FROM r GROUP BY 1")
+def censor_report(spark, sf_dir):
+    return temporal.excluded(_labelled(spark, sf_dir), "outcome", "id", ("positive", "negative"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, max(ts) AS last_any, max(ts) FILTER (ts < TIMESTAMP '2024-01-24') AS last_past FROM events GROUP BY 1), x AS (SELECT 'last_any' AS feature, last_any AS v FROM s UNION ALL SELECT 'last_past', last_past FROM s)
+SELECT feature, count(*) FILTER (v > TIMESTAMP '2024-01-24') AS n_late, strftime(max(v) FILTER (v > TIMESTAMP '2024-01-24'), '%Y-%m-%d %H:%M:%S') AS worst_source FROM x GROUP BY 1"""
+)
+def time_travel_audit(spark, sf_dir):
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_any"), F.max(F.when(F.col("ts") < at, F.col("ts"))).alias("last_past")).withColumn("at", at)
+    return temporal.time_travel_report(rows, ["last_any", "last_past"], "at").select("feature", "n_late", F.date_format("worst_source", "yyyy-MM-dd HH:mm:ss").alias("worst_source"))
+
+
+# -- evidence for roles and leakage ------------------------------------------------------------------------------------
+
+
+def _labelled_documents(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("maybe", F.when(F.col("quality") == 1, F.col("n_chars"))).withColumn("grade", F.when(F.col("quality") == 1, "pass").otherwise("fail"))
+
+
+_DOCS = "WITH d AS (SELECT doc_id, lang, source, n_chars, quality, toxic, CASE WHEN quality = 1 THEN n_chars END AS maybe, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS grade FROM documents JOIN labels USING (doc_id))"
+
+
+@query(
+    _DOCS + """, x AS (SELECT 'n_chars' AS col, n_chars AS v, quality AS y FROM d UNION ALL SELECT 'doc_id', doc_id, quality FROM d UNION ALL SELECT 'toxic', toxic, quality FROM d),
+r AS (SELECT col, y, rank() OVER (PARTITION BY col ORDER BY v) + (count(*) OVER (PARTITION BY col, v) - 1) / 2.0 AS rk FROM x WHERE v IS NOT NULL),
+a AS (SELECT col, (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM r GROUP BY 1)
+SELECT col AS "column", round(CAST(greatest(auc, 1 - auc) AS DOUBLE), 6) AS auc FROM a"""
+)
+def rank_auc(spark, sf_dir):
+    d = _labelled_documents(spark, sf_dir)
+    return rounded(evidence.rank_auc(d, ["n_chars", "doc_id", "toxic"], F.col("quality")))
+
+
+@query(
+    _DOCS + """, x AS (SELECT 'maybe' AS c, maybe IS NULL AS m, CAST(maybe AS VARCHAR) AS v, quality AS y FROM d UNION ALL SELECT 'grade', grade IS NULL, grade, quality FROM d UNION ALL SELECT 'lang', lang IS NULL, lang, quality FROM d)
+SELECT c AS "column", CASE WHEN stddev_pop(m::INT) > 0 THEN round(abs(corr(m::INT, y)), 6) END AS null_mask_r,
+  count(DISTINCT v) > 1 AND count(DISTINCT v) FILTER (y = 0) = 1 AND count(DISTINCT v) FILTER (y = 1) = 1 AND max(v) FILTER (y = 0) <> max(v) FILTER (y = 1) AS constant_within_class FROM x GROUP BY 1"""
+)
+def class_evidence(spark, sf_dir):
+    return rounded(evidence.class_evidence(_labelled_documents(spark, sf_dir), ["maybe", "grade", "lang"], F.col("quality")))
+
+
+def _profile_sql(name: str, columns: dict[str, str]) -> str:
+    one = "SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({x}) AS n_missing, count(DISTINCT {x}) AS n_distinct, round(avg(length({x})), 6) AS mean_length FROM {t}"
+    return " UNION ALL ".join(one.format(c=c, x=x, t=name) for c, x in columns.items())
+
+
+_TEXT = ("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(
+    _profile_sql("lineitem", {c: c if i < 2 else f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)" for i, c in enumerate(_TEXT)}).replace("round(avg(length(CAST(CAST(l_orderkey AS DOUBLE) AS VARCHAR))), 6)", "NULL::DOUBLE")
+    .replace("round(avg(length(CAST(CAST(l_linenumber AS DOUBLE) AS VARCHAR))), 6)", "NULL::DOUBLE").replace("round(avg(length(CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR))), 6)", "NULL::DOUBLE")
+)
+def column_profile(spark, sf_dir):
+    """Numbers have no length of interest: engines print doubles differently."""
+    out = evidence.profile(table(spark, sf_dir, "lineitem"), list(_TEXT)).select("column", "n_rows", "n_missing", "n_distinct", "mean_length")
+    return rounded(out.withColumn("mean_length", F.when(F.col("column").isin(*_TEXT[:2]), F.col("mean_length"))))
+
+
+@query("SELECT 'l_shipdate' AS \"column\", count(*) FILTER (l_shipdate > TIMESTAMP '2000-01-01') AS n_after, strftime(max(l_shipdate), '%Y-%m-%d') AS latest FROM lineitem")
+def post_window(spark, sf_dir):
+    out = evidence.post_window(table(spark, sf_dir, "lineitem"), ["l_shipdate"], "2000-01-01")
+    return out.withColumn("latest", F.date_format("latest", "yyyy-MM-dd"))
+
+
+@query()
+def schema_proposal(spark, sf_dir):
+    """Roles, claims and findings of the labelled documents, as rows."""
+    from ..operators.leakage import infer_schema
+
+    p = infer_schema(_labelled_documents(spark, sf_dir), target="quality")
+    rows = [("role", r.name, r.role, r.confidence) for r in p.roles.values()] + [("finding", f.column, f"{f.rule}:{f.severity}", None) for f in p.findings]
+    return spark.createDataFrame(rows, "what string, column string, value string, confidence double")
+
+
+# -- cells of delimited text -------------------------------------------------------------------------------------------
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    """Texts made of part's columns, in the shapes that delimited files have."""
+    p, k = F.col("p_retailprice"), F.col("p_partkey")
+    text = (
+        F.when(k % 6 == 0, F.concat(F.lit("$"), F.format_number(p, 2)))
+        .when(k % 6 == 1, F.concat(F.col("p_size").cast("string"), F.lit(".5%")))
+        .when(k % 6 == 2, F.concat(F.lit("₹"), F.col("p_size").cast("string"), F.lit(".5 lakh")))
+        .when(k % 6 == 3, F.concat(F.lit("  "), F.format_string("%.2f", p), F.lit(" ")))
+        .when(k % 6 == 4, F.lit("N/A"))
+        .otherwise(F.concat(F.col("p_size").cast("string"), F.lit("d")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN round(p_retailprice, 2) WHEN 1 THEN round((p_size + 0.5::DOUBLE) / 100, 6) WHEN 2 THEN (p_size + 0.5::DOUBLE) * 100000 WHEN 3 THEN round(p_retailprice, 2) END AS number,
+p_partkey % 6 = 4 AS is_null, CASE p_partkey % 6 WHEN 0 THEN '$' WHEN 2 THEN '₹' END AS currency FROM part"""
+)
+def parse_number(spark, sf_dir):
+    x = V.strip(F.col("text"))
+    return _cells(spark, sf_dir).select("p_partkey", F.round(V.parse_number(x), 6).alias("number"), V.is_null_token(x).alias("is_null"), V.currency_of(x).alias("currency"))
+
+
+@query(
+    """SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 4 < 3 THEN date_trunc('day', o_orderdate) END, '%Y-%m-%d') AS day FROM orders"""
+)
+def parse_date(spark, sf_dir):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    text = F.when(k % 4 == 0, F.date_format(d, "yyyy-MM-dd HH:mm")).when(k % 4 == 1, F.date_format(d, "d.M.yyyy")).when(k % 4 == 2, F.date_format(d, "dd/MM/yy")).otherwise(F.concat(F.lit("31-02-"), F.date_format(d, "yyyy")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return rows.select("o_orderkey", F.date_format(V.parse_date(F.col("text"), True), "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS day FROM orders")
+def excel_serial(spark, sf_dir):
+    n = F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.lit("19999")).otherwise(n.cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(V.parse_serial(text), "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT DISTINCT p_name, lower(regexp_replace(regexp_replace('-' || p_name || ' (' || p_brand || ')', '[^\\p{L}\\p{N}]', '_', 'g'), '^_+|_+$', '', 'g')) AS clean FROM part")
+def clean_name(spark, sf_dir):
+    name = F.concat(F.lit("-"), "p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_name", V.clean_name(name).alias("clean")).distinct()
+
+
+# -- scores ------------------------------------------------------------------------------------------------------------
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    """A fixed score of labelled documents: their length, scaled."""
+    return _labelled_documents(spark, sf_dir).select("doc_id", F.col("quality").alias("y"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("p"))
+
+
+_SCORED = "WITH s AS (SELECT doc_id, quality AS y, least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) AS p FROM documents JOIN labels USING (doc_id))"
+_SWEEP = _SCORED + ", g AS (SELECT i, 0.05::DOUBLE + (0.95::DOUBLE - 0.05::DOUBLE) / 90 * i AS threshold FROM unnest(range(91)) t(i)), w AS (SELECT threshold, count(*) FILTER (p >= threshold AND y = 1) AS tp, count(*) FILTER (p >= threshold AND y = 0) AS fp FROM g, s GROUP BY threshold)"
+
+
+@query(_SWEEP + " SELECT round(threshold, 6) AS threshold, tp, fp, tp * 1200.0::DOUBLE - (tp + fp) * 200.0::DOUBLE AS profit FROM w")
+def threshold_sweep(spark, sf_dir):
+    return rounded(scoring.sweep(_scored(spark, sf_dir), "y", "p"))
+
+
+@query(_SWEEP + ", v AS (SELECT threshold, tp * 1200.0::DOUBLE - (tp + fp) * 200.0::DOUBLE AS profit FROM w) SELECT round(threshold, 4) AS threshold, profit FROM v ORDER BY profit DESC, threshold LIMIT 1")
+def pick_threshold(spark, sf_dir):
+    return scoring.pick_threshold(_scored(spark, sf_dir), "y", "p")
+
+
+@query(_SCORED + ", c AS (SELECT count(*) FILTER (p >= 0.3 AND y = 1) AS tp, count(*) FILTER (p >= 0.3 AND y = 0) AS fp, count(*) FILTER (p < 0.3 AND y = 1) AS fn, count(*) FILTER (p < 0.3 AND y = 0) AS tn FROM s) SELECT *, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1 FROM c")
+def confusion(spark, sf_dir):
+    return rounded(scoring.confusion(_scored(spark, sf_dir), "y", "p", 0.3))
+
+
+@query(_SCORED + ", r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM s) SELECT round(CAST((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS DOUBLE), 6) AS auc FROM r")
+def roc_auc(spark, sf_dir):
+    return rounded(evidence.rank_auc(_scored(spark, sf_dir), ["p"], F.col("y"), fold=False).select("auc"))
+
+
+@query(_SCORED + ", g AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) AS n FROM s GROUP BY p), c AS (SELECT pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS seen FROM g) SELECT round(CAST(sum(pos * tp::DOUBLE / seen) / sum(pos) AS DOUBLE), 6) AS average_precision FROM c")
+def average_precision(spark, sf_dir):
+    return rounded(scoring.average_precision(_scored(spark, sf_dir), "y", "p"))
+
+
+@query("SELECT round(count(*) FILTER (quality = 0)::DOUBLE / greatest(count(*) FILTER (quality = 1), 1), 6) AS pos_weight FROM labels")
+def class_weight(spark, sf_dir):
+    return rounded(scoring.class_weight(table(spark, sf_dir, "labels"), "quality"))
+
+
+@query(
+    """WITH m AS (SELECT median(c_acctbal) FILTER (c_custkey % 7 <> 0) AS med FROM customer), f AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN (SELECT med FROM m) ELSE c_acctbal END AS x FROM customer)
+SELECT c_custkey, round((x - (SELECT avg(x) FROM f)) / (SELECT stddev_pop(x) FROM f), 6) AS x_scaled FROM f"""
+)
+def median_impute_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("x"))
+    return rounded(scoring.median_scaled(rows, ["x"]).select("c_custkey", "x_scaled"))
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
+
+
+@query("SELECT c_custkey, " + ", ".join(f"CAST(coalesce(c_mktsegment = '{s}', false) AS INT) AS segment_{s}" for s in _SEGMENTS) + " FROM customer")
+def one_hot(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return scoring.one_hot(rows, "segment", _SEGMENTS).drop("segment")
+
+
+@query(
+    """WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS s FROM customer), m AS (SELECT s FROM x WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)
+SELECT c_custkey, coalesce(s, (SELECT s FROM m)) AS segment FROM x"""
+)
+def mode_impute(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"))
+    return scoring.mode_filled(rows, ["segment"])
+
+
+def _risk(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("c_acctbal") + 1000.0) / 11000.0)))
+
+
+_RISK = "WITH r AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (c_acctbal + 1000.0::DOUBLE) / 11000.0::DOUBLE)) AS p FROM customer)"
+
+
+@query(_RISK + " SELECT CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' ELSE 'Low' END AS band, count(*) AS n, count(*) FILTER (p >= 0.5) AS flagged, round(avg((p >= 0.5)::INT::DOUBLE), 6) AS share FROM r GROUP BY 1")
+def flagged_summary(spark, sf_dir):
+    rows = _risk(spark, sf_dir).withColumn("band", V.risk_band(F.col("p")))
+    hit = F.col("p") >= 0.5
+    return rounded(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("flagged"), F.avg(hit.cast("double")).alias("share")))
+
+
+@query(
+    _RISK + """ SELECT c_custkey, CASE WHEN p < 0.4 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'contract' WHEN c_nationkey < 5 AND c_mktsegment <> 'MACHINERY' THEN 'support' WHEN c_acctbal > 8000 THEN 'tier' ELSE 'call' END AS action FROM r"""
+)
+def recommend(spark, sf_dir):
+    rules = [(F.col("c_mktsegment") == "BUILDING", "contract"), ((F.col("c_nationkey") < 5) & (F.col("c_mktsegment") != "MACHINERY"), "support"), (F.col("c_acctbal") > 8000, "tier")]
+    return _risk(spark, sf_dir).select("c_custkey", scoring.recommended(F.col("p"), 0.4, rules, "call").alias("action"))
+
+
+@query(
+    """WITH x AS (SELECT c_custkey, unnest([{'f': 'acctbal', 'i': 0, 'v': (c_acctbal - 4500.0::DOUBLE) * 0.01::DOUBLE}, {'f': 'nation', 'i': 1, 'v': (c_nationkey - 12.0::DOUBLE) * 5.0::DOUBLE}, {'f': 'key', 'i': 2, 'v': (c_custkey % 10 - 4.5::DOUBLE) * -10.0::DOUBLE}]) AS r FROM customer),
+y AS (SELECT c_custkey, r.f AS feature, r.v AS v, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(r.v) DESC, r.i) AS place FROM x)
+SELECT c_custkey, CAST(place AS INT) AS place, feature, round(v, 4) AS contribution, CASE WHEN v > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM y WHERE place <= 2"""
+)
+def topk_reasons(spark, sf_dir):
+    parts = scoring.linear_contributions({"acctbal": F.col("c_acctbal"), "nation": F.col("c_nationkey"), "key": F.col("c_custkey") % 10}, {"acctbal": 0.01, "nation": 5.0, "key": -10.0}, {"acctbal": 4500.0, "nation": 12.0, "key": 4.5})
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(scoring.top_reasons(parts, 2)).alias("k", "r"))
+    return rows.select("c_custkey", (F.col("k") + 1).alias("place"), "r.feature", "r.contribution", "r.direction")
+
+
+@query(_RISK + " SELECT c_custkey, round(p, 4) AS p FROM r ORDER BY r.p DESC, c_custkey LIMIT 100")
+def scored_sort(spark, sf_dir):
+    return _risk(spark, sf_dir).orderBy(F.desc("p"), "c_custkey").limit(100).select("c_custkey", F.round("p", 4).alias("p"))
+
+
+@query()
+def logistic_scores(spark, sf_dir):
+    """A fitted pipeline's probability of low quality for each labelled document."""
+    rows = _labelled_documents(spark, sf_dir).withColumn("y", 1.0 - F.col("quality")).withColumn("size", F.log1p("n_chars"))
+    model = scoring.train_logistic(rows, ["size", "toxic"], "y")
+    return scoring.scored_by(model, rows).select("doc_id", F.round("churn_probability", 6).alias("churn_probability"))
