@@ -251,14 +251,15 @@ def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, d
     """Read one delimited file. Bad data never raises; a missing or too large file and one without records do."""
     file = spark.read.format("binaryFile").load(path)
     try:
-        size = file.select("length").first()
+        size = file.select("length", "modificationTime").first()
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
     if size is None:
         raise FileNotFoundError(path)
     if size.length > max_bytes:
         raise FileTooLargeError(f"{path} has {size.length} bytes; max_bytes is {max_bytes}")
-    content = file.select("content")
+    # the version is part of the plan, so that records cached from an earlier file of this name are not taken for it
+    content = file.where((F.col("modificationTime") == F.lit(size.modificationTime)) & (F.col("length") == size.length)).select("content")
     seen = content.mapInArrow(_sniff(encoding, delimiter), "encoding string, delimiter string").first()
     rows = content.mapInArrow(_scan(seen.encoding, seen.delimiter), RECORDS).repartition(spark.sparkContext.defaultParallelism).cache()
 
