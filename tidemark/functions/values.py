@@ -12,10 +12,11 @@ MULTIPLIERS = (("l", 1e5), ("lakh", 1e5), ("lac", 1e5), ("cr", 1e7), ("crore", 1
 SERIAL_RANGE = (20000, 60000)
 EXCEL_EPOCH = "1899-12-30"
 
-_SPACES = " \t  "
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_SPACES = " \t\u00a0\u202f"
+_AMOUNT = r"^([+-]?[0-9.,\s\u00a0\u202f]*(?:[eE][+-]?[0-9]+)?)\s*((?i:lakh|lac|l|crore|cr))?\s*(%)?$"
 _ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[ T].*)?$"
 _SEPARATED = r"^([0-9]{1,4})([./-])([0-9]{1,2})\2([0-9]{2,4})$"
+_TURNABLE = r"^([0-9]{1,3})([./-])([0-9]{1,2})\2([0-9]{2,4})$"
 
 
 def strip(x: Column) -> Column:
@@ -37,55 +38,54 @@ def currency_of(x: Column) -> Column:
     return F.coalesce(*[F.when(x.contains(c), F.lit(c)) for c in reversed(CURRENCIES)])
 
 
-def _suffix(stem: Column) -> Column:
-    """Factor of a multiplier at the end of the text, of those whose remainder is not alphabetic; 1 if none."""
-    out = F.lit(1.0)
-    for name, factor in reversed(MULTIPLIERS):
-        rest = F.regexp_extract(F.lower(stem), rf"^(.*[^a-z])\s*{name}$", 1)
-        out = F.when(rest != "", F.lit(factor)).otherwise(out)
-    return out
+def _bare(x: Column) -> Column:
+    """Without currency signs and outer space."""
+    return strip(F.translate(x, CURRENCIES, ""))
 
 
 def has_multiplier(x: Column) -> Column:
-    return currency_of(x).isNotNull() & (_suffix(strip(F.translate(x, CURRENCIES, ""))) != 1.0)
-
-
-def parse_number(x: Column, decimal: Column | str = ".") -> Column:
-    """Number of a cell or null: currency signs go, lakh and crore multiply if there was one, % divides by 100, grouping
-    goes. The decimal separator is the column's, not the cell's."""
-    decimal = F.lit(decimal) if isinstance(decimal, str) else decimal
-    text = strip(F.translate(x, CURRENCIES, ""))
-    factor = F.when(currency_of(x).isNotNull(), _suffix(text)).otherwise(F.lit(1.0))
-    text = F.when(factor != 1.0, F.regexp_replace(F.lower(text), r"\s*(lakh|lac|l|crore|cr)$", "")).otherwise(text)
-    percent = text.endswith("%")
-    text = F.when(percent, strip(F.regexp_replace(text, "%$", ""))).otherwise(text)
-    dotted = F.translate(text, "," + _SPACES, "")
-    comma = F.translate(F.translate(text, "." + _SPACES, ""), ",", ".")
-    plain = F.when(decimal == ",", comma).otherwise(dotted)
-    number = F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
-    return number * factor / F.when(percent, F.lit(100.0)).otherwise(F.lit(1.0))
-
-
-def date_parts(x: Column) -> Column:
-    """style (`iso`, `ymd`, `separated`), first, second, third of a date-like text; null of anything else."""
-    num = lambda pattern, k: F.regexp_extract(x, pattern, k).try_cast("int")
-    year = num(_SEPARATED, 4)
-    full = F.when(F.length(F.regexp_extract(x, _SEPARATED, 4)) > 2, year).when(year < 70, year + 2000).otherwise(year + 1900)
-    struct = lambda style, a, b, c: F.struct(F.lit(style).alias("style"), a.alias("first"), b.alias("second"), c.alias("third"))
-    return (
-        F.when(x.rlike(_ISO), struct("iso", num(_ISO, 1), num(_ISO, 2), num(_ISO, 3)))
-        .when(x.rlike(_SEPARATED) & (F.length(F.regexp_extract(x, _SEPARATED, 1)) == 4), struct("ymd", num(_SEPARATED, 1), num(_SEPARATED, 3), year))
-        .when(x.rlike(_SEPARATED), struct("separated", num(_SEPARATED, 1), num(_SEPARATED, 3), full))
-    )
+    return currency_of(x).isNotNull() & (F.regexp_extract(_bare(x), _AMOUNT, 2) != "")
+
+
+def parse_number(x: Column, decimal: str = ".") -> Column:
+    """Number of a cell or null: currency signs go, lakh and crore multiply if there was one (and are no number without),
+    % divides by 100, grouping goes. The decimal separator is the column's, not the cell's."""
+    part = lambda k: F.regexp_extract(_bare(x), _AMOUNT, k)
+    plain = F.translate(F.translate(part(1), "." + _SPACES, ""), ",", ".") if decimal == "," else F.translate(part(1), "," + _SPACES, "")
+    suffix = F.lower(part(2))
+    factor = F.when(suffix == "", F.lit(1.0))
+    for value in (1e5, 1e7):
+        names = [n for n, v in MULTIPLIERS if v == value]
+        factor = factor.when(suffix.isin(*names) & x.rlike(f"[{CURRENCIES}]"), F.lit(value))
+    return plain.try_cast("double") * factor / F.when(x.rlike(r"%\s*$"), F.lit(100.0)).otherwise(F.lit(1.0))
+
+
+def _int(x: Column, pattern: str, k: int) -> Column:
+    return F.regexp_extract(x, pattern, k).try_cast("int")
 
 
-def parse_date(x: Column, day_first: bool | Column) -> Column:
-    """Timestamp without zone, at midnight; null for what is no date. ISO dates ignore the order."""
-    p = date_parts(x)
-    zero, day_first = F.lit(0), F.lit(day_first) if isinstance(day_first, bool) else day_first
+def is_date(x: Column) -> Column:
+    """Whether a text has the shape of a date."""
+    return x.rlike(_ISO) | x.rlike(_SEPARATED)
+
+
+def day_and_month(x: Column) -> tuple[Column, Column, Column]:
+    """Whether the order of day and month is open (separated, no year in front), and the two numbers."""
+    return x.rlike(_TURNABLE), _int(x, _TURNABLE, 1), _int(x, _TURNABLE, 3)
+
+
+def parse_date(x: Column, day_first: bool) -> Column:
+    """Timestamp without zone, at midnight; null for what is no date. Dates with the year in front ignore the order."""
+    zero = F.lit(0)
     make = lambda y, m, d: F.try_make_timestamp_ntz(y, m, d, zero, zero, zero)
-    turned = F.when(day_first, make(p["third"], p["second"], p["first"])).otherwise(make(p["third"], p["first"], p["second"]))
-    return F.when(p["style"] == "separated", turned).otherwise(make(p["first"], p["second"], p["third"]))
+    written = F.regexp_extract(x, _TURNABLE, 4)
+    year = written.try_cast("int") + F.when(F.length(written) > 2, 0).when(written < "70", 2000).otherwise(1900)
+    first, second = _int(x, _TURNABLE, 1), _int(x, _TURNABLE, 3)
+    return (
+        F.when(x.rlike(_ISO), make(_int(x, _ISO, 1), _int(x, _ISO, 2), _int(x, _ISO, 3)))
+        .when(x.rlike(_TURNABLE), make(year, second, first) if day_first else make(year, first, second))
+        .when(x.rlike(_SEPARATED), make(_int(x, _SEPARATED, 1), _int(x, _SEPARATED, 3), _int(x, _SEPARATED, 4)))
+    )
 
 
 def is_serial(x: Column) -> Column:

@@ -454,3 +454,60 @@ def logistic_scores(spark, sf_dir):
     rows = _labelled_documents(spark, sf_dir).withColumn("y", 1.0 - F.col("quality")).withColumn("size", F.log1p("n_chars"))
     model = scoring.train_logistic(rows, ["size", "toxic"], "y")
     return scoring.scored_by(model, rows).select("doc_id", F.round("churn_probability", 6).alias("churn_probability"))
+
+
+# -- sources, sinks, requests ------------------------------------------------------------------------------------------
+
+_DELIMITED = "SELECT p_partkey::DOUBLE AS p_partkey, p_name AS name, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE round(p_retailprice, 2) END AS price, strftime(DATE '2023-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y-%m-%d') AS made_on FROM part WHERE p_partkey % 50 <> 7"
+
+
+@query(_DELIMITED)
+def delimited_read(spark, sf_dir):
+    """part written as awkward delimited text (decimal commas, spelled nulls, day-first dates, short rows), read back."""
+    from ..session import scratch
+    from ..sources.delimited import read_table
+
+    k = F.col("p_partkey")
+    price = F.when(k % 10 == 0, "n/a").otherwise(F.concat(F.lit("€"), F.regexp_replace(F.format_string("%.2f", "p_retailprice"), r"\.", ",")))
+    day = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (k % 365).cast("int")), "dd.MM.yyyy")
+    line = F.when(k % 50 == 7, k.cast("string")).otherwise(F.concat_ws(";", k.cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), price, day))
+    path = scratch(spark, "delimited")
+    rows = table(spark, sf_dir, "part").select(k, line.alias("line"))
+    head = spark.createDataFrame([(-1, "p_partkey;name;price;made_on")], "p_partkey long, line string")
+    rows.union(head).coalesce(1).sortWithinPartitions("p_partkey").select("line").write.text(path)
+    out = read_table(spark, f"{path}/part-*.txt")
+    return out.frame.select("p_partkey", "name", F.round("price", 2).alias("price"), F.date_format("made_on", "yyyy-MM-dd").alias("made_on"))
+
+
+@query(_RISK + " SELECT json_object('c_custkey', c_custkey, 'band', CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' ELSE 'Low' END)::VARCHAR AS json FROM r")
+def json_rows(spark, sf_dir):
+    from ..sources.sinks import as_json
+
+    return as_json(_risk(spark, sf_dir).select("c_custkey", V.risk_band(F.col("p")).alias("band")))
+
+
+@query(
+    f"""SELECT c_custkey, concat_ws('; ', CASE WHEN c_acctbal < 0 THEN 'c_acctbal: below 0' WHEN c_acctbal > 9000 THEN 'c_acctbal: above 9000' END,
+CASE WHEN c_mktsegment NOT IN {_SEGMENTS} THEN 'c_mktsegment: unknown value' END) AS faults FROM customer"""
+)
+def validate_requests(spark, sf_dir):
+    from ..operators.requests import Field, validated
+
+    fields = [Field("c_acctbal", low=0, high=9000), Field("c_mktsegment", "string", values=_SEGMENTS)]
+    return validated(table(spark, sf_dir, "customer"), fields).select("c_custkey", "faults")
+
+
+@query("SELECT DISTINCT 'segment_' || c_mktsegment AS feature, 'Market segment: ' || c_mktsegment AS shown FROM customer UNION SELECT 'acctbal', 'Balance' FROM customer UNION SELECT 'other', 'other' FROM customer")
+def readable_features(spark, sf_dir):
+    from ..operators.requests import readable
+
+    customers = table(spark, sf_dir, "customer")
+    names = customers.select(F.explode(F.array(F.concat(F.lit("segment_"), "c_mktsegment"), F.lit("acctbal"), F.lit("other"))).alias("feature")).distinct()
+    return names.select("feature", readable(F.col("feature"), {"segment": "Market segment", "acctbal": "Balance"}).alias("shown"))
+
+
+@query("SELECT quality, count(*) AS n FROM labels GROUP BY quality")
+def stratified_folds(spark, sf_dir):
+    """Class sizes, summed over the folds: no row is in two folds or in none."""
+    rows = table(spark, sf_dir, "labels").withColumn("fold", scoring.stratified_fold("quality", "doc_id", 5))
+    return rows.where("fold between 0 and 4").groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n")).groupBy("quality").agg(F.sum("n").alias("n"))

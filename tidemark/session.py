@@ -10,3 +10,12 @@ def session(app: str = "tidemark", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name where all executors can write and read: below spark.checkpoint.dir, or the warehouse where that
+    is unset."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"

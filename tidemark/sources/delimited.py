@@ -189,25 +189,28 @@ def _header(rows: DataFrame) -> tuple[int, list[str]]:
     return found.line_number, found.fields
 
 
-def _evidence(v: Column) -> dict[str, Column]:
-    """What decides a column's kind, over all its cells."""
-    cand = V.is_candidate(v)
-    parts = V.date_parts(v)
-    apart = cand & (parts["style"] == "separated")
-    sure = lambda x: F.coalesce(x, F.lit(False))
-    pct = v.endswith("%")
-    both = cand & v.contains(",") & v.contains(".")
+def _facts(v: Column) -> dict[str, Column]:
+    """What a cell says about its column."""
+    cand, pct = V.is_candidate(v), v.endswith("%")
+    turnable, first, second = V.day_and_month(v)
+    return {
+        "cand": cand, "pct": cand & pct, "serial": cand & V.is_serial(v), "date": cand & V.is_date(v), "apart": cand & turnable, "first": first, "second": second,
+        "dot": cand & V.parse_number(v, ".").isNotNull(), "com": cand & V.parse_number(v, ",").isNotNull(), "comma": cand & v.rlike(r",[0-9]{1,2}$"),
+        "both": F.when(cand & v.contains(",") & v.contains("."), F.when(F.instr(F.reverse(v), ",") < F.instr(F.reverse(v), "."), ",").otherwise(".")),
+        "multiplied": cand & V.has_multiplier(v), "sign": F.when(cand, V.currency_of(v)), "token": V.is_null_token(v), "filled": v != "",
+    }
+
+
+def _evidence(i: int) -> Column:
+    """What decides a column's kind, from the facts of all its cells."""
+    f = lambda name: F.col(f"{name}_{i}")
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
     out = {
-        "cand": F.count_if(cand), "serial": F.count_if(cand & V.is_serial(v)), "dates": F.count_if(sure(cand & parts.isNotNull())), "apart": F.count_if(sure(apart)),
-        "first": F.max(F.when(apart, parts["first"])), "second": F.max(F.when(apart, parts["second"])),
-        "verdict": F.min_by(F.when(F.instr(F.reverse(v), ",") < F.instr(F.reverse(v), "."), ",").otherwise("."), F.when(both, F.col("line_number"))),
-        "comma": F.count_if(sure(cand & v.rlike(r",[0-9]{1,2}$"))), "pct": F.count_if(sure(cand & pct)), "multiplied": F.count_if(sure(cand & V.has_multiplier(v))),
-        "signs": F.collect_set(F.when(cand, V.currency_of(v))), "tokens": F.count_if(sure(V.is_null_token(v))),
+        "cand": n(f("cand")), "pct": n(f("pct")), "serial": n(f("serial")), "dates": n(f("date")), "apart": n(f("apart")), "first": F.max(F.when(f("apart"), f("first"))), "second": F.max(F.when(f("apart"), f("second"))),
+        "verdict": F.min_by(f("both"), F.when(f("both").isNotNull(), F.col("line_number"))), "comma": n(f("comma")), "multiplied": n(f("multiplied")), "signs": F.collect_set(f("sign")), "tokens": n(f("token")),
+        "dot_all": n(f("dot")), "dot_plain": n(f("dot") & ~f("pct")), "com_all": n(f("com")), "com_plain": n(f("com") & ~f("pct")), "filled": n(f("filled")),
     }
-    for name, sign in (("dot", "."), ("com", ",")):
-        number = cand & V.parse_number(v, sign).isNotNull()
-        out |= {f"{name}_all": F.count_if(sure(number)), f"{name}_plain": F.count_if(sure(number & ~pct))}
-    return out
+    return F.struct(*[x.alias(k) for k, x in out.items()]).alias(f"e{i}")
 
 
 def _decide(name: str, source: str, e: dict, day_first: bool | None) -> tuple[Column_, list[Warned]]:
@@ -278,9 +281,8 @@ def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, d
     kept = body.where(F.col("status").isin("kept", "trimmed"))
     flat = kept.select("line_number", *[F.col("v")[i].alias(f"c{i}") for i in range(n)])
 
-    evidence = [F.struct(*[x.alias(k) for k, x in _evidence(F.col(f"c{i}")).items()]).alias(f"e{i}") for i in range(n)]
-    blank = [F.max(F.col(f"c{i}") != "").alias(f"b{i}") for i in range(n)]
-    found = flat.agg(*evidence, *blank).first()
+    facts = flat.select("line_number", *[x.alias(f"{k}_{i}") for i in range(n) for k, x in _facts(F.col(f"c{i}")).items()])
+    found = facts.agg(*map(_evidence, range(n))).first()
     counted = {r.status: r.n for r in body.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {"kept": counted.get("kept", 0) + counted.get("trimmed", 0), "empty": counted.get("empty", 0), "rejected": counted.get("rejected", 0)}
     counts["n_rows_in"] = sum(counts.values())
@@ -293,7 +295,7 @@ def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, d
 
     columns, places = [], []
     for i, name in enumerate(names):
-        if unnamed[i] and not found[f"b{i}"]:
+        if unnamed[i] and not found[f"e{i}"].filled:
             warnings.append(Warned("ghost_column", name, f"{name}: unnamed and empty, dropped"))
             continue
         column, said = _decide(name, fields[i], found[f"e{i}"].asDict(), day_first)
