@@ -64,10 +64,10 @@ def test_awkward_rows(spark):
         "doc_id long, text string, distance string",
     )
     got = dc.contaminated(docs, items, rate=0.07)
-    assert got.columns == ["doc_id", "text", "distance", "_found"]
-    found = {r.distance: sorted({(x.item_id, x.distance) for x in r._found}) for r in got.collect()}
+    assert got.columns == ["doc_id", "text", "distance", "_benchmark_items"]
+    found = {r.distance: sorted({(x.item_id, x.distance) for x in r._benchmark_items}) for r in got.collect()}
     assert found == {"a": [(1, 0)], "b": [], "c": [], "d": [], "e": [(1, 2)], "f": [(1, 1)]}
     assert {r.distance for r in dc.clean(docs, items, rate=0.07).collect()} == {"b", "c", "d"}
     few = dc.contaminated(docs, items, rate=0.07, block_items=1)
-    assert {r.distance: sorted({(x.item_id, x.distance) for x in r._found}) for r in few.collect()} == found
+    assert {r.distance: sorted({(x.item_id, x.distance) for x in r._benchmark_items}) for r in few.collect()} == found
     assert dc.clean(docs.limit(0), items).count() == 0 and dc.clean(docs, items.limit(0)).count() == 6

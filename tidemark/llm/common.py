@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, *partitions: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, and survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"

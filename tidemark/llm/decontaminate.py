@@ -120,13 +120,13 @@ def _block(items: list[tuple[int, str]], rate: float, place: int):
             built.append(Matcher(items, rate))
         for batch in batches:
             found = [old + built[0](t) for t, old in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            yield batch.set_column(batch.num_columns - 1, "_found", pa.array(found, batch.schema.field("_found").type))
+            yield batch.set_column(batch.num_columns - 1, "_benchmark_items", pa.array(found, batch.schema.field("_benchmark_items").type))
 
     return run
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """documents with a column _found: for each benchmark item (item_id, text) that the text holds within
+    """documents with a column _benchmark_items: for each benchmark item (item_id, text) that the text holds within
     floor(rate * length) errors, its id, the least distance and the first end of such a match, in normal text.
 
     Items without an id or of fewer than five words are ignored; a null or empty text holds nothing; items that are
@@ -134,7 +134,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR
     """
     blocks = -(-benchmark.count() // block_items)
     numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
-    out = documents.withColumn("_found", F.expr(f"cast(array() as {FOUND})"))
+    out = documents.withColumn("_benchmark_items", F.expr(f"cast(array() as {FOUND})"))
     for k in range(blocks):
         items = [(r.item_id, r.text) for r in numbered.where(F.col("block") == k).orderBy("item_id", "text").collect()]
         out = out.mapInArrow(_block(items, rate, documents.columns.index("text")), T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema]))
@@ -143,13 +143,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR
 
 def clean(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return contaminated(documents, benchmark, rate).where("size(_found) = 0").drop("_found")
+    return contaminated(documents, benchmark, rate).where("size(_benchmark_items) = 0").drop("_benchmark_items")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     rows = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    best = F.array_min(F.transform("_found", lambda x: F.struct(x["distance"].alias("distance"), x["item_id"].alias("item_id"))))
+    best = F.array_min(F.transform("_benchmark_items", lambda x: F.struct(x["distance"].alias("distance"), x["item_id"].alias("item_id"))))
     return rows.select(
-        "doc_id", F.size("_found").cast("long").alias("n_items"), best["item_id"].alias("item_id"), best["distance"].alias("distance"),
-        F.array_join(F.array_sort(F.transform("_found", lambda x: x["item_id"])).cast("array<string>"), ",").alias("item_ids"), (F.size("_found") == 0).alias("kept"),
+        "doc_id", F.size("_benchmark_items").cast("long").alias("n_items"), best["item_id"].alias("item_id"), best["distance"].alias("distance"),
+        F.array_join(F.array_sort(F.transform("_benchmark_items", lambda x: x["item_id"])).cast("array<string>"), ",").alias("item_ids"), (F.size("_benchmark_items") == 0).alias("kept"),
     )

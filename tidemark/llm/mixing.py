@@ -126,10 +126,10 @@ def mixed_rows(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: a row per copy of a document, with documents' columns (a last partial copy is cut after its
     part words). Rows that share a doc_id are matched by size too; equal pairs share one plan row."""
     plan = mixed.where("taken > 0").groupBy("doc_id", "size").agg(F.max("passes").alias("passes"), F.max("part").alias("part"))
-    there = documents.withColumn("_size", word_count(F.col("text")))
-    both = there.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._size") == F.col("p.size")))
-    copies = both.select("d.*", F.explode(F.expr("concat(array_repeat(d._size, cast(p.passes as int)), if(p.part > 0, array(p.part), array()))")).alias("_words"))
-    cut = F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
+    there = documents.withColumn("_words_there", word_count(F.col("text")))
+    both = there.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._words_there") == F.col("p.size")))
+    copies = both.select("d.*", F.explode(F.expr("concat(array_repeat(d._words_there, cast(p.passes as int)), if(p.part > 0, array(p.part), array()))")).alias("_words_taken"))
+    cut = F.when(F.col("_words_taken") < F.col("_words_there"), first_words(F.col("text"), F.col("_words_taken"))).otherwise(F.col("text"))
     out = copies.withColumn("text", cut)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
