@@ -511,3 +511,11 @@ def stratified_folds(spark, sf_dir):
     """Class sizes, summed over the folds: no row is in two folds or in none."""
     rows = table(spark, sf_dir, "labels").withColumn("fold", scoring.stratified_fold("quality", "doc_id", 5))
     return rows.where("fold between 0 and 4").groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n")).groupBy("quality").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT user_id AS customer, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_events FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def daily_activity(spark, sf_dir):
+    from ..streaming.activity import activity
+
+    rows = activity(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), customer="user_id", timestamp="ts")
+    return rows.select("customer", F.date_format("start", "yyyy-MM-dd").alias("day"), "n_events")
