@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import Memo, sliced, table
 
 SPACE = "▁"
 #: The library's penalty for an unknown character.
@@ -33,14 +33,14 @@ def vocabulary(path: str) -> tuple[tuple[str, float], ...]:
     return tuple((model.id_to_piece(i), -math.log(i + 2.7) - norm) for i in range(size))
 
 
-class Counter(dict):
-    """Pieces of a word (with the space mark in front), each word solved once until so many are known."""
-
-    LIMIT = 600_000
+class Counter(Memo):
+    """Pieces of a word (with the space mark in front)."""
 
     def __init__(self, vocab, byte_fallback: bool = True):
         import ahocorasick
 
+        super().__init__()
+
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocab:
             if piece:
@@ -50,12 +50,6 @@ class Counter(dict):
         pieces = {p for p, _ in vocab}
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in pieces for b in range(256))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = out = self.solve(word)
-        return out
-
     def solve(self, word: str) -> int:
         n = len(word)
         score, count, open_run = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
@@ -99,12 +93,17 @@ class Counter(dict):
 _counters: dict[str, Counter] = {}
 
 
+def counter(path: str) -> Counter:
+    """One per Python worker, which serves many tasks."""
+    if path not in _counters:
+        _counters[path] = Counter(vocabulary(path))
+    return _counters[path]
+
+
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:  # one per Python worker, which serves many tasks
-            _counters[path] = Counter(vocabulary(path))
-        count = _counters[path].count
-        for batch in batches:
+        count = counter(path).count
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(t) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
     return run
