@@ -15,6 +15,39 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of an Arrow batch that a task turns into Python objects at a time.
+SLICE_ROWS = 512
+
+
+class Memo(dict):
+    """Answers of solve() for the keys seen of late, in a bounded number: once `limit` are known they become the old
+    ones, of which those asked for again move back, and the rest go when the new ones are full."""
+
+    def __init__(self, limit: int = 150_000):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def solve(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.solve(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+def sliced(batches):
+    """The same rows in smaller Arrow batches, without copying."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import sliced, table
 
 #: Errors allowed, as a share of an item's characters.
 ERROR_RATE = 0.05
@@ -118,7 +118,7 @@ def _block(items: list[tuple[int, str]], rate: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(Matcher(items, rate))
-        for batch in batches:
+        for batch in sliced(batches):
             found = [old + built[0](t) for t, old in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             yield batch.set_column(batch.num_columns - 1, "_benchmark_items", pa.array(found, batch.schema.field("_benchmark_items").type))
 

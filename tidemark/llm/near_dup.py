@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import BROADCAST_ROWS, forget, small, stored, table
+from .common import BROADCAST_ROWS, forget, sliced, small, stored, table
 from .components import components
 from .shingles import WordHashes, shingle_sets
 
@@ -77,7 +77,7 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         sizes, keys, rows = [], [], []
         for s in shingle_sets(batch.column(1).to_pylist(), seen):
             sizes.append(len(s))
@@ -92,7 +92,7 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         found = np.empty((batch.num_rows, BANDS), np.uint64)
         for i, r in enumerate(batch.column(2).to_pylist()):
             for k in range(BANDS):
@@ -120,7 +120,7 @@ def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, last, last_set = WordHashes(), None, None
-    for batch in batches:
+    for batch in sliced(batches):
         a, b, ta, tb = (c.to_pylist() for c in batch.columns)
         common, either = [], []
         for i, s in enumerate(shingle_sets(ta, seen)):
@@ -167,7 +167,7 @@ def _star(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch.column(0).to_pylist()
         for i, s in zip(ids, shingle_sets(batch.column(1).to_pylist(), seen), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], ["doc", "shingle"])

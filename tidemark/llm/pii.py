@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, small, stored, table
+from .common import forget, sliced, small, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "found")
 FOUND = 4
@@ -118,7 +118,7 @@ def sightings(text: str | None, spans: list[tuple[int, int, int]]) -> list[dict]
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     seen = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64()), ("context", pa.int64()), ("seed", pa.bool_())]))
-    for batch in batches:
+    for batch in sliced(batches):
         rows, spans, sights = [], [], []
         for text in batch.column(1).to_pylist():
             found = base_spans(text)

@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import Memo, sliced, small, stored, table
 
 #: Labelled documents that the classifier is fitted on: those whose ids hash lowest.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 4_000
 WORD_SLOTS = 1 << 18
 #: Words count for the toxic head if their labels differ from the average by so much (one degree of freedom).
 MIN_CHI2 = 40.0
@@ -30,16 +30,11 @@ _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-class Slots(dict):
+class Slots(Memo):
     """Slot of a word: its hash once lower-cased and freed of punctuation at its ends."""
 
-    LIMIT = 500_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = out = xxhash.xxh32_intdigest(word.lower().strip(_EDGES).encode()) % WORD_SLOTS
-        return out
+    def solve(self, word: str) -> int:
+        return xxhash.xxh32_intdigest(word.lower().strip(_EDGES).encode()) % WORD_SLOTS
 
 
 def features(text: str | None, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +57,7 @@ def features(text: str | None, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots = Slots()
-    for batch in batches:
+    for batch in sliced(batches):
         both = [features(t, slots) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _ in both], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in both], pa.binary())], ["doc_id", "shape", "words"])
 
@@ -118,7 +113,7 @@ def fit(sample: pd.DataFrame) -> dict:
 def _scorer(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
-        for batch in batches:
+        for batch in sliced(batches):
             out = np.empty((2, batch.num_rows))
             for i, t in enumerate(batch.column(1).to_pylist()):
                 shape, words = features(t, slots)
@@ -145,14 +140,15 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     return fit(got.limit(max_train).toPandas())
 
 
-def site_posteriors(scored: DataFrame, head: str) -> DataFrame:
-    """host, path, prior, host_posterior, path_n, path_sum, path_strength for one head (column `head`, from 0 to 1).
+def site_posteriors(paths: DataFrame, head: str) -> DataFrame:
+    """host, path, prior, host_posterior, path_n, path_sum, path_strength for one head, from paths: host, path, n and a
+    sum of the head (values from 0 to 1) under its name.
 
     Counts are soft: labels where there are some, otherwise the classifier's probability. The strength of a level's
     prior comes from how far sites spread around the level above (method of moments): the less they differ, the more
     they are shrunk.
     """
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(head).alias("s"))
+    paths = paths.select("host", "path", "n", F.col(head).alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.count(F.lit(1)).alias("n_paths"))
     total = hosts.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s")).select((F.col("all_s") / F.greatest("all_n", F.lit(1))).alias("prior"))
 
@@ -190,8 +186,9 @@ def classify(documents: DataFrame, labels: DataFrame, *, host: str = "source", p
     known = known.select("doc_id", "host", "path", "doc_bad", "doc_toxic", *[F.coalesce(F.col(h).cast("double"), F.col(f"doc_{h}")).alias(h) for h in HEADS])
     known = stored(known)
     logit = lambda p: F.log(p / (1 - p))
+    paths = stored(known.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(h) for h in HEADS]))
     for h in HEADS:
-        site = site_posteriors(known, h).alias("s")
+        site = site_posteriors(paths, h).alias("s")
         both = known.alias("k").join(site, F.col("k.host").eqNullSafe(F.col("s.host")) & F.col("k.path").eqNullSafe(F.col("s.path")))
         posterior = (F.col("path_sum") - F.col(f"k.{h}") + F.col("path_strength") * F.col("host_posterior")) / (F.col("path_n") - 1 + F.col("path_strength"))
         inside = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import Memo, sliced, table
 from .shingles import rolled
 
 # Largest shares that are kept, from published web-text filtering rules.
@@ -34,16 +34,11 @@ MEASURES = ["dup_line_chars", *(f"top_{k}" for k in MAX_TOP), *(f"dup_{k}" for k
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-class Words(dict):
-    """64-bit hash of a word, kept until so many are known."""
+class Words(Memo):
+    """64-bit hash of a word."""
 
-    LIMIT = 500_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word.encode())
-        return out
+    def solve(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word.encode())
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -119,7 +114,7 @@ def judge(text: str | None, seen: Words) -> tuple[list[int], list[float], bool,
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = Words()
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [judge(t, seen) for t in batch.column(1).to_pylist()]
         columns = [batch.column(0), *(pa.array([r[0][i] for r in rows], pa.int64()) for i in range(len(BASE)))]
         columns += [pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_())]

@@ -7,20 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+from .common import Memo
+
 WIDTH = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), kept until so many words are known that it starts anew."""
-
-    LIMIT = 500_000
+class WordHashes(Memo):
+    """64-bit hash of a word (bytes)."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
+    def solve(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

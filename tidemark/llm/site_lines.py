@@ -15,6 +15,8 @@ from .common import stored, table
 MAX_RATIO = 0.3
 #: Hosts with fewer pages show nothing about their lines.
 MIN_PAGES = 5
+#: Boilerplate of so many bytes, measured, is broadcast to the pages; of more, pages and boilerplate are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 _UNSEEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 _BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|div|dl|dt|dd|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
@@ -48,8 +50,10 @@ def site_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     read = stored(pages.select("page_id", host_of(F.col("url")).alias("host"), F.coalesce(lines_of(F.col("html")), F.expr("cast(array() as array<string>)")).alias("lines")))
     pages_of = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     held = read.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("on"))
-    common = held.join(pages_of, "host").where(F.col("on") > F.col("pages") * F.lit(max_ratio)).groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
-    both = read.join(common, "host", "left")
+    flagged = stored(held.join(pages_of, "host").where(F.col("on") > F.col("pages") * F.lit(max_ratio)).select("host", "line"))
+    common = flagged.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
+    size = flagged.agg(F.coalesce(F.sum(F.octet_length("line") + F.octet_length("host") + 64), F.lit(0))).first()[0]
+    both = read.join(F.broadcast(common) if size <= BROADCAST_BYTES else common, "host", "left")
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", x)))
     return both.withColumn("kept", kept).select(
         "page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import shared_dir, table
+from .common import Memo, shared_dir, sliced, table
 
 SEGMENT_TOKENS = 1 << 21
 BLOCK_TOKENS = 1 << 20
 LANES = 4096
 MARK_STEPS = 128
 END = 0
+#: Words, and pieces of words, whose ids a Python worker keeps twice as many of at most.
+REMEMBERED = 300_000
 
 SCHEMA = "part int, segment int, n_tokens long, doc_ids binary, lengths binary, frequencies binary, blocks array<binary>"
 
@@ -38,16 +40,26 @@ def _byte_characters() -> str:
     return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
-class Tokens(dict):
+class Pieces(Memo):
+    """Ids of what the pattern makes of a text, by the library's model."""
+
+    def __init__(self, model):
+        super().__init__(REMEMBERED)
+        self.model, self.characters = model, _byte_characters()
+
+    def solve(self, piece: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+        return struct.pack(f"<{len(found)}H", *found)
+
+
+class Tokens(Memo):
     """Token ids (little-endian uint16 bytes) of words with a space in front.
 
     The tokenizer's pattern never joins a space that follows something else than white space to what stands before it,
     so a text cut before such spaces is encoded word by word, and a word again by the pieces that its pattern makes.
-    Both come again and again: each is encoded once, by the library's model, until so many are known that the table
-    starts anew. Words with letters beyond Latin go through the library's whole encoder.
+    Both come again and again and are remembered. Words with letters beyond Latin go through the library's whole encoder.
     """
 
-    LIMIT = 700_000
     _odd = re.compile(r"\s ")
     _cut = re.compile(r"(?<=\S) ")
 
@@ -56,12 +68,11 @@ class Tokens(dict):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__(REMEMBERED)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.characters = _byte_characters()
-        self.piece_ids: dict[str, bytes] = {}
+        self.known = Pieces(self.tokenizer.model)
 
     def cut(self, text: str) -> list[str]:
         return self._cut.split(text) if text[:1] == " " or self._odd.search(text) else text.split(" ")
@@ -70,27 +81,15 @@ class Tokens(dict):
         """Of a short text, from the model and the table of pieces."""
         if max(text) >= "\u0250":
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        known, out = self.piece_ids, []
         word, tail = text[1:-1], text[-1]
         if text[0] == " " and word.isalpha() and (tail in ".,;:" or tail.isalpha()):  # what the pattern does to most words
             pieces = (text,) if tail.isalpha() else (text[:-1], tail)
         else:
             pieces = self.pattern.findall(text)
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= self.LIMIT:
-                    known.clear()
-                found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
-                known[piece] = ids = struct.pack(f"<{len(found)}H", *found)
-            out.append(ids)
-        return b"".join(out)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = out = self.ids(" " + word)
-        return out
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def solve(self, word: str) -> bytes:
+        return self.ids(" " + word)
 
     def encode(self, texts: list) -> list[bytes]:
         """Each text's ids with the end id."""
@@ -156,16 +155,14 @@ def _write(path: str, segment_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = tokens(path), TaskContext.get().partitionId()
         ids, pieces, size, number = [], [], 0, 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                some = batch.slice(i, 512)
-                for d, p in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(d)
-                    pieces.append(p)
-                    size += len(p) // 2
-                    if size >= segment_tokens:
-                        yield segment(part, number, ids, pieces)
-                        ids, pieces, size, number = [], [], 0, number + 1
+        for batch in sliced(batches):
+            for d, p in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                ids.append(d)
+                pieces.append(p)
+                size += len(p) // 2
+                if size >= segment_tokens:
+                    yield segment(part, number, ids, pieces)
+                    ids, pieces, size, number = [], [], 0, number + 1
         if ids:
             yield segment(part, number, ids, pieces)
 
