@@ -7,6 +7,7 @@ two sets agree in a register about as often as their Jaccard similarity says.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ TOP = 65534
 ROWS = 8
 BANDS = 48
 REGISTERS = ROWS * BANDS
+#: Largest probability that a pair at the threshold shares no band.
+MISSED = 3e-7
 
 #: A pair goes on to verification unless its estimate lies this far below the threshold: eight standard errors.
 MARGIN = 0.2
@@ -48,6 +51,17 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows of a band and number of bands, BANDS at least: the longest bands (of up to ROWS) that miss a pair at the
+    threshold with a probability of MISSED at most; all registers one by one where none do."""
+    for rows in range(ROWS, 0, -1):
+        agree = min(max(percent / 100, 0.0), 1.0) ** rows
+        need = math.ceil(math.log(MISSED) / math.log1p(-agree)) if 0 < agree < 1 else 1 if agree else REGISTERS + 1
+        if rows * max(need, BANDS) <= REGISTERS:
+            return rows, max(need, BANDS)
+    return 1, REGISTERS
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum(a, b)
@@ -91,21 +105,24 @@ def sketches(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, key binary, registers binary")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        found = np.empty((batch.num_rows, BANDS), np.uint64)
-        for i, r in enumerate(batch.column(2).to_pylist()):
-            for k in range(BANDS):
-                found[i, k] = xxhash.xxh64_intdigest(r[k * ROWS * 2 : (k + 1) * ROWS * 2], seed=k)
-        repeat = lambda x: pa.array(np.repeat(x.to_numpy(zero_copy_only=False), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), repeat(batch.column(0)), repeat(batch.column(1))], ["bucket", "doc", "n"])
+def _buckets(size: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = np.empty((batch.num_rows, bands), np.uint64)
+            for i, r in enumerate(batch.column(2).to_pylist()):
+                for k in range(bands):
+                    found[i, k] = xxhash.xxh64_intdigest(r[k * size * 2 : (k + 1) * size * 2], seed=k)
+            repeat = lambda x: pa.array(np.repeat(x.to_numpy(zero_copy_only=False), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), repeat(batch.column(0)), repeat(batch.column(1))], ["bucket", "doc", "n"])
+
+    return run
 
 
-def buckets(sketched: DataFrame) -> DataFrame:
+def buckets(sketched: DataFrame, percent: int = 85) -> DataFrame:
     """bucket, doc, n: the rows of bands that at least two different sets share."""
     one = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     rows = sketched.join(one, ["key", "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
-    rows = rows.mapInArrow(_buckets, "bucket long, doc long, n long")
+    rows = rows.mapInArrow(_buckets(*banding(percent)), "bucket long, doc long, n long")
     shared = rows.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("bucket")
     return rows.join(shared, "bucket", "left_semi")
 
@@ -212,7 +229,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """
     documents = documents.select("doc_id", "text")
     sketched = stored(sketches(documents))
-    rows = stored(buckets(sketched))
+    rows = stored(buckets(sketched, percent))
     unsettled = rows.withColumn("comp", F.col("doc"))
     links, done = None, [rows]
     for step in (_star, _star, _rest):
