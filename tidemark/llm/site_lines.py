@@ -13,7 +13,9 @@ from .common import stored, table
 
 #: Largest share of a host's pages that a line may stand on.
 MAX_RATIO = 0.3
-#: Hosts with fewer pages show nothing about their lines.
+#: Pages of a host that a line must stand on to be boilerplate: a line of one page is above any ratio on a small host.
+MIN_ON = 2
+#: Hosts with fewer pages are exempt in the SQL of op5_site_lines, and so in that query alone.
 MIN_PAGES = 5
 #: Boilerplate of so many bytes, measured, is broadcast to the pages; of more, pages and boilerplate are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -39,10 +41,13 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def site_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def site_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = 1, min_on: int = MIN_ON) -> DataFrame:
     """page_id, host, n_lines, n_dropped, text (the lines that stay): a row per row of pages (page_id, url, html;
     others are ignored).
 
+    A line is dropped from a host of any size where it stands on more than max_ratio of the host's pages and on min_on of
+    them at least; so the only page of a host keeps all its lines, however often one is repeated there.
+
     A line counts once a page; every row is a page, repeated ones too. Null html has no lines; null or strange URLs
     share the empty host. No rows give no rows. Lines above the ratio are at most as many as a host's pages have lines
     on average, divided by the ratio, so that one array holds them however large the host is.
@@ -50,7 +55,7 @@ def site_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     read = stored(pages.select("page_id", host_of(F.col("url")).alias("host"), F.coalesce(lines_of(F.col("html")), F.expr("cast(array() as array<string>)")).alias("lines")))
     pages_of = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     held = read.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("on"))
-    flagged = stored(held.join(pages_of, "host").where(F.col("on") > F.col("pages") * F.lit(max_ratio)).select("host", "line"))
+    flagged = stored(held.join(pages_of, "host").where((F.col("on") > F.col("pages") * F.lit(max_ratio)) & (F.col("on") >= min_on)).select("host", "line"))
     common = flagged.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
     size = flagged.agg(F.coalesce(F.sum(F.octet_length("line") + F.octet_length("host") + 64), F.lit(0))).first()[0]
     both = read.join(F.broadcast(common) if size <= BROADCAST_BYTES else common, "host", "left")
@@ -60,11 +65,19 @@ def site_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     )
 
 
-def op5_site_lines(spark, sf_dir: str) -> DataFrame:
-    out = site_lines(table(spark, sf_dir, "pages"))
+def _digests(out: DataFrame) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op5_site_lines(spark, sf_dir: str) -> DataFrame:
+    """By its SQL, which leaves hosts with fewer than MIN_PAGES pages alone; op5_site_lines_all_hosts has no such limit."""
+    return _digests(site_lines(table(spark, sf_dir, "pages"), min_pages=MIN_PAGES, min_on=1))
+
+
+def op5_site_lines_all_hosts(spark, sf_dir: str) -> DataFrame:
+    return _digests(site_lines(table(spark, sf_dir, "pages")))
+
+
 def _sql_text() -> str:
     text = rf"regexp_replace(html, '[\r\n]', ' ', 'g')"  # noqa: F541
     for pattern, by in ((_UNSEEN, "' '"), (_BLOCK, "chr(10)"), (_TAG, "''")):
@@ -93,3 +106,6 @@ SELECT l.page_id, l.host, CAST(len(l.lines) AS BIGINT) AS n_lines, CAST(len(l.li
 FROM l LEFT JOIN k ON l.r = k.r
 """
 }
+
+#: The same rule on every host: a line on more than the ratio of its pages, and on MIN_ON of them at least.
+SQL["op5_site_lines_all_hosts"] = SQL["op5_site_lines"].replace(f"h.pages >= {MIN_PAGES}", f"c.n >= {MIN_ON}")
