@@ -131,3 +131,20 @@ def resolve_threshold(override: float | None, model: float | None) -> tuple[floa
     if override is not None:
         return override, "override"
     return (model, "model") if model is not None else (0.5, "fallback")
+
+
+def placed(df: DataFrame, probability: str, key: str) -> DataFrame:
+    """All rows with their place in the global sort, highest probability first. The sorted rows are stored once with
+    their position in their partition; only the number of rows of each partition comes to the driver."""
+    from ..session import scratch
+
+    spark, path = df.sparkSession, scratch(df.sparkSession, "placed")
+    df.orderBy(F.desc(probability), key).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    before, offsets = 0, []
+    for r in sorted(rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["__part"], before))
+        before += r.n
+    offsets = spark.createDataFrame(offsets, "__part long, __before long")
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(offsets), "__part").select(*df.columns, place.alias("place"))

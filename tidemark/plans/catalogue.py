@@ -448,6 +448,19 @@ def scored_sort(spark, sf_dir):
     return _risk(spark, sf_dir).orderBy(F.desc("p"), "c_custkey").limit(100).select("c_custkey", F.round("p", 4).alias("p"))
 
 
+@query(_RISK + ", s AS (SELECT *, row_number() OVER (ORDER BY p DESC, c_custkey) AS place FROM r) SELECT place, c_custkey, round(p, 4) AS p, CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' ELSE 'Low' END AS risk_band FROM s")
+def scored_sort_all(spark, sf_dir):
+    """Every customer with its place in the global sort (scored_sort has the first 100, by its SQL), exported with
+    write_scored() and read back."""
+    from ..session import scratch
+    from ..sources.sinks import write_scored
+
+    path = scratch(spark, "scored")
+    rows = _risk(spark, sf_dir).select("c_custkey", "p", V.risk_band(F.col("p")).alias("risk_band"))
+    write_scored(scoring.placed(rows, "p", "c_custkey"), path, "p", "c_custkey")
+    return spark.read.schema("c_custkey long, p double, risk_band string, place long").option("header", True).csv(path).select("place", "c_custkey", F.round("p", 4).alias("p"), "risk_band")
+
+
 @query()
 def logistic_scores(spark, sf_dir):
     """A fitted pipeline's probability of low quality for each labelled document."""
