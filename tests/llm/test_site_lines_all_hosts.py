@@ -22,4 +22,4 @@ def test_query_equals_sql_and_drops_on_small_hosts(spark, sf):
     pages = {}
     for r in got:
         pages.setdefault(r.host, []).append(r.n_dropped)
-    assert any(len(v) < sl.MIN_PAGES and sum(v) for v in pages.values())
+    assert any(len(v) < 5 and sum(v) for v in pages.values())
