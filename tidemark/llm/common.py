@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
-#: Rows of an Arrow batch that a task turns into Python objects at a time.
+#: Rows, and bytes, of an Arrow batch that a task works on at a time.
 SLICE_ROWS = 512
+SLICE_BYTES = 4 << 20
+
+#: Longer keys are solved each time they come: a text without spaces is one key, as long as the text.
+LONGEST_KEY = 64
 
 
 class Memo(dict):
-    """Answers of solve() for the keys seen of late, in a bounded number: once `limit` are known they become the old
-    ones, of which those asked for again move back, and the rest go when the new ones are full."""
+    """Answers of solve() for the keys seen of late, in a bounded number of bounded size: once `limit` are known they
+    become the old ones, of which those asked for again move back, and the rest go when the new ones are full. Keys
+    above LONGEST_KEY are not kept."""
 
     def __init__(self, limit: int = 150_000):
         super().__init__()
@@ -31,21 +37,37 @@ class Memo(dict):
         raise NotImplementedError
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.solve(key)
         out = self.old.get(key)
-        if out is None:
-            out = self.solve(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
+        return self.keep(key, self.solve(key) if out is None else out)
+
+    def keep(self, key, out):
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
         return out
 
 
-def sliced(batches):
+def sliced(batches, rows: int = SLICE_ROWS):
     """The same rows in smaller Arrow batches, without copying."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def sliced_by_bytes(batches, column: int, most: int = SLICE_BYTES):
+    """The same rows in Arrow batches whose texts in a column have about so many bytes, without copying; a longer text is
+    a batch of its own."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +75,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or what SparkContext.setCheckpointDir() was given. No
+    machine's own temporary folder takes its place: other machines would not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return where.rstrip("/")
 
 

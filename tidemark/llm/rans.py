@@ -1,5 +1,5 @@
 """A static range asymmetric numeral system over token ids in numpy: shared frequency tables, independent blocks of
-interleaved lanes, checkpoints inside blocks to start decoding from, and a checksum per block.
+interleaved lanes, checkpoints that cut blocks into spans to start decoding from, and a checksum per span.
 
 Each lane is a state kept in [2**21, 2**53), renormalised by 32-bit words; below 2**53 a division in floating point
 rounds down to the exact quotient, which is several times as fast as one of integers. Step t of a block codes the symbols
@@ -57,8 +57,8 @@ class Codec:
         return symbol, self.freq[symbol].astype(np.int32), (np.arange(len(symbol)) - self.start[symbol]).astype(np.int32)
 
     def encode(self, symbols: np.ndarray, lanes: int, every: int) -> dict:
-        """states: of the lanes, to start decoding at step 0; marks: step, place in words and states every so many
-        steps; crc32: of the symbols as little-endian unsigned 32-bit integers."""
+        """marks: step, place in words and states at the start of every span of so many steps, the first included; crcs:
+        of each span's symbols as little-endian unsigned 32-bit integers."""
         n = len(symbols)
         steps = -(-n // lanes)
         freq, start = self.freq.take(symbols), self.start.take(symbols)
@@ -75,36 +75,42 @@ class Codec:
                 x[full] = out >> 32
             q = (x / f).astype(np.int64)
             x += (q << BITS) - q * f + c
-            if t and t % every == 0:
+            if t % every == 0:
                 marks.append((t, place, state.copy()))
         flat = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
-        marks = [(t, len(flat) - p, s) for t, p, s in reversed(marks)]
-        return {"n": n, "lanes": lanes, "states": state, "words": flat, "marks": marks, "crc32": zlib.crc32(symbols.astype("<u4").tobytes())}
+        plain = symbols.astype("<u4")
+        return {
+            "n": n, "lanes": lanes, "every": every, "words": flat, "marks": [(t, len(flat) - p, s) for t, p, s in reversed(marks)],
+            "crcs": [zlib.crc32(plain[i : i + every * lanes]) for i in range(0, n, every * lanes)],
+        }
 
-    def decode(self, block: dict, first_step: int = 0, last_step: int | None = None) -> np.ndarray:
-        """The symbols of a block, or of the steps from a mark's (or 0) up to last_step."""
-        n, lanes, words = block["n"], block["lanes"], block["words"].astype(np.int64)
+    def decode(self, block: dict, spans: range | None = None) -> np.ndarray:
+        """The symbols of a block, or of some of its spans, each held against its checksum; what stands before the first
+        of them is not decoded."""
+        n, lanes, every, words = block["n"], block["lanes"], block["every"], block["words"].astype(np.int64)
         if not hasattr(self, "_slots"):
             self._slots = self.slots()
         symbol, freq, among = self._slots
-        steps = -(-n // lanes)
-        last_step = steps if last_step is None else min(last_step, steps)
-        state, place = block["states"].copy(), 0
-        if first_step:
-            place, state = next((p, s.copy()) for t, p, s in block["marks"] if t == first_step)
-        out = np.empty(max(0, min(n, last_step * lanes) - first_step * lanes), np.uint32)
+        spans = range(len(block["marks"])) if spans is None else spans
+        first, end = spans.start * every * lanes, min(n, spans.stop * every * lanes)
+        out = np.empty(max(0, end - first), np.uint32)
         done = 0
-        for t in range(first_step, last_step):
-            k = min(lanes, n - t * lanes)
-            x = state[:k]
-            slot = x & ((1 << BITS) - 1)
-            symbol.take(slot, out=out[done : done + k], mode="clip")
-            x >>= BITS
-            x *= freq.take(slot)
-            x += among.take(slot)
-            low = np.flatnonzero(x < LOW)
-            if len(low):
-                x[low] = (x.take(low) << 32) | words[place : place + len(low)]
-                place += len(low)
-            done += k
+        for i in spans:
+            t, place, state = block["marks"][i]
+            state, begun = state.copy(), done
+            for t in range(t, min(t + every, -(-n // lanes))):
+                k = min(lanes, n - t * lanes)
+                x = state[:k]
+                slot = x & ((1 << BITS) - 1)
+                symbol.take(slot, out=out[done : done + k], mode="clip")
+                x >>= BITS
+                x *= freq.take(slot)
+                x += among.take(slot)
+                low = np.flatnonzero(x < LOW)
+                if len(low):
+                    x[low] = (x.take(low) << 32) | words[place : place + len(low)]
+                    place += len(low)
+                done += k
+            if zlib.crc32(out[begun:done]) != block["crcs"][i]:
+                raise ValueError(f"span {i}: its checksum does not match")
         return out
