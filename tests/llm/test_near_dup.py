@@ -1,15 +1,17 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import near_dup as nd
 from tidemark.llm.components import components
-from tidemark.llm.shingles import WordHashes, shingle_sets
+from tidemark.llm.shingles import shingle_sets
 
 
 def sets(text):
-    w = text.encode().lower().split() if text else []
+    w = re.sub(r"[A-Z]+", lambda m: m[0].lower(), text).encode().split() if text else []
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
@@ -62,6 +64,40 @@ def test_awkward_rows(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_id_of_two_texts_is_linked_by_both(spark):
+    """The second text of doc_id 5 has a near copy, 3; the first one has one too, 9."""
+    rnd = random.Random(2)
+    one, two = ([f"{x}{rnd.randrange(10**6)}" for _ in range(80)] for x in "uv")
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (3, " ".join([*two, "more"])), (9, " ".join([*one, "more"])), (20, "nothing like it at all here")]
+    for _ in range(2):
+        got = {(r.doc_id, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(5, 3), (3, 3), (9, 3), (20, 20)}
+        rows.reverse()
+
+
+@pytest.mark.parametrize("own", [8, 14])
+def test_templated_pages_are_not_paired_up(spark, monkeypatch, own):
+    """Pages of one template with some words of their own share buckets, but few pairs of them get as far as the test of
+    links: their number grows with the pages, not with its square."""
+    tested = []
+    linked = nd.linked
+    monkeypatch.setattr(nd, "linked", lambda pairs, *rest: (tested.append(pairs.count()), linked(pairs, *rest))[1])
+    for n in (100, 200):
+        rnd = random.Random(own)
+        template = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+        rows = []
+        for i in range(n):
+            words = list(template)
+            at = rnd.randrange(100)
+            words[at : at + own] = [f"x{i}_{k}" for k in range(own)]
+            rows.append((i, " ".join(words)))
+        tested.append(None)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute(rows)
+    few, many = (sum(x) for x in (tested[1 : tested.index(None, 1)], tested[tested.index(None, 1) + 1 :]))
+    assert many <= 2.6 * max(few, 100)
+
+
 def test_sketches_merge_and_agree():
     rnd = np.random.default_rng(1)
     for j in (0.3, 0.7, 0.85, 0.95):
@@ -81,7 +117,12 @@ def test_sketches_merge_and_agree():
 
 def test_shingle_sets_are_exact(sf, spark):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [None, "", "one", "one two three four", "a b c d e f " * 3]
-    assert [len(s) for s in shingle_sets(texts, WordHashes())] == [len(sets(t)) for t in texts]
+    texts += ["\u0085\u00a0x\x1c \x0b\x0c" * 3, "X" * 5000 + " y", "É é A a Ａ ａ", "w" * 511 + " " + "w" * 512 + " " + "w" * 513]
+    assert [len(s) for s in shingle_sets(pa.array(texts, pa.string()))] == [len(sets(t)) for t in texts]
+    assert [len(s) for s in shingle_sets(pa.array(texts, pa.string())[7:19])] == [len(sets(t)) for t in texts[7:19]]
+    assert list(shingle_sets(pa.array([], pa.string()))) == []
+    one, two, other = shingle_sets(pa.array(["A b\tc d e f", " a B c\nd E F ", "a b c d f e"]))
+    assert (one == two).all() and not set(one) & set(other)
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)], [(5, 5), (9, 8), (8, 9), (8, 9), (None, 3), (30, 20), (20, 10)]])

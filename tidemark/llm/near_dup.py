@@ -14,13 +14,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import BROADCAST_ROWS, forget, sliced, small, stored, table
+from .common import BROADCAST_ROWS, forget, sliced, sliced_by_bytes, small, stored, table
 from .components import components
-from .shingles import WordHashes, shingle_sets
+from .shingles import mixed, shingle_sets
 
 BASE = 1.001
 RATE = 20.0
@@ -34,21 +34,47 @@ MISSED = 3e-7
 #: A pair goes on to verification unless its estimate lies this far below the threshold: eight standard errors.
 MARGIN = 0.2
 
-_draw = np.random.default_rng(20240811)
-_TIMES = (_draw.integers(0, 2**32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_PLUS = _draw.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)[:, None]
+#: Sets that are sketched together, and points made at a time once few hashes are left.
+SKETCHED, POINTS = 256, 1 << 15
+#: Band rows of a hot shingle that one task may meet in the join of prefixes.
+SPLIT_ROWS = 1024
+
+
+def sketch_all(sets: list[np.ndarray]) -> np.ndarray:
+    """The SetSketches of sets of 64-bit hashes: a row of REGISTERS values from 0 to TOP as uint16 for each; the empty
+    set has zeros.
+
+    The points of a hash are a Poisson process in ascending order, each dealt to a register at random, so that a
+    register's least point is exponential and independent of the other registers'. A hash is done once its points are
+    above all the minima of its set, which is soon the case: about n + REGISTERS * log(REGISTERS) points in all.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    least = np.full(len(sets) * REGISTERS, np.inf)
+    x, k = np.zeros(len(h)), 0
+    while len(h):
+        many = min(512, max(1, POINTS // len(h)))  # points of each hash in this round
+        step = (np.arange(k + 1, k + many + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        r = mixed(h[:, None] + step)
+        gaps = np.log1p(-((r >> np.uint64(24)).astype(np.float64) + 0.5) / 2.0**40)
+        points = x[:, None] - (gaps.cumsum(axis=1) if many > 1 else gaps) / REGISTERS
+        # the lowest 24 bits choose the register
+        cell = (owner * REGISTERS)[:, None] + ((r & np.uint64(0xFFFFFF)) * np.uint64(REGISTERS) >> np.uint64(24)).astype(np.int64)
+        np.minimum.at(least, cell.reshape(-1), points.reshape(-1))
+        x, k = points[:, -1], k + many
+        some = np.flatnonzero(np.bincount(owner, minlength=len(sets)))
+        top = np.zeros(len(sets))
+        top[some] = least.reshape(-1, REGISTERS)[some].max(axis=1)
+        on = x < top[owner]
+        h, x, owner = h[on], x[on], owner[on]
+    with np.errstate(divide="ignore"):
+        values = np.clip(np.floor(1 - np.log(least / RATE) / np.log(BASE)), 0, TOP)
+    return np.where(np.isinf(least), 0, values).astype(np.uint16).reshape(-1, REGISTERS)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """The SetSketch of a set of 64-bit hashes: REGISTERS values from 0 to TOP as uint16; the empty set has zeros."""
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    if not len(shingles):
-        return np.zeros(REGISTERS, np.uint16)
-    keys = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(keys), 1024):
-        np.minimum(least, (_TIMES * keys[None, i : i + 1024] + _PLUS).min(axis=1), out=least)
-    x = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
+    """The sketch of one set."""
+    return sketch_all([shingles])[0]
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -90,14 +116,11 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
-    for batch in sliced(batches):
-        sizes, keys, rows = [], [], []
-        for s in shingle_sets(batch.column(1).to_pylist(), seen):
-            sizes.append(len(s))
-            keys.append(xxhash.xxh128_digest(s.tobytes()))
-            rows.append(registers(s).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "key", "registers"])
+    for batch in sliced_by_bytes(batches, 1):
+        sets = list(shingle_sets(batch.column(1)))
+        keys = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+        rows = [r.tobytes() for i in range(0, len(sets), SKETCHED) for r in sketch_all(sets[i : i + SKETCHED])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "key", "registers"])
 
 
 def sketches(documents: DataFrame) -> DataFrame:
@@ -119,10 +142,10 @@ def _buckets(size: int, bands: int):
 
 
 def buckets(sketched: DataFrame, percent: int = 85) -> DataFrame:
-    """bucket, doc, n: the rows of bands that at least two different sets share."""
-    one = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    rows = sketched.join(one, ["key", "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
-    rows = rows.mapInArrow(_buckets(*banding(percent)), "bucket long, doc long, n long")
+    """bucket, doc, n: the rows of bands that at least two different sets share. A set stands there once, under the least
+    doc_id of its copies; a doc_id of several texts has the rows of each set that it stands for."""
+    one = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "registers"), "doc_id").alias("one"))
+    rows = one.select("one.*").mapInArrow(_buckets(*banding(percent)), "bucket long, doc long, n long")
     shared = rows.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("bucket")
     return rows.join(shared, "bucket", "left_semi")
 
@@ -136,16 +159,16 @@ def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, last, last_set = WordHashes(), None, None
-    for batch in sliced(batches):
-        a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+    """Shingles that both texts have, and that either has."""
+    last, last_set = None, None
+    for batch in sliced_by_bytes(batches, 2):
         common, either = [], []
-        for i, s in enumerate(shingle_sets(ta, seen)):
-            if tb[i] != last or last_set is None:  # rows come ordered by b, so a large group is hashed once
-                last, last_set = tb[i], next(shingle_sets([tb[i]], seen))
-            both = len(np.intersect1d(s, last_set, assume_unique=True))
+        for a, text in zip(shingle_sets(batch.column(2)), batch.column(3), strict=True):
+            if last_set is None or text != last:  # rows come ordered by b, so a large group is hashed once
+                last, last_set = text, next(shingle_sets(pa.array([text.as_py()], pa.string())))
+            both = len(np.intersect1d(a, last_set, assume_unique=True))
             common.append(both)
-            either.append(len(s) + len(last_set) - both)
+            either.append(len(a) + len(last_set) - both)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
 
 
@@ -155,16 +178,16 @@ def linked(pairs: DataFrame, sketched: DataFrame, documents: DataFrame, percent:
     few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
     chosen = lambda df: df.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     k = chosen(sketched.select("doc_id", "n_shingles", "registers"))
-    near = (
+    near = (  # a doc_id of several texts is met with each
         pairs.join(k.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a")
         .join(k.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b")), "b")
         .where(_estimate("r_a", "r_b", "n_a", "n_b") >= percent / 100 - MARGIN)
-        .select("a", "b")
-    )
-    t = chosen(documents.select("doc_id", "text"))
+        .select("a", "b").distinct()
+    )
+    t = chosen(documents.select("doc_id", "text")).dropDuplicates(["doc_id", "text"])
     both = near.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
     sure = both.select("a", "b", "t_a", "t_b").mapInArrow(_shared, "a long, b long, common long, either long")
-    return stored(sure.where(f"common * 100 >= either * {percent}").select("a", "b"))
+    return stored(sure.where(f"common * 100 >= either * {percent}").select("a", "b").distinct())
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -183,35 +206,51 @@ def _star(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
-    for batch in sliced(batches):
-        ids = batch.column(0).to_pylist()
-        for i, s in zip(ids, shingle_sets(batch.column(1).to_pylist(), seen), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], ["doc", "shingle"])
-
-
-def _rest(rows: DataFrame, documents: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """All pairs of a bucket that may link two components.
-
-    A document can only be linked across components by shingles that another component has as well; one with too few
-    of those is dropped, which may leave others with too few in turn. What is left is paired under the same bound.
+    """doc, v (tells a doc_id's texts apart), comp, n and a shingle each."""
+    for batch in sliced_by_bytes(batches, 1):
+        docs, comps = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for doc, comp, s in zip(docs, comps, shingle_sets(batch.column(1)), strict=True):
+            v = xxhash.xxh64_intdigest(s.tobytes()) >> 1
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(s), x, np.int64)) for x in (doc, v, comp, len(s))), pa.array(s.view(np.int64))], ["doc", "v", "comp", "n", "shingle"])
+
+
+def _rest(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """All pairs that may link two components, of the documents that share buckets across components.
+
+    A prefix filter, which loses no link. Shingles are put in one order, rarest first. Two linked sets of m <= n shingles
+    share (m + n) * percent / (100 + percent) at least, so the first one they share is followed by nearly all the others
+    in both: only the fronts of the sets can hold it, and its place in one tells how large the other may be. Fronts meet
+    by shingle and class of size. Within a shingle the component with most rows is never met with itself, and a hot
+    shingle is dealt to many tasks. Pages of one template whose own part is about (100 - percent) / (100 + percent) of
+    them or more never meet; those with less, a few points below the threshold, do.
     """
-    docs = stored(rows.groupBy("doc").agg(F.min("comp").alias("comp"), F.min("n").alias("n")))
-    texts = documents.select("doc_id", "text").join(small(docs.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
-    each = stored(texts.mapInArrow(_shingle_rows, "doc long, shingle long").distinct())
-    for _ in range(rounds):
-        of = each.join(docs, "doc")
-        spread = of.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
-        shared = of.join(spread, "shingle", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("s"))
-        docs = docs.select("doc", "comp", "n").join(shared, "doc").where(f"100 * s >= {percent} * n")
-    docs = stored(docs)
-    of_doc = rows.groupBy("doc").agg(F.collect_list("bucket").alias("buckets"))  # as many as there are bands at most
-    live = rows.select("bucket", "doc").join(docs.join(of_doc, "doc"), "doc")
-    forget(each)
-    x, y = (live.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "comp", "n", "s", "buckets")]) for k in "ab")
-    least = "least(s_a, s_b, n_a, n_b)"
-    both = x.join(y, "bucket").where(f"doc_a < doc_b and comp_a <> comp_b and 100 * {least} >= {percent} * (n_a + n_b - {least})")
-    return both.where(F.col("bucket") == F.array_min(F.array_intersect("buckets_a", "buckets_b"))).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    p = percent
+    docs = stored(rows.groupBy("doc").agg(F.min("comp").alias("comp")))
+    texts = documents.select("doc_id", "text").join(small(docs.withColumnRenamed("doc", "doc_id")), "doc_id").dropDuplicates(["doc_id", "text"])
+    each = stored(texts.select("doc_id", "text", "comp").mapInArrow(_shingle_rows, "doc long, v long, comp long, n long, shingle long"))
+    common = stored(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 8"))  # rarer ones are equals, in front
+    place = F.row_number().over(Window.partitionBy("doc", "v").orderBy(F.coalesce("df", F.lit(0)), "shingle")) - 1
+    front = each.join(small(common), "shingle", "left").withColumn("i", place).where(f"{p} * n <= 100 * (n - i)").drop("df")
+    front = stored(front)
+    counts = front.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
+    met = counts.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    met = small(stored(met.select("shingle", "major", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts"))))
+    marked = stored(front.join(met, "shingle").withColumn("minor", F.col("comp") != F.col("major")))
+    size_class = lambda n: F.floor(F.log(n.cast("double")) * 50).cast("int")
+    n, left = F.col("n"), F.col("n") - F.col("i")
+    as_smaller = marked.where(2 * p * n <= (100 + p) * left).withColumn("size_class", size_class(n))
+    largest = F.least(n, F.floor(left * (100 + p) / p) - n)
+    as_larger = marked.withColumn("size_class", F.explode(F.sequence(size_class(F.ceil(n * p / 100)), F.greatest(size_class(largest), size_class(F.ceil(n * p / 100))))))
+    own = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = None
+    for x, y in ((every(as_smaller.where("minor")), own(as_larger)), (own(as_smaller.where("not minor")), every(as_larger.where("minor")))):
+        keys = ["shingle", "size_class", "salt"]
+        a, b = x.select(*keys, *[F.col(c).alias(f"{c}_a") for c in ("doc", "comp", "n", "i")]), y.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("doc", "comp", "n", "i")])
+        both = a.join(b, keys).where(f"comp_a <> comp_b and n_a <= n_b and {p} * (n_a + n_b) <= {100 + p} * least(n_a - i_a, n_b - i_b)")
+        both = both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+        pairs = both if pairs is None else pairs.union(both)
+    return pairs.distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -220,12 +259,13 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct five-word shingles;
     component_id is the smallest doc_id that links lead to, kept is true where that is the row's own. Sets that are
     equal are one class, whose members need no pairs. Candidates share all registers of a band. Components first grow
-    by pairing each document with the one that most often comes first in its buckets; pairs between components that
-    still share a bucket are then all tested, unless their shared shingles cannot suffice, so no link is lost to the
-    size of a group.
+    by pairing each document with the one that most often comes first in its buckets; documents of components that
+    still share a bucket then meet in a prefix filter, which loses no link and does not pair up what merely shares a
+    template.
 
     Null, empty and blank texts have no shingles and no links. Rows without a doc_id cannot be pointed at: their
-    component_id is null and they are kept. Rows that share a doc_id are one node. An empty table gives no rows.
+    component_id is null and they are kept. Rows that share a doc_id are one node, linked by any of their texts. An
+    empty table gives no rows.
     """
     documents = documents.select("doc_id", "text")
     sketched = stored(sketches(documents))
