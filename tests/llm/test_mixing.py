@@ -46,7 +46,7 @@ def test_mix_keeps_its_promises(spark, sf):
         ends = mine[0].ends
         assert len(ends) == mx.N_SHARDS and ends == sorted(ends)
     assert sorted((r.doc_id, r.taken) for r in mx.mix(docs).collect()) == sorted((r.doc_id, r.taken) for r in rows)
-    out = mx.mixed_rows(docs, mx.mix(docs))
+    out = mx.mixed_rows(docs)
     assert out.columns == docs.columns
     words = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum(mx.word_count(F.col("text"))).alias("n")).collect()}
     assert words == {r.doc_id: r.taken for r in rows if r.taken}
@@ -59,5 +59,26 @@ def test_awkward_rows(spark):
     assert len(got) == 7 and all(r.taken <= 3 * r.size for r in got)
     assert {r.source: r.source_size for r in got} == {"a": 800, None: 90, "b": 0, "c": 1}
     assert {r.source: round(r.target, 3) for r in got} == {"a": 618.0, None: 270.0, "b": 0.0, "c": 3.0}
-    assert mx.mixed_rows(docs, mx.mix(docs)).columns == docs.columns
-    assert mx.mix(docs.limit(0)).count() == 0 and mx.mixed_rows(docs.limit(0), mx.mix(docs.limit(0))).count() == 0
+    assert delivered(mx.mixed_rows(docs)) == planned(docs)
+    assert mx.mix(docs.limit(0)).count() == 0 and mx.mixed_rows(docs.limit(0)).count() == 0
+
+
+def delivered(rows):
+    assert rows.where(mx.word_count(F.col("text")) != F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).count() == 0
+    return {(r.source, r.doc_id): r.n for r in rows.groupBy("source", "doc_id").agg(F.sum(mx.word_count(F.col("text"))).alias("n")).collect()}
+
+
+def planned(docs):
+    return {(r.source, r.doc_id): r.n for r in mx.mix(docs).groupBy("source", "doc_id").agg(F.sum("taken").alias("n")).where("n > 0").collect()}
+
+
+@pytest.mark.parametrize("hot", [1, 50, 400])
+def test_repeated_rows_are_delivered_as_planned(spark, hot):
+    """One id stands for many equal rows of source a and the quota of a ends among them, with other columns that clash with
+    those of the plan; b has as many distinct ones."""
+    rows = [(7, "w1 w2 w3 w4 w5 w6 w7 " * 10, "a", f"x{i % 3}", 0) for i in range(hot)] + [(100 + i, "u v w x y z " * 12, "b", "x", 0) for i in range(50)] + [(None, "no id " * 9, "a", "x", 0)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("target", "size").withColumn("_words", F.lit("clash")).withColumn("key", F.lit(1))
+    out = mx.mixed_rows(docs)
+    assert out.columns == docs.columns and delivered(out) == planned(docs)
+    assert {r._words for r in out.collect()} == {"clash"} and all(r.n_chars == len(r.text) for r in out.collect())
+    assert sorted(out.collect(), key=str) == sorted(mx.mixed_rows(docs).collect(), key=str)

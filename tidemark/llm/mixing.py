@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, word_count
+from .common import small, stored, table, word_count
 
 SEED = 20240601
 BLOCK_WORDS = 16
@@ -19,9 +19,6 @@ N_SHARDS = 16
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 
-#: A source's seeded order is cut into 16 ** ORDER_DIGITS stretches, so that no window holds a whole source.
-ORDER_DIGITS = 3
-
 
 def weigh(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Add rank and weight: sources by code point, null last, weigh weights[0], weights[1], ... and round again."""
@@ -90,17 +87,23 @@ def shard_quotas(sources: DataFrame, *, block_words: int, n_shards: int, max_epo
     )
 
 
+def seeded(doc_id: Column, seed: int) -> Column:
+    """What documents are laid out by; equal ids, and missing ones, follow each other by size."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
 def mix(documents: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS, n_shards: int = N_SHARDS, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per row of documents (doc_id, text, source; other columns are ignored).
 
     size: words; source_size, target, quota (blocks), blocks, ends: its source's; passes: whole times that the mix
     takes the document; part: words taken once more, from its start; taken = passes * size + part; first_block: where
-    it starts in its source's seeded order. A null text is of size 0; a null source is a source of its own; rows with
-    equal or null doc_id are laid out one after another by size. An empty table gives an empty result.
+    it starts in its source's seeded order; order: what that order goes by. A null text is of size 0; a null source is a
+    source of its own; rows with equal or null doc_id are laid out one after another by size. An empty table gives an
+    empty result. The order is dealt to tasks in stretches of equal length, whatever ids repeat.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = stored(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order")))
-    sized = sized.withColumn("stretch", F.substring("order", 1, ORDER_DIGITS))
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("order"), F.monotonically_increasing_id().alias("place"))
+    sized = stored(sized)
+    sized = stored(sized.repartitionByRange("source", "order", "doc_id", "size", "place").withColumn("stretch", F.spark_partition_id()))
 
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     quotas = shard_quotas(targets(weigh(sources, weights), max_epochs), block_words=block_words, n_shards=n_shards, max_epochs=max_epochs)
@@ -108,9 +111,9 @@ def mix(documents: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORD
     stretches = sized.groupBy("source", "stretch").agg(F.sum("size").alias("words")).withColumn("stretch_start", F.coalesce(F.sum("words").over(before), F.lit(0)))
     plan = stretches.alias("a").join(quotas.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "source_size", "target", "blocks", "quota", "ends")
 
-    running = Window.partitionBy("source", "stretch").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("source", "stretch").orderBy("order", "doc_id", "size", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("within", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    both = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.stretch") == F.col("p.stretch")))
+    both = placed.alias("d").join(small(stored(plan)).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.stretch") == F.col("p.stretch")))
     start = F.col("stretch_start") + F.col("within")
     cut = F.expr("(quota % blocks) * source_size div blocks")
     part = F.greatest(F.lit(0), F.least(F.col("size"), cut - start))
@@ -118,22 +121,51 @@ def mix(documents: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORD
     return both.select(
         "doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"),
         passes.alias("passes"), part.cast("long").alias("part"), "quota", "blocks", "ends",
-        F.coalesce(F.try_divide(start * F.col("blocks"), F.col("source_size")).cast("long"), F.lit(0)).alias("first_block"),
+        F.coalesce(F.try_divide(start * F.col("blocks"), F.col("source_size")).cast("long"), F.lit(0)).alias("first_block"), "order",
     )
 
 
-def mixed_rows(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row per copy of a document, with documents' columns (a last partial copy is cut after its
-    part words). Rows that share a doc_id are matched by size too; equal pairs share one plan row."""
-    plan = mixed.where("taken > 0").groupBy("doc_id", "size").agg(F.max("passes").alias("passes"), F.max("part").alias("part"))
-    there = documents.withColumn("_words_there", word_count(F.col("text")))
-    both = there.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._words_there") == F.col("p.size")))
-    copies = both.select("d.*", F.explode(F.expr("concat(array_repeat(d._words_there, cast(p.passes as int)), if(p.part > 0, array(p.part), array()))")).alias("_words_taken"))
-    cut = F.when(F.col("_words_taken") < F.col("_words_there"), first_words(F.col("text"), F.col("_words_taken"))).otherwise(F.col("text"))
-    out = copies.withColumn("text", cut)
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Number the rows (a stored table) of each value of `by` from 0, in the order they are stored: within each stretch
+    of the table first, so that a value of any number of rows is dealt to as many tasks as there are stretches."""
+    rows = rows.withColumn("_place", F.monotonically_increasing_id()).withColumn("_stretch", F.shiftright("_place", 33))
+    rows = stored(rows)
+    sizes = rows.groupBy(by, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(by, "_stretch").orderBy("_place")) - 1
+    both = rows.withColumn("_within", within).alias("r").join(sizes.alias("s"), F.col(f"r.{by}").eqNullSafe(F.col(f"s.{by}")) & (F.col("r._stretch") == F.col("s._stretch")))
+    return both.select(*[f"r.{c}" for c in rows.columns if c not in ("_place", "_stretch")], (F.col("_before") + F.col("r._within")).alias(name))
+
+
+def mixed_rows(documents: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
+    """The mix itself, word for word what mix() plans: a row per copy of a document, with documents' columns (a last
+    partial copy is cut after its part words); documents without words, and those the mix does not take, have none.
+
+    Only the place where each source's quota ends is joined to the documents: what comes before it in the seeded order
+    is taken once more than what comes after. Rows of the very id and size at that place are told apart by a number.
+    """
+    planned = stored(mix(documents, seed=seed, **options).select("source", "size", "passes", "part", F.struct("order", "doc_id", "size").alias("key")))
+    last = planned.groupBy("source").agg(F.max("passes").alias("passes"), F.max(F.when(F.col("part") > 0, F.col("key"))).alias("last"))
+    last = stored(last)
+    met = planned.alias("a").join(small(last).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.key") == F.col("b.last")))
+    ties = met.groupBy("a.source").agg(F.count_if(F.col("part") == F.col("a.size")).alias("whole"), F.max(F.when(F.col("part") < F.col("a.size"), F.col("part"))).alias("rest"))
+    ends = last.alias("a").join(ties.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select(F.struct("a.source", "passes", "last", "whole", "rest").alias("_end"))
+    ends = small(stored(ends))
+
+    there = documents.select(F.struct("*").alias("_doc"), word_count(F.col("text")).alias("_words"), F.struct(seeded(F.col("doc_id"), seed), "doc_id").alias("_id"), F.col("source").alias("_source"))
+    there = there.where("_words > 0").join(ends, F.col("_source").eqNullSafe(F.col("_end.source")))
+    key = F.struct(F.col("_id.col1").alias("order"), F.col("_id.doc_id"), F.col("_words").alias("size"))
+    there = there.withColumn("_side", F.when(F.col("_end.last").isNull() | (key > F.col("_end.last")), 1).when(key < F.col("_end.last"), -1).otherwise(0))
+    clear = there.where("_side <> 0").select("_doc", "_words", "_end.passes", F.when(F.col("_side") < 0, F.col("_words")).otherwise(F.lit(0)).alias("part"))
+    tied = numbered(there.where("_side = 0").select("_doc", "_words", "_source", "_end"), "_source", "_number")
+    part = F.when(F.col("_number") < F.col("_end.whole"), F.col("_words")).when(F.col("_number") == F.col("_end.whole"), F.coalesce("_end.rest", F.lit(0))).otherwise(F.lit(0))
+    rows = clear.union(tied.select("_doc", "_words", "_end.passes", part.alias("part")))
+    copies = rows.select("_doc", "_words", F.explode(F.expr("concat(array_repeat(_words, cast(passes as int)), if(part > 0, array(part), array()))")).alias("_taken"))
+    text = F.when(F.col("_taken") < F.col("_words"), first_words(F.col("_doc.text"), F.col("_taken"))).otherwise(F.col("_doc.text"))
+    new = {"text": text}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+        new["n_chars"] = F.char_length(text).cast(documents.schema["n_chars"].dataType)
+    return copies.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in documents.columns])
 
 
 def first_words(text: Column, n: Column) -> Column:
