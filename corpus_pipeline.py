@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import shared_dir, table
 from tidemark.llm.decontaminate import clean
-from tidemark.llm.mixing import mix, mixed_rows
+from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.quality import classify
 from tidemark.llm.token_file import encoded
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are cut or repeated to their target weights; a row per copy of a document."""
-    return mixed_rows(docs, mix(docs))
+    return mixed_rows(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
