@@ -14,7 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of (up to two) longs that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
-
+#: A key of more than 1 / HEAVY of all rows is hot.
+HEAVY = 1000
 
 #: Rows, and bytes, of an Arrow batch that a task works on at a time.
 SLICE_ROWS = 512
@@ -106,6 +107,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join rows (cheap to read twice) to a stored table of one row per key, no key being a task of its own however many
+    rows have it: a table of few rows is broadcast; of a larger one, only the keys of more than 1 / HEAVY of the rows
+    are, of which there are fewer than HEAVY, and the others shuffle."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    heavy = F.broadcast(counts.where((F.col("_rows") * HEAVY > F.lit(total)) & F.col(key).isNotNull()).select(key))
+    hot = rows.join(heavy, key, "left_semi").join(F.broadcast(table.join(heavy, key, "left_semi")), key, how)
+    return hot.union(rows.join(heavy, key, "left_anti").join(table, key, how))
+
+
 def word_count(text) -> F.Column:
     """Words in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

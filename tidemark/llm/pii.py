@@ -2,30 +2,35 @@
 
 Seed entities (what the fixed patterns find, and long keys) stand in contexts: the two words before with what is
 attached to the value in front, and what is attached behind with the word after. Contexts and values form a graph that
-Spark scores in rounds: a context is as good as the share of its values that are believed, a value as its best context.
-Contexts that many different seeds vouch for then reveal values of other shapes.
+Spark scores in rounds: a context is as good as the share of its different values that are believed, and what stands in
+a trusted context is believed in the next round. Seeds are believed from the start, but only the fixed patterns and
+trusted contexts make a span; a key in no such context is none.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, sliced, small, stored, table
+from .common import BROADCAST_ROWS, forget, join_skewed, sliced_by_bytes, stored, table
+from .shingles import Words, mixed
 
 KINDS = ("email", "ip", "card", "phone", "found")
 FOUND = 4
 
 ROUNDS = 3
-#: Distinct believed values that a context must have, and their least share among all its values.
-MIN_SUPPORT = 3.0
+#: Distinct believed values that a context must have, and their least share among all its values (and a quarter).
+MIN_SUPPORT = 3
 MIN_TRUST = 0.8
+#: A context is not counted exactly if an estimate gives it so many times the values that it could be trusted with: ten
+#: standard errors.
+SURELY = 1.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,9 +38,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TOKEN = re.compile(r"\S+")
-_EDGES = "\"'`()[]{}<>,.;:!?#*$%&|=~"
-_KEY = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}")
+_EDGES = np.isin(np.arange(256), np.frombuffer(b"\"'`()[]{}<>,.;:!?#*$%&|=~", np.uint8))
+#: Keys: long, of letters and digits with at least eight of these, so that paths and long words are none.
+_KEY = re.compile(rb"(?=(?:[^0-9]*[0-9]){8})(?=.*[a-z])[a-z0-9+/_-]{32,}")
 
 
 def luhn(digits: str) -> bool:
@@ -81,92 +86,164 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _hash(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode()) - (1 << 63)
+class Sights:
+    """All values of a batch of texts in their contexts, as arrays: the base spans, and every other token (freed of
+    punctuation at its ends) that touches none of them. A value has a row for its context before and one for that
+    after, if there is a word on that side. A-Z is lower-cased; values and contexts are 64-bit hashes."""
 
+    def __init__(self, texts: pa.Array):
+        self.words = w = Words(texts, lower=True)
+        self.base = [base_spans(t) for t in texts.to_pylist()]
+        tokens, data = w.hashes(), w.data
+        bare = np.flatnonzero(~_EDGES[data])
+        at = np.searchsorted(bare, w.begin)
+        begin = np.minimum(np.r_[bare, len(data)][at], w.end)
+        back = np.searchsorted(bare, w.end) - 1
+        end = np.where(begin < w.end, np.r_[bare, 0][back] + 1, w.end)
 
-def sightings(text: str | None, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Values that could be identifiers, with both contexts: the base spans and long keys (seeds), and all other tokens
-    of six characters or more, three of them digits, that touch no span."""
-    if not text or not _DIGIT.search(text) and not spans:
-        return []
-    values = [(a, b, True) for a, _, b in spans]
-    ends, at = sorted((a, b) for a, _, b in spans), 0
-    for m in _TOKEN.finditer(text) if _DIGIT.search(text) else ():
-        token = m[0]
-        body = token.strip(_EDGES)
-        if len(body) < 6 or sum(c in "0123456789" for c in body) < 3:
-            continue
-        a = m.start() + token.index(body)
-        b = a + len(body)
-        while at < len(ends) and ends[at][1] <= a:
-            at += 1
-        if any(x < b and a < y for x, y in ends[at : at + 4]):
-            continue
-        values.append((a, b, bool(_KEY.fullmatch(body))))
-    out = []
-    for a, b, seed in values:
-        before, after = text[max(0, a - 120) : a].lower(), text[b : b + 60].lower()
-        words, rest = before.split(), after.split()
-        if words:
-            out.append({"start": a, "end": b, "value": _hash(text[a:b]), "context": _hash("<" + " ".join(words[-3:] if not before[-1].isspace() else words[-2:])), "seed": seed})
-        if rest:
-            out.append({"start": a, "end": b, "value": _hash(text[a:b]), "context": _hash(">" + " ".join(rest[:2] if not after[0].isspace() else rest[:1])), "seed": seed})
-    return out
+        self.chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters before each byte
+        spans = [(i, a, b) for i, found in enumerate(self.base) for a, _, b in found]
+        of = np.array([i for i, _, _ in spans], np.int64)
+        byte = lambda k: np.searchsorted(self.chars, self.chars[w.edges[of]] + np.array([x[k] for x in spans], np.int64), "right") - 1 if len(spans) else of
+        a, b = byte(1), byte(2)
+        first, last = np.searchsorted(w.begin, a, "right") - 1, np.searchsorted(w.begin, b - 1, "right") - 1
+        touched = np.zeros(len(w.begin) + 1, np.int64)
+        np.add.at(touched, first, 1)
+        np.add.at(touched, last + 1, -1)
+        free = np.flatnonzero((np.cumsum(touched)[:-1] == 0) & (begin < w.end))
+
+        self.begin, self.end = np.r_[a, begin[free]], np.r_[b, end[free]]
+        first, last = np.r_[first, free], np.r_[last, free]
+        self.text = np.searchsorted(w.of_text, first, "right") - 1
+        self.is_base = np.arange(len(first)) < len(a)
+        self.seed = self.is_base.copy()
+        for i in np.flatnonzero(self.end - self.begin >= 32):
+            self.seed[i] |= bool(_KEY.fullmatch(data[self.begin[i] : self.end[i]].tobytes()))
+        self.value = w.hashes(self.begin, self.end)
+        start, stop = w.of_text[self.text], w.of_text[self.text + 1]
+        word = lambda k, ok: np.where(ok, np.r_[tokens, np.uint64(0)][np.where(ok, k, -1)], np.uint64(0))
+        self.has_before, self.has_after = first > start, last + 1 < stop
+        near, far = word(first - 1, self.has_before), word(first - 2, first - 1 > start)
+        self.before = mixed(mixed(mixed(far) + near) + w.hashes(w.begin[first], self.begin)) | np.uint64(1)
+        self.after = mixed(mixed(word(last + 1, self.has_after)) + w.hashes(self.end, w.end[last])) & ~np.uint64(1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of values, and the context of each."""
+        a, b = np.flatnonzero(self.has_before), np.flatnonzero(self.has_after)
+        return np.r_[a, b], np.r_[self.before[a], self.after[b]].view(np.int64)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    seen = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64()), ("context", pa.int64()), ("seed", pa.bool_())]))
-    for batch in sliced(batches):
-        rows, spans, sights = [], [], []
-        for text in batch.column(1).to_pylist():
-            found = base_spans(text)
-            rows.append(os.urandom(16))
-            spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-            sights.append(sightings(text, found))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(0), pa.array(spans, span), pa.array(sights, seen)], ["row", "doc_id", "base", "sights"])
+    sight = pa.list_(pa.struct([("value", pa.int64()), ("context", pa.int64())]))
+    for batch in sliced_by_bytes(batches, 1):
+        s = Sights(batch.column(1))
+        which, context = s.rows()
+        seeds: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        for i, c in zip(which, context, strict=True) if s.seed.any() else ():
+            if s.seed[i]:
+                seeds[s.text[i]].append({"value": int(s.value[i].view(np.int64)), "context": int(c)})
+        spans = [[{"start": a, "kind": k, "end": b} for a, k, b in found] for found in s.base]
+        digests = [_digest(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0), pa.array(spans, span), pa.array(seeds, sight)], ["row", "doc_id", "base", "seeds"])
+
+
+def _digest(text: str | None) -> bytes:
+    return xxhash.xxh128_digest((text or "").encode())
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """row (a key of its own), doc_id, base spans and sightings of every row of documents."""
-    schema = "row binary, doc_id long, base array<struct<start: bigint, kind: int, end: bigint>>, sights array<struct<start: bigint, end: bigint, value: bigint, context: bigint, seed: boolean>>"
+    """row (a digest of the text), doc_id, base spans and the seeds' values and contexts, of every row of documents."""
+    schema = "row binary, doc_id long, base array<struct<start: bigint, kind: int, end: bigint>>, seeds array<struct<value: bigint, context: bigint>>"
     return stored(documents.select("doc_id", "text").mapInArrow(_scan, schema))
 
 
-def trusted_values(sights: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT, min_trust: float = MIN_TRUST) -> DataFrame:
-    """value: those that are no seed and stand in a trusted context, after so many rounds over the graph of contexts
-    and values (rows of value, context, seed)."""
-    edges = stored(sights.groupBy("context", "value").agg(F.max("seed").alias("seed")))
-    seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    belief = stored(seeds.select("value", "seed", F.col("seed").cast("double").alias("belief")))
-    for _ in range(rounds):
-        held = edges.select("context", "value").join(belief, "value")
-        contexts = held.groupBy("context").agg(F.sum("belief").alias("support"), F.count(F.lit(1)).alias("n")).where(F.col("support") >= min_support)
-        contexts = contexts.select("context", (F.col("support") / (F.col("n") + 0.25)).alias("trust"))
-        best = edges.select("context", "value").join(contexts, "context").groupBy("value").agg(F.max("trust").alias("trust"))
-        after = belief.join(best, "value", "left").select("value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))).alias("belief"))
-        after = stored(after)
-        forget(belief)
-        belief = after
-    return belief.where(~F.col("seed") & (F.col("belief") >= min_trust)).select("value")
+def _look_up(column: str, keys: np.ndarray | None, places: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced_by_bytes(batches, 0):
+            s = Sights(batch.column(0))
+            which, context = s.rows()
+            if keys is not None:
+                asked = context if column == "context" else s.value[which].view(np.int64)
+                found = np.flatnonzero(np.r_[keys, np.iinfo(np.int64).max][np.searchsorted(keys, asked)] == asked) if len(keys) else np.zeros(0, np.int64)
+                which, context = which[found], context[found]
+            out = [pa.array(context), pa.array(s.value[which].view(np.int64))]
+            names = ["context", "value"]
+            if places:
+                texts = s.text[which]
+                digests = {i: _digest(batch.column(0)[i].as_py()) for i in np.unique(texts).tolist()}
+                char = lambda x: pa.array(s.chars[x[which]] - s.chars[s.words.edges[texts]], pa.int64())
+                out += [pa.array([digests[i] for i in texts.tolist()], pa.binary()), char(s.begin), char(s.end), pa.array(s.is_base[which])]
+                names += ["row", "start", "end", "base"]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
+
+
+def look_up(documents: DataFrame, keys: DataFrame, places: bool = False) -> DataFrame:
+    """context, value (and row, start, end, base: where, and whether a fixed pattern finds it) of all values of documents
+    whose context, or value, is among the keys (a stored table of one column). Keys go to the tasks if they are few;
+    otherwise all values are joined to them."""
+    column = keys.columns[0]
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = np.sort(np.array([r[0] for r in keys.collect()], np.int64)) if few else None
+    schema = "context long, value long" + ", row binary, start long, end long, base boolean" * places
+    rows = documents.select("text").where("text is not null").mapInArrow(_look_up(column, known, places), schema)
+    return rows if few else rows.join(keys, column, "left_semi")
+
+
+def trusted_contexts(documents: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """context: those trusted after so many rounds, from the seeds' sightings (context, value; a stored table).
+
+    In each round the contexts of MIN_SUPPORT different believed values are candidates; their different values are
+    counted over all documents, by estimate first and exactly where that leaves a doubt; those with a share of believed
+    values of MIN_TRUST are trusted, and what stands in them is believed. It ends early if nothing new is.
+    """
+    seen = stored(seeds.distinct())  # believed values in all their contexts
+    believed, last = stored(seen.select("value").distinct()), None
+    for k in range(rounds):
+        support = seen.groupBy("context").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= MIN_SUPPORT)
+        support = stored(support)
+        most = F.col("support") / MIN_TRUST
+        about = look_up(documents, support.select("context")).groupBy("context").agg(F.approx_count_distinct("value").alias("n"))
+        open_ = stored(support.join(about, "context").where(F.col("n") <= most * SURELY + 1).select("context", "support"))
+        edges = stored(look_up(documents, open_.select("context")).distinct())
+        counted = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).join(open_, "context")
+        trusted = stored(counted.where(F.col("support") >= MIN_TRUST * (F.col("n") + 0.25)).select("context"))
+        values = edges.join(trusted, "context", "left_semi").select("value").distinct()
+        new = stored(values.join(believed, "value", "left_anti"))
+        for df in (support, open_, edges, *([last] if last else [])):
+            forget(df)
+        last = trusted
+        if k + 1 == rounds or new.limit(1).count() == 0:
+            forget(new)
+            break
+        more = stored(seen.union(look_up(documents, new)).distinct())
+        grown = stored(believed.union(new))
+        for df in (seen, believed, new):
+            forget(df)
+        seen, believed = more, grown
+    forget(seen)
+    forget(believed)
+    return last
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end, as positions in KINDS): a row per row of documents (doc_id,
     text; others are ignored).
 
-    spans has all base spans and, as kind `found`, the keys and the values that trusted contexts reveal; those never
-    touch a base span. Null and empty texts have none. Rows may share a doc_id or have none. An empty table gives no
-    rows.
+    spans has all base spans and, as kind `found`, the values that stand in trusted contexts; those never touch a base
+    span. Values are single tokens: one written in groups is found by the group next to the context. Null and empty
+    texts have none. Rows may share a doc_id or have none; equal texts have equal spans. An empty table gives no rows.
     """
+    documents = documents.select("doc_id", "text")
     scanned = scan(documents)
-    sights = scanned.select("row", F.explode("sights").alias("s")).select("row", "s.*")
-    new = stored(trusted_values(sights))
-    keys = scanned.select("row", F.explode("sights").alias("s"), "base").where("s.seed and not exists(base, x -> x.start = s.start and x.end = s.end)").select("row", "s.start", "s.end")
-    revealed = sights.join(small(new), "value", "left_semi").select("row", "start", "end").union(keys).distinct()
-    spans = revealed.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(FOUND).alias("kind"), "end")).alias("more"))
-    both = scanned.select("row", "doc_id", "base").join(spans, "row", "left")
+    seeds = stored(scanned.select(F.explode("seeds").alias("s")).select("s.context", "s.value").distinct())
+    trusted = trusted_contexts(documents, seeds)
+    more = look_up(documents, trusted, places=True).where("not base").select("row", "start", "end").distinct()
+    more = stored(more.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(FOUND).alias("kind"), "end")).alias("more")))
+    both = join_skewed(scanned.select("row", "doc_id", "base"), more, "row", "left")
+    forget(seeds)
     return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")))).alias("spans"))
 
 
@@ -180,4 +257,7 @@ def op10_personal_data(spark, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     counts = [count(k) for k in range(4)]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    n_spans = F.size("spans").cast("long")
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (n_spans - F.size("base")).alias("n_found"), n_spans.alias("n_spans")
+    )

@@ -56,20 +56,23 @@ class Words:
         first[inner], last[inner - 1] = word[inner], word[inner - 1]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.of_text = np.searchsorted(self.begin, self.edges)
+        self.eight = None
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word, eight bytes at a time."""
-        size = self.end - self.begin
-        eight = np.ndarray(len(self.data), "<u8", np.r_[self.data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
+    def hashes(self, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of other stretches of the bytes, eight bytes at a time."""
+        begin, end = (self.begin, self.end) if begin is None else (begin, end)
+        size = end - begin
+        if self.eight is None:
+            self.eight = np.ndarray(len(self.data) + 1, "<u8", np.r_[self.data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
         out = size.astype(np.uint64) * _ODD
-        on = np.flatnonzero(size <= LONG_WORD)
+        on = np.flatnonzero((size > 0) & (size <= LONG_WORD))
         k = 0
         while len(on):
             left = size[on] - 8 * k
-            out[on] = mixed(out[on] ^ eight[self.begin[on] + 8 * k] & _MASK[np.minimum(left, 8)]) + np.uint64(k)
+            out[on] = mixed(out[on] ^ self.eight[begin[on] + 8 * k] & _MASK[np.minimum(left, 8)]) + np.uint64(k)
             on, k = on[left > 8], k + 1
         for i in np.flatnonzero(size > LONG_WORD):
-            out[i] = xxhash.xxh64_intdigest(self.data[self.begin[i] : self.end[i]].tobytes())
+            out[i] = xxhash.xxh64_intdigest(self.data[begin[i] : end[i]].tobytes())
         return out
 
 
