@@ -3,6 +3,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import decontaminate as dc
 
 
@@ -34,13 +36,29 @@ def test_matcher_equals_brute_force(seed):
     for _ in range(rnd.randint(0, 4)):
         chars[rnd.randrange(len(chars))] = rnd.choice(["", "x", "ab"])
     text = "".join(chars)
+    items += [(9, "ab"), (10, "c"), (11, "abc cab"), (12, items[0][1])]
+    assert {x["item_id"]: x["distance"] for x in dc.Matcher(items, 0.2)(text)} == expected(items, text, 0.2)
+
+
+def expected(items, text, rate):
     want = {}
     for i, t in items:
-        t = dc.normal(t)
-        d = brute(t, dc.normal(text))
-        if len(t.split()) >= dc.MIN_WORDS and d <= int(len(t) * 0.2):
+        t, budget = dc.normal(t), int(len(dc.normal(t)) * rate)
+        d = brute(t, dc.normal(text)) if budget else int(f" {t} " not in f" {dc.normal(text)} ")
+        if d <= budget:
             want[i] = d
-    assert {x["item_id"]: x["distance"] for x in dc.Matcher(items, 0.2)(text)} == want
+    return want
+
+
+def test_items_that_share_a_piece():
+    """A hundred items begin alike; one document holds two of them, one only what they share."""
+    rnd = random.Random(4)
+    shared = "which of the following statements is true of "
+    items = [(i, shared + " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(5))) for i in range(100)]
+    match = dc.Matcher(items, 0.05)
+    assert max(len(w) for _, (_, w, _) in match.automaton.items()) == 100
+    for text in (items[7][1] + " and " + items[70][1].replace("a", "", 1) + ".", shared + "nothing in particular", items[3][1].upper()):
+        assert {x["item_id"]: x["distance"] for x in match(text)} == expected(items, text, 0.05)
 
 
 def test_whole_table(spark, sf):
@@ -62,12 +80,14 @@ def test_awkward_rows(spark):
     docs = spark.createDataFrame(
         [(1, "x ONE  two\nthree four five six seven y", "a"), (2, None, "b"), (None, "", "c"), (2, "short", "d"), (3, "one two three fuor five six seven", "e"), (4, "word " * 50000 + "one two three four five siix seven", "f")],
         "doc_id long, text string, distance string",
-    )
+    )
+    more = docs.withColumn("digest", F.lit("x")).withColumn("items", F.lit(1)).withColumn("_benchmark_items", F.lit(2))
+    assert dc.clean(more, items, rate=0.07).columns == more.columns and dc.contaminated(more, items).columns == more.columns
     got = dc.contaminated(docs, items, rate=0.07)
     assert got.columns == ["doc_id", "text", "distance", "_benchmark_items"]
     found = {r.distance: sorted({(x.item_id, x.distance) for x in r._benchmark_items}) for r in got.collect()}
-    assert found == {"a": [(1, 0)], "b": [], "c": [], "d": [], "e": [(1, 2)], "f": [(1, 1)]}
-    assert {r.distance for r in dc.clean(docs, items, rate=0.07).collect()} == {"b", "c", "d"}
+    assert found == {"a": [(1, 0)], "b": [], "c": [], "d": [(5, 0)], "e": [(1, 2)], "f": [(1, 1)]}
+    assert {r.distance for r in dc.clean(docs, items, rate=0.07).collect()} == {"b", "c"}
     few = dc.contaminated(docs, items, rate=0.07, block_items=1)
     assert {r.distance: sorted({(x.item_id, x.distance) for x in r._benchmark_items}) for r in few.collect()} == found
     assert dc.clean(docs.limit(0), items).count() == 0 and dc.clean(docs, items.limit(0)).count() == 6
