@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import BROADCAST_ROWS, forget, sliced, sliced_by_bytes, small, stored, table
+from .common import BROADCAST_ROWS, forget, join_skewed, sliced, sliced_by_bytes, small, stored, table
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -280,13 +280,15 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         if step is not _rest:
             unsettled = _open(rows, components(links))
             done.append(unsettled)
-    one = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    copies = sketched.where("n_shingles > 0").join(one, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    labels = components(links.union(copies))
-    for df in done:
+    sets = sketched.where("n_shingles > 0 and doc_id is not null").select("doc_id", "key")
+    one = stored(sets.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"))
+    copies = join_skewed(sets, one, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    labels = components(links.union(copies)).select(F.col("node").alias("doc_id"), "label")
+    for df in (*done, one):
         forget(df)
     component = F.coalesce("label", "doc_id")
-    return sketched.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = join_skewed(sketched.select("doc_id", "n_shingles"), labels, "doc_id", "left")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:
