@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, sliced, small, stored, table
+from .common import Memo, join_skewed, sliced, small, stored, table
 
 #: Labelled documents that the classifier is fitted on: those whose ids hash lowest.
 MAX_TRAIN = 4_000
@@ -140,17 +140,19 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     return fit(got.limit(max_train).toPandas())
 
 
-def site_posteriors(paths: DataFrame, head: str) -> DataFrame:
-    """host, path, prior, host_posterior, path_n, path_sum, path_strength for one head, from paths: host, path, n and a
-    sum of the head (values from 0 to 1) under its name.
+def site_posteriors(paths: DataFrame) -> DataFrame:
+    """head, host, path, prior, host_posterior, path_n, path_sum, path_strength, from paths: host, path, n and a sum of
+    each head (values from 0 to 1) under its name.
 
     Counts are soft: labels where there are some, otherwise the classifier's probability. The strength of a level's
     prior comes from how far sites spread around the level above (method of moments): the less they differ, the more
-    they are shrunk.
+    they are shrunk. Both heads go through the same few aggregations.
     """
-    paths = paths.select("host", "path", "n", F.col(head).alias("s"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.count(F.lit(1)).alias("n_paths"))
-    total = hosts.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s")).select((F.col("all_s") / F.greatest("all_n", F.lit(1))).alias("prior"))
+    each = paths.select("host", "path", "n", F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("s")) for h in HEADS])).alias("x"))
+    each = each.select("x.head", "host", "path", "n", "x.s")
+    hosts = stored(each.groupBy("head", "host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s")))
+    priors = hosts.groupBy("head").agg((F.sum("host_s") / F.greatest(F.sum("host_n"), F.lit(1))).alias("prior"))  # a row per head
+    hosts = hosts.join(F.broadcast(priors), "head")
 
     def strength(mean, centre, n):
         """Sites spread around their centre by chance (centre * (1 - centre) / n) and by themselves."""
@@ -159,14 +161,13 @@ def site_posteriors(paths: DataFrame, head: str) -> DataFrame:
         spread = F.greatest(F.try_divide(own, F.sum(n)), F.lit(1e-6))
         return F.least(F.greatest(F.avg(centre * (1 - centre)) / spread - 1, F.lit(1.0)), F.lit(1e4))
 
-    hosts = hosts.crossJoin(F.broadcast(total))  # total is one row
-    host_strength = hosts.agg(strength(F.col("host_s") / F.col("host_n"), F.col("prior"), F.col("host_n")).alias("host_strength"))
-    hosts = hosts.crossJoin(F.broadcast(host_strength)).select(
-        "host", "prior", ((F.col("host_s") + F.col("host_strength") * F.col("prior")) / (F.col("host_n") + F.col("host_strength"))).alias("host_posterior")
-    )
-    both = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "prior", "host_posterior")
-    path_strength = both.agg(strength(F.col("s") / F.col("n"), F.col("host_posterior"), F.col("n")).alias("path_strength"))
-    return both.crossJoin(F.broadcast(path_strength)).withColumnsRenamed({"n": "path_n", "s": "path_sum"})
+    of_hosts = hosts.groupBy("head").agg(strength(F.col("host_s") / F.col("host_n"), F.col("prior"), F.col("host_n")).alias("k"))
+    posterior = (F.col("host_s") + F.col("k") * F.col("prior")) / (F.col("host_n") + F.col("k"))
+    hosts = hosts.join(F.broadcast(of_hosts), "head").select("head", "host", "prior", posterior.alias("host_posterior"))
+    both = each.alias("p").join(hosts.alias("h"), (F.col("p.head") == F.col("h.head")) & F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "prior", "host_posterior")
+    both = stored(both)
+    of_paths = both.groupBy("head").agg(strength(F.col("s") / F.col("n"), F.col("host_posterior"), F.col("n")).alias("path_strength"))
+    return both.join(F.broadcast(of_paths), "head").withColumnsRenamed({"n": "path_n", "s": "path_sum"})
 
 
 def classify(documents: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", model: dict | None = None, threshold: float = 0.5) -> DataFrame:
@@ -174,28 +175,33 @@ def classify(documents: DataFrame, labels: DataFrame, *, host: str = "source", p
 
     A document's log-odds are the classifier's, plus those of its path's posterior (without the document itself) over
     those of the global prior. It is kept if neither probability reaches the threshold. Null hosts and paths are sites
-    of their own; a null text is empty; without labels nothing is known and everything is kept. An empty table gives
-    no rows.
+    of their own; a null text is empty; rows that share a doc_id share its labels; without labels nothing is known and
+    everything is kept. An empty table gives no rows.
     """
     model = model or train(documents, labels)
     if not np.any(model["bad"]) and not np.any(model["toxic"]):
         threshold = 2.0
     rows = documents.select("doc_id", "text", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
-    scored = stored(rows.mapInArrow(_scorer(model), "doc_id long, host string, path string, doc_bad double, doc_toxic double"))
-    known = scored.join(judged(labels), "doc_id", "left")
-    known = known.select("doc_id", "host", "path", "doc_bad", "doc_toxic", *[F.coalesce(F.col(h).cast("double"), F.col(f"doc_{h}")).alias(h) for h in HEADS])
+    scored = rows.mapInArrow(_scorer(model), "doc_id long, host string, path string, doc_bad double, doc_toxic double")
+    marks = small(stored(judged(labels)))
+    known = scored.join(marks, "doc_id", "left").select(
+        "doc_id", F.to_json(F.struct("host", "path")).alias("site"), "host", "path", "doc_bad", "doc_toxic", *[F.coalesce(F.col(h).cast("double"), F.col(f"doc_{h}")).alias(h) for h in HEADS]
+    )
     known = stored(known)
     logit = lambda p: F.log(p / (1 - p))
     paths = stored(known.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(h) for h in HEADS]))
+    of_head = F.map_from_entries(F.collect_list(F.struct("head", F.struct("prior", "host_posterior", "path_n", "path_sum", "path_strength"))))
+    sites = stored(site_posteriors(paths).groupBy(F.to_json(F.struct("host", "path")).alias("site")).agg(of_head.alias("heads")))
+    both = join_skewed(known, sites, "site")
+    out = {}
     for h in HEADS:
-        site = site_posteriors(paths, h).alias("s")
-        both = known.alias("k").join(site, F.col("k.host").eqNullSafe(F.col("s.host")) & F.col("k.path").eqNullSafe(F.col("s.path")))
-        posterior = (F.col("path_sum") - F.col(f"k.{h}") + F.col("path_strength") * F.col("host_posterior")) / (F.col("path_n") - 1 + F.col("path_strength"))
+        of = lambda c, h=h: F.col("heads")[h][c]
+        posterior = (of("path_sum") - F.col(h) + of("path_strength") * of("host_posterior")) / (of("path_n") - 1 + of("path_strength"))
         inside = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
-        odds = logit(F.col(f"doc_{h}")) + logit(inside(posterior)) - logit(inside(F.col("prior")))
-        known = both.select("k.*", (1 / (1 + F.exp(-odds))).alias(f"p_{h}"))
+        odds = logit(F.col(f"doc_{h}")) + logit(inside(posterior)) - logit(inside(of("prior")))
+        out[f"p_{h}"] = 1 / (1 + F.exp(-odds))
     kept = (F.col("p_bad") < threshold) & (F.col("p_toxic") < threshold)
-    return known.select("doc_id", "p_bad", "p_toxic", kept.alias("kept"))
+    return both.withColumns(out).select("doc_id", "p_bad", "p_toxic", kept.alias("kept"))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
