@@ -1,3 +1,8 @@
+from collections import Counter
+
+import duckdb
+from pyspark.sql import functions as F
+
 from tidemark.llm import preference as pf
 
 SCHEMA = "pair_id long, rejected boolean, turn long, role string, text string"
@@ -28,7 +33,49 @@ def test_empty_and_extra_columns(spark):
     assert pf.preference_segments(empty).count() == 0 and pf.assembled(pf.preference_segments(empty)).count() == 0
 
 
-def test_nothing_is_lost(spark, sf):
-    turns = spark.read.parquet(f"{sf}/conversations.parquet")
-    seg = pf.op1_preference(spark, sf)
-    assert seg.selectExpr("sum(copies * if(part = 'prompt', 2, 1)) n").first().n == turns.count()
+def by_hand(rows):
+    """pair_id to prompt, chosen, rejected and masks of turns (pair_id, rejected, turn, role, text), in plain loops."""
+    out = {}
+    render = lambda r, t: f"<|{r or 'unknown'}|>\n{t or ''}\n"
+    for pair in {r[0] for r in rows} - {None}:
+        sides = [[(t, r or "", x or "", r, x) for p, j, t, r, x in rows if p == pair and j == side] for side in (False, True)]
+        turns = sorted({t for s in sides for t, *_ in s if t is not None})
+        of = lambda s, t: sorted(((r, x) for u, _, _, r, x in s if u == t), key=str)
+        shared = []
+        for t in turns if all(sides) else ():
+            if of(sides[0], t) != of(sides[1], t):
+                break
+            shared.append(t)
+        late = lambda t: (t is None, t or 0)
+        text, spans = [], []
+        for side in ([x for x in sides[0] if x[0] in shared], *([x for x in s if x[0] not in shared] for s in sides)):
+            made, mask = "", []
+            for (t, _, _, r, x), n in sorted(Counter(side).items(), key=lambda i: (late(i[0][0]), i[0][3] or "unknown", render(i[0][3], i[0][4]))):
+                if r == "assistant":
+                    mask.append((len(made), len(made) + n * len(render(r, x))))
+                made += n * render(r, x)
+            text.append(made)
+            spans.append(mask)
+        out[pair] = (*text, spans[1], spans[2])
+    return out
+
+
+def test_pairs_equal_brute_force_and_share_prompts(spark, sf):
+    """Every conversation of the table against itself with another answer, and awkward ones: nulls, repeated turns, long
+    texts, conversations without an answer."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = [(None, 0, "user", "nobody"), (9001, None, "assistant", "late"), (9001, 0, None, None), (9002, 0, "user", "w " * 50000), (9002, 1, "assistant", "a"), (9002, 1, "assistant", "a"), (9003, 0, "assistant", None), (9003, 0, "assistant", None)]
+    turns = turns.union(spark.createDataFrame(more, turns.schema)).withColumn("text_x", F.lit(1)).drop("text_x")
+    pairs = pf.variants(turns)
+    got = {r.pair_id: (r.prompt, r.chosen, r.rejected, [tuple(s) for s in r.chosen_mask], [tuple(s) for s in r.rejected_mask]) for r in pf.assembled(pf.preference_segments(pairs)).collect()}
+    assert got == by_hand([tuple(r) for r in pairs.collect()])
+    assert sum(bool(p) for p, *_ in got.values()) > 0.9 * len(got) and sum(c != r for _, c, r, *_ in got.values()) > 0.7 * len(got)
+    assert got[9003][1].startswith("<|assistant|>\n\n") and got[9003][2] == "<|assistant|>\na\n" * 2
+
+
+def test_query_equals_sql(spark, sf):
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    rel = duck.sql(pf.SQL["op1_preference"])
+    got = sorted(map(tuple, pf.op1_preference(spark, sf).select(*rel.columns).collect()))
+    assert got == sorted(rel.fetchall()) and {g[0] for g in got} == {"variant", "unlike"}

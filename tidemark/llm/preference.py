@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import join_skewed, stored, table
 
 TRAINED_ROLE = "assistant"
 
@@ -57,29 +57,72 @@ def assembled(segments: DataFrame) -> DataFrame:
     return turns.select("pair_id", text(F.col("prompt")).alias("prompt"), text(F.col("chosen")).alias("chosen"), text(F.col("rejected")).alias("rejected"), mask(F.col("chosen")).alias("chosen_mask"), mask(F.col("rejected")).alias("rejected_mask"))
 
 
-def op1_preference(spark, sf_dir: str) -> DataFrame:
-    """conversations has no pairs of its own: conversation 2k is taken as chosen and 2k + 1 as rejected."""
-    turns = table(spark, sf_dir, "conversations")
-    return preference_segments(turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.coalesce("conv_id", F.lit(0)).bitwiseAND(1) == 1).alias("rejected"), "turn", "role", "text"))
+def variants(turns: DataFrame) -> DataFrame:
+    """Pairs that share turns, from conversations (conv_id, turn, role, text) which have no pairs of their own: each is
+    chosen, and rejected with its last turn of the assistant replaced by that of the conversation numbered before it
+    (conv_id - 1; an empty text where there is none). pair_id, rejected, turn, role, text.
+
+    A conversation without an assistant's numbered turn is a pair of equal sides. Rows of one turn number are replaced
+    together, each row being one turn; rows without a conv_id stand on the chosen side alone.
+    """
+    answers = turns.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & (F.col("role") == TRAINED_ROLE))
+    last = stored(answers.groupBy("conv_id").agg(F.max("turn").alias("at"), F.max_by("text", F.struct("turn", "text")).alias("own")))
+    before = last.select((F.col("conv_id") + 1).alias("conv_id"), F.col("own").alias("other"))
+    rejected = join_skewed(turns.where("conv_id is not null").select("conv_id", "turn", "role", "text"), stored(last.join(before, "conv_id", "left").select("conv_id", "at", "other")), "conv_id", "left")
+    replaced = F.coalesce((F.col("turn") == F.col("at")) & (F.col("role") == TRAINED_ROLE), F.lit(False))
+    rejected = rejected.select(F.col("conv_id").alias("pair_id"), F.lit(True).alias("rejected"), "turn", "role", F.when(replaced, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    return turns.select(F.col("conv_id").alias("pair_id"), F.lit(False).alias("rejected"), "turn", "role", "text").union(rejected)
 
 
+def op1_preference(spark, sf_dir: str) -> DataFrame:
+    """Masked pairs of the whole table, by way of assembled(): of variants(), whose sides share a prompt, and of unlike
+    conversations, 2k as chosen and 2k + 1 as rejected, which share one only by chance. Masks are written as
+    start-end, joined by commas."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    unlike = turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.coalesce("conv_id", F.lit(0)).bitwiseAND(1) == 1).alias("rejected"), "turn", "role", "text")
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    out = [assembled(preference_segments(x)).select(F.lit(kind).alias("kind"), "pair_id", "prompt", "chosen", "rejected", listed("chosen_mask"), listed("rejected_mask")) for kind, x in (("variant", variants(turns)), ("unlike", unlike))]
+    return out[0].union(out[1])
+
+
+_SIDES = """
+ t AS (
+  SELECT 'variant' AS kind, conv_id AS pair_id, 0 AS side, turn, role, text FROM conversations
+  UNION ALL SELECT 'variant', c.conv_id, 1, c.turn, c.role, CASE WHEN c.turn = l.at AND c.role = 'assistant' THEN coalesce(o.own, '') ELSE c.text END
+  FROM conversations c LEFT JOIN l ON c.conv_id = l.conv_id LEFT JOIN l o ON o.conv_id = c.conv_id - 1 WHERE c.conv_id IS NOT NULL
+  UNION ALL SELECT 'unlike', conv_id >> 1, coalesce(conv_id & 1, 0), turn, role, text FROM conversations),
+"""
+
 SQL = {
-    "op1_preference": """
-WITH t AS (SELECT conv_id >> 1 AS pair_id, coalesce(conv_id & 1, 0) AS side, turn, role, text FROM conversations),
-k AS (SELECT DISTINCT pair_id, turn FROM t),
+    "op1_preference": f"""
+WITH l AS (
+  SELECT conv_id, max(turn) AS at, arg_max(text, {{'a': turn, 'b': text}}) AS own FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role = 'assistant' GROUP BY conv_id),{_SIDES}
 sides AS (
-  SELECT pair_id, turn, list_sort(list(coalesce(role, '~null') || chr(1) || coalesce(text, '~null')) FILTER (side = 0)) AS a,
+  SELECT kind, pair_id, turn, list_sort(list(coalesce(role, '~null') || chr(1) || coalesce(text, '~null')) FILTER (side = 0)) AS a,
          list_sort(list(coalesce(role, '~null') || chr(1) || coalesce(text, '~null')) FILTER (side = 1)) AS b
-  FROM t GROUP BY pair_id, turn),
-pairs AS (SELECT pair_id, count(DISTINCT side) = 2 AS complete FROM t WHERE pair_id IS NOT NULL GROUP BY pair_id),
-fork AS (SELECT pair_id, min(turn) AS fork FROM sides WHERE a IS DISTINCT FROM b GROUP BY pair_id),
+  FROM t GROUP BY kind, pair_id, turn),
+pairs AS (SELECT kind, pair_id, count(DISTINCT side) = 2 AS complete FROM t WHERE pair_id IS NOT NULL GROUP BY kind, pair_id),
+fork AS (SELECT kind, pair_id, min(turn) AS fork FROM sides WHERE a IS DISTINCT FROM b GROUP BY kind, pair_id),
 placed AS (
-  SELECT t.*, coalesce(p.complete AND t.turn IS NOT NULL AND (f.fork IS NULL OR t.turn < f.fork), false) AS shared
-  FROM t LEFT JOIN pairs p ON t.pair_id = p.pair_id LEFT JOIN fork f ON t.pair_id = f.pair_id)
-SELECT pair_id, CASE WHEN shared THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, turn, coalesce(role, 'unknown') AS role,
-  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS text, CAST(count(*) AS BIGINT) AS copies,
-  coalesce(role, 'unknown') = 'assistant' AND NOT shared AS trained
-FROM placed WHERE NOT (shared AND side = 1)
-GROUP BY pair_id, part, turn, role, text, shared, side
+  SELECT t.kind, t.pair_id, side, turn, coalesce(role, 'unknown') AS role, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS txt,
+    CASE WHEN complete AND turn IS NOT NULL AND (fork IS NULL OR turn < fork) THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part
+  FROM t JOIN pairs p ON t.kind = p.kind AND t.pair_id = p.pair_id LEFT JOIN fork f ON t.kind = f.kind AND t.pair_id = f.pair_id),
+ordered AS (
+  SELECT *, part <> 'prompt' AND role = 'assistant' AS trained,
+    sum(length(txt)) OVER (PARTITION BY kind, pair_id, part ORDER BY turn NULLS LAST, role, txt ROWS UNBOUNDED PRECEDING) AS e
+  FROM placed WHERE NOT (part = 'prompt' AND side = 1)),
+spans AS (  -- repeats of a turn are one span
+  SELECT kind, pair_id, part, turn, role, txt, trained, min(e - length(txt)) AS a, max(e) AS b, count(*) AS n FROM ordered GROUP BY ALL),
+parts AS (
+  SELECT kind, pair_id, part, string_agg(repeat(txt, n), '' ORDER BY turn NULLS LAST, role, txt) AS txt,
+    coalesce(string_agg(CAST(a AS BIGINT)::VARCHAR || '-' || CAST(b AS BIGINT)::VARCHAR, ',' ORDER BY a) FILTER (trained), '') AS mask
+  FROM spans GROUP BY kind, pair_id, part)
+SELECT p.kind, p.pair_id, coalesce(a.txt, '') AS prompt, coalesce(b.txt, '') AS chosen, coalesce(c.txt, '') AS rejected,
+  coalesce(b.mask, '') AS chosen_mask, coalesce(c.mask, '') AS rejected_mask
+FROM pairs p
+LEFT JOIN parts a ON a.kind = p.kind AND a.pair_id = p.pair_id AND a.part = 'prompt'
+LEFT JOIN parts b ON b.kind = p.kind AND b.pair_id = p.pair_id AND b.part = 'chosen'
+LEFT JOIN parts c ON c.kind = p.kind AND c.pair_id = p.pair_id AND c.part = 'rejected'
 """
 }
