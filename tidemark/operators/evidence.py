@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
+
 
 def kinds_of(df: DataFrame) -> dict[str, str]:
     """numeric, datetime or text by type."""
@@ -22,7 +24,8 @@ def long_form(df: DataFrame, columns: list[str], *carry: Column) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, n_rows, n_missing, n_distinct (exact), mean_length, min_text, max_text: grouped by cell value first, so
+    """column, n_rows, n_missing, n_distinct (exact), mean_length, min_text, max_text, n_max (rows
+    with the largest): grouped by cell value first, so
     that a value that fills a column is one partial count and no column needs a task of its own."""
     cells = long_form(df, columns or df.columns)
     values = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -34,6 +37,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.try_divide(length.cast("double"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).cast("double")).alias("mean_length"),
         F.min("value").alias("min_text"),
         F.max("value").alias("max_text"),
+        F.coalesce(F.max_by("n", "value"), F.lit(0)).alias("n_max"),
     )
 
 
@@ -43,23 +47,61 @@ def positive(df: DataFrame, target: str) -> Column:
     return F.coalesce((F.col(target).cast("string") == F.lit(top)).cast("int"), F.lit(0))
 
 
+def running(counted: DataFrame, by: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+    """Add <name>_before for each of sums: its sum over the rows of the same `by` that come before in `order`.
+
+    Rows are dealt to tasks by ranges of the order and stored; each range adds up its own rows, and the sums of whole
+    ranges, of which there are few, make the offsets. So neither a group nor a table without groups is one task.
+    """
+    spark, path = counted.sparkSession, scratch(counted.sparkSession, "running")
+    counted.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    up_to_now = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    ahead = up_to_now(Window.partitionBy(*by).orderBy("_range"))
+    offsets = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = up_to_now(Window.partitionBy(*by, "_range").orderBy(*order))
+    rows = rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    both = rows.join(offsets, same)
+    return both.select(*counted.columns, *[(F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums])
+
+
+def numbers_of(df: DataFrame, columns: list[str], *carry: Column) -> DataFrame:
+    """One row per cell that holds a number: the carried columns, column, value (double)."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = df.select(*carry, F.explode(cells).alias("_cell"))
+    return rows.select("*", "_cell.column", "_cell.value").drop("_cell").where("value is not null and not isnan(value)")
+
+
 def rank_auc(df: DataFrame, columns: list[str], y: Column, fold: bool = True) -> DataFrame:
     """column, auc: the chance that a positive row's value is above a negative one's, ties counting half; with fold the
     larger of it and its complement. Null without both classes.
 
     Values are counted per column first; ranks are then running sums over distinct values, so ties need no window of
-    their own and skewed values are one row.
+    their own, skewed values are one row and a column of many values is many tasks.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    rows = df.select(y.alias("y"), F.explode(cells).alias("c")).select("y", "c.column", "c.value").where("value is not null and not isnan(value)")
+    rows = numbers_of(df, columns, y.alias("y"))
     counted = rows.groupBy("column", "value").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    scored = counted.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    scored = running(counted, ["column"], [F.col("value")], ["n"]).withColumn("won", F.col("p") * (F.col("n_before") + F.col("n") / 2))
     auc = F.try_divide(F.sum("won").cast("double"), (F.sum("p") * F.sum("n")).cast("double"))
     out = scored.groupBy("column").agg(auc.alias("auc"))
     return out.withColumn("auc", F.greatest("auc", 1 - F.col("auc"))) if fold else out
 
 
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, median (the mean of the middle pair), exact, for all columns in one job and no column in one task."""
+    counted = numbers_of(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running(counted, ["column"], [F.col("value")], ["n"])
+    total = counted.groupBy(F.col("column").alias("of")).agg(F.sum("n").alias("total"))
+    both = placed.join(F.broadcast(total), F.col("column") == F.col("of"))  # a row per column
+    holds = lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+    low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    return both.groupBy("column").agg(((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("median"))
+
+
 def class_evidence(df: DataFrame, columns: list[str], y: Column) -> DataFrame:
     """column, null_mask_r (correlation of absence with the target, absolute; null where one does not vary) and
     constant_within_class, for all columns in one aggregation over cell counts."""

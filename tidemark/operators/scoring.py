@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import evidence
+
 # Fixed values of the profit rule.
 OFFER_COST = 200.0
 SAVED_VALUE = 1200.0
@@ -20,10 +22,10 @@ def thresholds() -> list[float]:
 
 def median_scaled(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
     """Missing numbers become the median (the mean of the middle pair), then all are centred and divided by the
-    population deviation (1 where there is none). One aggregation for the medians, one for mean and deviation."""
+    population deviation (1 where there is none). Two jobs, whatever the number of columns: medians, mean and deviation."""
     value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
-    medians = df.agg(*[F.median(value(c)).alias(c) for c in columns]).first()
-    filled = {c: F.coalesce(value(c), F.lit(medians[c]).cast("double")) for c in columns}
+    medians = {r["column"]: r["median"] for r in evidence.medians(df, list(columns)).collect()}
+    filled = {c: F.coalesce(value(c), F.lit(medians.get(c)).cast("double")) for c in columns}
     stats = df.select(*[x.alias(c) for c, x in filled.items()]).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     scaled = {f"{c}{suffix}": (filled[c] - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns}
     return df.withColumns(scaled)
@@ -70,8 +72,7 @@ def average_precision(scored: DataFrame, y: str, p: str) -> DataFrame:
     """Step-wise area under precision and recall: precision at each distinct score, weighted by the recall it adds.
     Scores are counted first; the running sums are over distinct scores."""
     by = scored.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    steps = evidence.running(by, [], [F.desc("p")], ["pos", "n"]).withColumns({"tp": F.col("pos") + F.col("pos_before"), "seen": F.col("n") + F.col("n_before")})
     return steps.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos").cast("double")).alias("average_precision"))
 
 
@@ -80,11 +81,23 @@ def class_weight(df: DataFrame, y: str) -> DataFrame:
     return df.agg((F.count_if(F.col(y) == 0) / F.greatest(F.count_if(F.col(y) == 1), F.lit(1))).alias("pos_weight"))
 
 
-def stratified_fold(y: str, key: str, k: int, seed: int = 42) -> Column:
-    """Fold 0..k-1 of a row within its class, fixed by a hash of its key: for tables without any time column only.
+def _ranked(df: DataFrame, y: str, key: str, seed: int) -> DataFrame:
+    """Add _rank: a row's place from 0 in a seeded order of its class."""
+    return evidence.running(df.withColumns({"_one": F.lit(1), "_order": F.xxhash64(F.lit(seed), F.col(key))}), [y], [F.col("_order"), F.col(key)], ["_one"]).withColumnRenamed("_one_before", "_rank")
+
+
+def stratified_folds(df: DataFrame, y: str, key: str, k: int, seed: int = 42) -> DataFrame:
+    """Add fold, 0..k-1: within each class the folds' sizes differ by one row at most, the first folds having the larger
+    ones. For tables without any time column only; those with one are split by time. Rows that share a key are dealt in
+    any order."""
+    return _ranked(df, y, key, seed).withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_one", "_order", "_rank")
+
 
-    A hash needs no sort, so no class is gathered; folds are equal up to chance."""
-    return F.pmod(F.xxhash64(F.col(key), F.col(y), F.lit(seed)), F.lit(k)).cast("int")
+def stratified_split(df: DataFrame, y: str, key: str, held_out: float = 0.2, seed: int = 42) -> DataFrame:
+    """Add split: `eval` for the stated share of every class (rounded, halves up), `train` for the rest."""
+    sizes = df.groupBy(F.col(y).alias("_class")).agg(F.floor(F.count(F.lit(1)) * held_out + 0.5).alias("_held"))
+    both = _ranked(df, y, key, seed).join(F.broadcast(sizes), F.col(y).eqNullSafe(F.col("_class")))  # a row per class
+    return both.select(*df.columns, F.when(F.col("_rank") < F.col("_held"), "eval").otherwise("train").alias("split"))
 
 
 def recommended(p: Column, cutoff: float, rules: Sequence[tuple[Column, str]], default: str) -> Column:

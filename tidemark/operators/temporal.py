@@ -36,6 +36,25 @@ def cutoff_split(df: DataFrame, date_column: str, cutoff, *, check: bool = True)
     return out
 
 
+def split_report(split: DataFrame, label: str | None = None, role: str = "split") -> DataFrame:
+    """One row on what cutoff_split() made: n_train, n_eval, n_undated, and with a label the share of ones in train and
+    eval (0 where there are no labels) as train_positive_rate and positive_rate. reported_auc_is_temporal is always true:
+    nothing here splits at random."""
+    side = F.col(role)
+    counts = [F.count_if(side == s).alias(f"n_{s}") for s in ("train", "eval", "undated")]
+    rate = lambda s: F.coalesce(F.avg(F.when(side == s, F.col(label)).cast("double")), F.lit(0.0))
+    rates = [rate("train").alias("train_positive_rate"), rate("eval").alias("positive_rate")] if label else []
+    return split.agg(*counts, *rates).withColumn("reported_auc_is_temporal", F.lit(True))
+
+
+def label_report(labelled: DataFrame) -> DataFrame:
+    """One row on what label_with_censoring() made: n_input, n_labelled, n_censored, n_excluded (which add up) and
+    positive_rate, the share of ones among the labelled rows (0 without any)."""
+    done = F.col("label").isNotNull()
+    rows = labelled.agg(F.count(F.lit(1)).alias("n_input"), F.count_if(done).alias("n_labelled"), F.count_if(F.col("outcome") == "censored").alias("n_censored"), F.coalesce(F.avg(F.col("label").cast("double")), F.lit(0.0)).alias("positive_rate"))
+    return rows.select("n_input", "n_labelled", "n_censored", (F.col("n_input") - F.col("n_labelled") - F.col("n_censored")).alias("n_excluded"), "positive_rate")
+
+
 def excluded(df: DataFrame, by: str, id_column: str, keep: tuple[str, ...], sample: int = 5) -> DataFrame:
     """Report of what was left out: reason, n and the first ids.
 
