@@ -84,11 +84,15 @@ def test_numbers(read):
 
 def test_headers(read):
     out = read("id,amount,amount,amount_1\n1,100,250,3\n")
-    assert out.frame.columns == ["line_number", "id", "amount", "amount_2", "amount_1"] and out.renamed == {"amount_2": "amount"}
+    assert out.frame.columns == ["source_file", "line_number", "id", "amount", "amount_2", "amount_1"] and out.renamed == {"amount_2": "amount"}
     pre = read("Report of partners\nmade on Monday\npartner,value,months\na,1,2\nb,3,4\n")
-    assert pre.header_line == 3 and pre.preamble == ("Report of partners", "made on Monday")
+    assert pre.header_line == 3 and [r.raw_line for r in pre.preamble.orderBy("line_number").collect()] == ["Report of partners", "made on Monday"]
+    long = read("".join(f"line {i}\n" for i in range(1500)) + "partner,value,months\n" + "a,1,2\n" * 1600)
+    assert long.header_line == 1501 and long.preamble.count() == 1500 and any("1500 lines" in w.message for w in long.warnings)
+    own = read("line_number,x\n7,a\n8,b\n")
+    assert values(own, "line_number_1") == [7.0, 8.0] and own.renamed == {"line_number_1": "line_number"}
     ghost = read("site,visits,,\na,1,,\nb,2,,\n,,,\n\nc,3,,\n")
-    assert ghost.frame.columns == ["line_number", "site", "visits"] and ghost.counts == {"kept": 3, "empty": 1, "rejected": 0, "n_rows_in": 4}
+    assert ghost.frame.columns == ["source_file", "line_number", "site", "visits"] and ghost.counts == {"kept": 3, "empty": 1, "rejected": 0, "n_rows_in": 4}
 
 
 def test_ragged_rows_and_lines(read):
@@ -109,3 +113,24 @@ def test_guards(spark, tmp_path, read):
         read("\n\n")
     empty = read("a,b\n")
     assert empty.counts["kept"] == 0 and any(w.code == "no_data" for w in empty.warnings)
+
+
+def test_many_files_are_one_table(spark, tmp_path):
+    """Typing is decided over all files: the comma of one is the sign of all; one file has no header, one a preamble and
+    another encoding; line numbers are each file's own."""
+    parts = {"a.csv": b"ref;price\nA1;1,5\nA2;2\n", "b.csv": b"B1;3\nB2;4\nlonely\n", "c.csv": "Über alles\nref;price\nÇ1;5,25\n;\n".encode("latin-1")}
+    for name, data in parts.items():
+        (tmp_path / name).write_bytes(data)
+    out = d.read_table(spark, str(tmp_path / "*.csv"))
+    rows = {(r.source_file.split("/")[-1], r.line_number, r.ref, r.price) for r in out.frame.collect()}
+    assert rows == {("a.csv", 2, "A1", 1.5), ("a.csv", 3, "A2", 2.0), ("b.csv", 1, "B1", 3.0), ("b.csv", 2, "B2", 4.0), ("c.csv", 3, "Ç1", 5.25)}
+    assert out.counts == {"kept": 5, "empty": 1, "rejected": 1, "n_rows_in": 7} and [r.raw_line for r in out.preamble.collect()] == ["Über alles"]
+    assert any(w.code == "mixed_files" for w in out.warnings) and (out.encoding, out.delimiter) == ("utf-8", ";")
+    with pytest.raises(d.FileTooLargeError, match="a.csv|b.csv|c.csv"):
+        d.read_table(spark, str(tmp_path / "*.csv"), max_bytes=20)
+
+
+def test_delimiter_of_very_long_rows(read):
+    """The first fifty rows decide, however long they are."""
+    out = read("id;note\n" + "".join(f"{i};{'a, b, ' * 9000}\n" for i in range(60)))
+    assert out.delimiter == ";" and out.counts["kept"] == 60

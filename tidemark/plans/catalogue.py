@@ -282,14 +282,41 @@ def post_window(spark, sf_dir):
     return out.withColumn("latest", F.date_format("latest", "yyyy-MM-dd"))
 
 
-@query()
+_COLUMNS = {"doc_id": "numeric", "lang": "text", "source": "text", "n_chars": "numeric", "quality": "numeric", "toxic": "numeric", "maybe": "numeric", "grade": "text"}
+
+
+def _proposal_sql() -> str:
+    """The rules on the columns of _labelled_documents, quality being the outcome."""
+    each = " UNION ALL ".join(
+        f"SELECT {i} AS place, '{c}' AS col, '{k}' AS kind, count(*) AS n, count(DISTINCT {c}) AS d, avg(length(CAST({c} AS VARCHAR))) AS len, least(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0)) < 50 AS small, "
+        f"abs(corr(CAST({c} IS NULL AS INT), quality)) AS r, count(DISTINCT {c}) FILTER (quality = 0) = 1 AND count(DISTINCT {c}) FILTER (quality = 1) = 1 AND max({c}) FILTER (quality = 0) <> max({c}) FILTER (quality = 1) AS const, "
+        + (f"(SELECT greatest(a, 1 - a) FROM (SELECT sum((y.n + y.t / 2.0) * y.p) / (sum(y.p) * sum(y.t)) AS a FROM (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS t, coalesce(sum(count(*) FILTER (quality = 0)) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c}) y))" if k == "numeric" else "NULL::DOUBLE")
+        + " AS auc FROM d"
+        for i, (c, k) in enumerate(_COLUMNS.items())
+    )
+    return f"""{_DOCS}, f AS ({each}),
+v AS (SELECT *, CASE WHEN d <= 1 THEN 'constant' WHEN kind = 'numeric' THEN 'numeric' WHEN len >= 40 AND d > 0.5 * n THEN 'free_text' WHEN d <= least(20, greatest(2, n // 2)) THEN 'categorical_low' ELSE 'categorical_high' END AS by_values FROM f),
+w AS (SELECT *, by_values <> 'constant' AND d = n AND place = 0 AS is_id, CASE WHEN d = 2 AND by_values NOT IN ('constant', 'free_text') THEN CASE WHEN col IN ('quality', 'toxic') THEN 0.55 ELSE 0.35 END END AS likely FROM v),
+x AS (SELECT *, CASE WHEN is_id THEN 'identifier' WHEN col = (SELECT col FROM w ORDER BY likely DESC NULLS LAST, col LIMIT 1) THEN 'target_candidate' ELSE by_values END AS role FROM w),
+t AS (SELECT * FROM x WHERE col <> 'quality' AND role NOT IN ('identifier', 'constant')),
+p AS (
+  SELECT col, 'single_column_auc' AS rule, CASE WHEN small AND auc < 0.99 THEN 'warning' ELSE 'blocking' END AS severity FROM t WHERE auc >= 0.95
+  UNION ALL SELECT col, 'null_mask', CASE WHEN small AND round(r, 12) < 0.99 THEN 'warning' ELSE 'blocking' END FROM t WHERE r IS NOT NULL AND NOT isnan(r) AND round(r, 12) >= 0.9
+  UNION ALL SELECT col, 'constant_within_class', 'blocking' FROM t WHERE const)
+SELECT 'role' AS what, col AS "column", role AS value, CAST(CASE role WHEN 'identifier' THEN 0.9 WHEN 'target_candidate' THEN likely WHEN 'constant' THEN 0.99 WHEN 'numeric' THEN 0.9 WHEN 'free_text' THEN 0.85 WHEN 'categorical_low' THEN 0.9 ELSE 0.75 END AS DOUBLE) AS confidence FROM x
+UNION ALL SELECT 'finding', col, rule || ':' || severity, NULL FROM p"""
+
+
+@query(_proposal_sql())
 def schema_proposal(spark, sf_dir):
-    """Roles, claims and findings of the labelled documents, as rows."""
-    from ..operators.leakage import infer_schema
+    """Roles and findings of the labelled documents, as rows."""
+    from ..operators import leakage
 
-    p = infer_schema(_labelled_documents(spark, sf_dir), target="quality")
-    rows = [("role", r.name, r.role, r.confidence) for r in p.roles.values()] + [("finding", f.column, f"{f.rule}:{f.severity}", None) for f in p.findings]
-    return spark.createDataFrame(rows, "what string, column string, value string, confidence double")
+    df = _labelled_documents(spark, sf_dir).select(*_COLUMNS)
+    roled = leakage.with_roles(leakage.describe(df))
+    roles = roled.select(F.lit("role").alias("what"), "column", F.col("role").alias("value"), "confidence")
+    found = leakage.findings(df, roled, roled.where("column = 'quality'").first())
+    return roles.union(found.select(F.lit("finding"), "column", F.concat_ws(":", "rule", "severity"), F.lit(None).cast("double")))
 
 
 # -- cells of delimited text -------------------------------------------------------------------------------------------
@@ -474,9 +501,9 @@ def logistic_scores(spark, sf_dir):
 _DELIMITED = "SELECT p_partkey::DOUBLE AS p_partkey, p_name AS name, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE round(p_retailprice, 2) END AS price, strftime(DATE '2023-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y-%m-%d') AS made_on FROM part WHERE p_partkey % 50 <> 7"
 
 
-@query(_DELIMITED)
-def delimited_read(spark, sf_dir):
-    """part written as awkward delimited text (decimal commas, spelled nulls, day-first dates, short rows), read back."""
+def _delimited(spark, sf_dir):
+    """part written as awkward delimited text (decimal commas, spelled nulls, day-first dates, short rows) over several
+    files, the first of which has a preamble and the header, and read as one table."""
     from ..session import scratch
     from ..sources.delimited import read_table
 
@@ -486,12 +513,40 @@ def delimited_read(spark, sf_dir):
     line = F.when(k % 50 == 7, k.cast("string")).otherwise(F.concat_ws(";", k.cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), price, day))
     path = scratch(spark, "delimited")
     rows = table(spark, sf_dir, "part").select(k, line.alias("line"))
-    head = spark.createDataFrame([(-1, "p_partkey;name;price;made_on")], "p_partkey long, line string")
-    rows.union(head).coalesce(1).sortWithinPartitions("p_partkey").select("line").write.text(path)
-    out = read_table(spark, f"{path}/part-*.txt")
+    rows = rows.repartitionByRange(2 + rows.count() // 1_000_000, k).sortWithinPartitions(k).withColumn("at", F.monotonically_increasing_id())
+    head = F.when(F.col("at") == 0, F.concat(F.lit("Parts of the shop\np_partkey;name;price;made_on\n"), "line")).otherwise(F.col("line"))
+    rows.select(head.alias("line")).write.text(path)
+    return read_table(spark, f"{path}/part-*.txt")
+
+
+@query(_DELIMITED)
+def delimited_read(spark, sf_dir):
+    out = _delimited(spark, sf_dir)
     return out.frame.select("p_partkey", "name", F.round("price", 2).alias("price"), F.date_format("made_on", "yyyy-MM-dd").alias("made_on"))
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) AS raw_line, 1 AS n_fields, 4 AS n_expected, 'too few fields' AS reason FROM part WHERE p_partkey % 50 = 7")
+def delimited_rejects(spark, sf_dir):
+    return _delimited(spark, sf_dir).rejects.select("raw_line", "n_fields", "n_expected", "reason")
+
+
+@query(
+    """WITH k AS (SELECT p_partkey % 10 = 0 AS spelled FROM part WHERE p_partkey % 50 <> 7)
+SELECT 'price' AS "column", count(*) FILTER (NOT spelled) AS n_parsed, 0::BIGINT AS n_failed, count(*) FILTER (spelled) AS n_missing, 'n/a=' || count(*) FILTER (spelled) AS tokens FROM k
+UNION ALL SELECT unnest(['p_partkey', 'name', 'made_on']), count(*), 0, 0, '' FROM k"""
+)
+def delimited_stats(spark, sf_dir):
+    """Cells of every column: parsed, failed, missing, and which spellings of null there were."""
+    stats = _delimited(spark, sf_dir).stats
+    tokens = F.array_join(F.transform(F.map_entries("null_tokens"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return stats.select("column", "n_parsed", "n_failed", "n_missing", F.coalesce(tokens, F.lit("")).alias("tokens"))
+
+
+@query("SELECT 'Parts of the shop' AS raw_line, 1::BIGINT AS line_number")
+def delimited_preamble(spark, sf_dir):
+    return _delimited(spark, sf_dir).preamble.select("raw_line", "line_number")
+
+
 @query(_RISK + " SELECT json_object('c_custkey', c_custkey, 'band', CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' ELSE 'Low' END)::VARCHAR AS json FROM r")
 def json_rows(spark, sf_dir):
     from ..sources.sinks import as_json
@@ -519,11 +574,31 @@ def readable_features(spark, sf_dir):
     return names.select("feature", readable(F.col("feature"), {"segment": "Market segment", "acctbal": "Balance"}).alias("shown"))
 
 
-@query("SELECT quality, count(*) AS n FROM labels GROUP BY quality")
+@query("WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality) SELECT quality, CAST(i AS INT) AS fold, CAST((n + 4 - i) // 5 AS BIGINT) AS n FROM c, unnest(range(5)) t(i) WHERE (n + 4 - i) // 5 > 0")
 def stratified_folds(spark, sf_dir):
-    """Class sizes, summed over the folds: no row is in two folds or in none."""
-    rows = table(spark, sf_dir, "labels").withColumn("fold", scoring.stratified_fold("quality", "doc_id", 5))
-    return rows.where("fold between 0 and 4").groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n")).groupBy("quality").agg(F.sum("n").alias("n"))
+    """Sizes of the folds of each class: they differ by one row at most."""
+    rows = scoring.stratified_folds(table(spark, sf_dir, "labels"), "quality", "doc_id", 5)
+    return rows.groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH c AS (SELECT quality, count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS e FROM labels GROUP BY quality) SELECT quality, 'eval' AS split, e AS n FROM c WHERE e > 0 UNION ALL SELECT quality, 'train', n - e FROM c WHERE n > e")
+def stratified_split(spark, sf_dir):
+    rows = scoring.stratified_split(table(spark, sf_dir, "labels"), "quality", "doc_id")
+    return rows.groupBy("quality", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT count(*) FILTER (o_orderdate < TIMESTAMP '1996-01-01') AS n_train, count(*) FILTER (o_orderdate >= TIMESTAMP '1996-01-01') AS n_eval, count(*) FILTER (o_orderdate IS NULL) AS n_undated,
+round(avg((o_totalprice > 150000)::INT::DOUBLE) FILTER (o_orderdate < TIMESTAMP '1996-01-01'), 6) AS train_positive_rate, round(avg((o_totalprice > 150000)::INT::DOUBLE) FILTER (o_orderdate >= TIMESTAMP '1996-01-01'), 6) AS positive_rate, true AS reported_auc_is_temporal FROM orders"""
+)
+def split_report(spark, sf_dir):
+    rows = temporal.cutoff_split(table(spark, sf_dir, "orders").withColumn("y", (F.col("o_totalprice") > 150000).cast("int")), "o_orderdate", "1996-01-01", check=False)
+    return rounded(temporal.split_report(rows, "y"))
+
+
+@query(_LABELS + " SELECT count(*) AS n_input, count(*) FILTER (outcome IN ('positive', 'negative')) AS n_labelled, count(*) FILTER (outcome = 'censored') AS n_censored, count(*) FILTER (outcome NOT IN ('positive', 'negative', 'censored')) AS n_excluded, round(coalesce(avg((outcome = 'positive')::INT::DOUBLE) FILTER (outcome IN ('positive', 'negative')), 0), 6) AS positive_rate FROM l")
+def label_report(spark, sf_dir):
+    return rounded(temporal.label_report(_labelled(spark, sf_dir)))
 
 
 @query("SELECT user_id AS customer, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_events FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")

@@ -1,9 +1,10 @@
 """Delimited text with full accounting: every record is kept, dropped as empty or rejected with a reason, and every cell
 is parsed, missing or a counted failure.
 
-A file is one task: quoted line breaks and exact line numbers need it read from its start, and the size guard bounds it.
-The task only splits records; header, triage, typing and statistics are Spark expressions over the record table. What
-holds for a whole column (decimal sign, date order, percent) is decided from one aggregate over all its cells.
+A table is one file or many of one shape. A file is one task: quoted line breaks and exact line numbers need it read
+from its start, and the size guard bounds it. The task only splits records, which are stored once; header, triage, typing
+and statistics are Spark expressions over the record table. What holds for a whole column (decimal sign, date order,
+percent) is decided from one aggregate over all its cells in all files.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..session import scratch
 
+# Fixed values of the reading rules.
 MAX_BYTES = 256 * 1024 * 1024
 DELIMITERS = (",", ";", "\t", "|")
 ACCEPT = 0.8
@@ -29,7 +32,12 @@ SAMPLES = 5
 SNIFF_ROWS = 50
 DATE_NAMES = re.compile(r"(^|_)(date|dates|dt|datetime|timestamp|day|on|at|since|until)($|_)", re.IGNORECASE)
 
-RECORDS = "line_number long, fields array<string>, raw_line string"
+
+RECORDS = "source_file string, encoding string, delimiter string, line_number long, fields array<string>, raw_line string"
+#: Columns of every frame; a header of such a name is renamed.
+RESERVED = ("source_file", "line_number")
+#: Files whose header lines may be broadcast; of more, they are joined by a shuffle.
+BROADCAST_FILES = 100_000
 
 
 class FileTooLargeError(ValueError):
@@ -57,8 +65,10 @@ class Column_:
 
 @dataclass(frozen=True)
 class ParseResult:
-    """frame: typed rows with line_number; rejects: line_number, n_fields, n_expected, raw_line, reason; stats: a row per
-    column (n_parsed, n_failed, n_missing, null_tokens, sample_failures); counts: n_rows_in, kept, empty, rejected."""
+    """frame: typed rows with source_file and line_number; rejects: those, n_fields, n_expected, raw_line, reason; stats: a
+    row per column (n_parsed, n_failed, n_missing, null_tokens, sample_failures); counts: n_rows_in, kept, empty,
+    rejected; encoding, delimiter, header_line: of the first file by name; preamble: source_file, line_number, raw_line
+    of what stands above the headers."""
 
     frame: DataFrame
     rejects: DataFrame
@@ -68,7 +78,7 @@ class ParseResult:
     encoding: str
     delimiter: str
     header_line: int
-    preamble: tuple[str, ...]
+    preamble: DataFrame
     renamed: dict[str, str]
     warnings: tuple[Warned, ...]
 
@@ -90,30 +100,35 @@ def detect_encoding(data: bytes) -> str:
     return "latin-1"
 
 
-def records(text: str, delimiter: str) -> Iterator[tuple[int, list[str], str]]:
-    """Line where a record starts, its fields, its raw text; blank lines vanish."""
+def lines(data: bytes, encoding: str) -> Iterator[str]:
+    """Lines with their ends, decoded as they are asked for."""
+    return io.TextIOWrapper(io.BytesIO(data), encoding, newline="")
+
+
+def records(text: Iterator[str], delimiter: str) -> Iterator[tuple[int, list[str], str]]:
+    """Line where a record starts, its fields, its raw text, from lines; blank lines vanish."""
     csv.field_size_limit(2**31 - 1)
     taken: list[str] = []
 
-    def lines():
-        for line in io.StringIO(text, newline=""):
+    def kept():
+        for line in text:
             taken.append(line)
             yield line
 
     at = 1
-    for fields in csv.reader(lines(), delimiter=delimiter):
+    for fields in csv.reader(kept(), delimiter=delimiter):
         if fields:
             yield at, fields, "".join(taken).rstrip("\r\n")
         at += len(taken)
         taken.clear()
 
 
-def detect_delimiter(text: str) -> str:
+def detect_delimiter(data: bytes, encoding: str) -> str:
     """The candidate under which most of the first rows have one width of two or more, then the widest, then the first."""
     best, chosen = (0.0, 0), DELIMITERS[0]
     for d in DELIMITERS:
         widths = []
-        for _, fields, _ in records(text, d):
+        for _, fields, _ in records(lines(data, encoding), d):
             if any(f.strip() for f in fields):
                 widths.append(len(fields))
             if len(widths) == SNIFF_ROWS:
@@ -126,47 +141,41 @@ def detect_delimiter(text: str) -> str:
     return chosen
 
 
-def _sniff(encoding: str | None, delimiter: str | None):
+def _scan(encoding: str | None, delimiter: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                data = data.as_py()
                 name = encoding or detect_encoding(data)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([delimiter or detect_delimiter(data[:1_000_000].decode(name, "replace"))])], ["encoding", "delimiter"])
-
-    return run
-
-
-def _scan(encoding: str, delimiter: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
+                sign = delimiter or detect_delimiter(data, name)
                 rows: list[tuple] = []
-                for row in records(data.decode(encoding), delimiter):
+                for row in records(lines(data, name), sign):
                     rows.append(row)
                     if len(rows) == 10_000:
-                        yield _batch(rows)
+                        yield _batch(path.as_py(), name, sign, rows)
                         rows = []
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(path.as_py(), name, sign, rows)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(path: str, encoding: str, delimiter: str, rows: list[tuple]) -> pa.RecordBatch:
     a, b, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.string())), pa.array(c, pa.string())], ["line_number", "fields", "raw_line"])
+    same = [pa.array([x] * len(rows), pa.string()) for x in (path, encoding, delimiter)]
+    return pa.RecordBatch.from_arrays([*same, pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.string())), pa.array(c, pa.string())], ["source_file", "encoding", "delimiter", "line_number", "fields", "raw_line"])
 
 
 def header_names(fields: list[str]) -> tuple[list[str], dict[str, str], list[bool]]:
     """Unique names: blanks become column_<position>, repeats get the next free number."""
     names, renamed, unnamed = [], {}, []
-    taken = {f.strip() for f in fields if f.strip()}
+    taken = {f.strip() for f in fields if f.strip()} | set(RESERVED)
     for i, f in enumerate(fields):
         name = f.strip()
         unnamed.append(not name)
         if not name:
             name = f"column_{i + 1}"
-        if name in names:
+        if name in names or name in RESERVED:
             k = 1
             while f"{name}_{k}" in names or f"{name}_{k}" in taken:
                 k += 1
@@ -176,17 +185,23 @@ def header_names(fields: list[str]) -> tuple[list[str], dict[str, str], list[boo
     return names, renamed, unnamed
 
 
-def _header(rows: DataFrame) -> tuple[int, list[str]]:
-    """Line and fields of the first record of the most common width with two names or more and at most half numbers."""
-    width = rows.groupBy(F.size("fields").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("line_number").alias("at")).orderBy(F.desc("n"), "at").first()
+def _header(rows: DataFrame) -> tuple[str, int, list[str], DataFrame]:
+    """First file, line and fields of its header (the first record of the most common width with two names or more and
+    at most half numbers), and source_file, header_line: where every file has those fields again. A file whose first
+    record of that width is another has no header (line 0), and all its records are data."""
+    width = rows.groupBy(F.size("fields").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_file", "line_number")).alias("at")).orderBy(F.desc("n"), "at").first()
     if width is None:
         raise ValueError("there are no records in this file")
     cells = F.transform("fields", lambda x: V.strip(x))
     named = F.size(F.filter(cells, lambda x: x != ""))
     numbers = F.size(F.filter(cells, lambda x: x.rlike(r"^[+-]?[0-9][0-9.,]*%?$")))
-    fit = rows.where((F.size("fields") == width.w) & (named >= 2) & (numbers * 2 <= F.size("fields")))
-    found = fit.orderBy("line_number").first() or rows.orderBy("line_number").first()
-    return found.line_number, found.fields
+    first = rows.agg(F.min("source_file")).first()[0]
+    own = rows.where(F.col("source_file") == first)
+    fit = own.where((F.size("fields") == width.w) & (named >= 2) & (numbers * 2 <= F.size("fields")))
+    found = fit.orderBy("line_number").first() or own.orderBy("line_number").first()
+    top = rows.groupBy("source_file").agg(F.min_by(F.struct("line_number", "fields"), F.when(F.size("fields") == len(found.fields), F.col("line_number"))).alias("top"))
+    again = F.when(F.col("source_file") == first, found.line_number).when(F.col("top.fields") == F.array(*map(F.lit, found.fields)), F.col("top.line_number")).otherwise(0)
+    return first, found.line_number, found.fields, top.select("source_file", again.cast("long").alias("header_line"))
 
 
 def _facts(v: Column) -> dict[str, Column]:
@@ -207,7 +222,7 @@ def _evidence(i: int) -> Column:
     n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
     out = {
         "cand": n(f("cand")), "pct": n(f("pct")), "serial": n(f("serial")), "dates": n(f("date")), "apart": n(f("apart")), "first": F.max(F.when(f("apart"), f("first"))), "second": F.max(F.when(f("apart"), f("second"))),
-        "verdict": F.min_by(f("both"), F.when(f("both").isNotNull(), F.col("line_number"))), "comma": n(f("comma")), "multiplied": n(f("multiplied")), "signs": F.collect_set(f("sign")), "tokens": n(f("token")),
+        "verdict": F.min_by(f("both"), F.when(f("both").isNotNull(), F.struct("source_file", "line_number"))), "comma": n(f("comma")), "multiplied": n(f("multiplied")), "signs": F.collect_set(f("sign")), "tokens": n(f("token")),
         "dot_all": n(f("dot")), "dot_plain": n(f("dot") & ~f("pct")), "com_all": n(f("com")), "com_plain": n(f("com") & ~f("pct")), "filled": n(f("filled")),
     }
     return F.struct(*[x.alias(k) for k, x in out.items()]).alias(f"e{i}")
@@ -251,37 +266,44 @@ def typed(v: Column, c: Column_) -> Column:
 
 
 def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, delimiter: str | None = None, day_first: bool | None = None, max_bytes: int = MAX_BYTES) -> ParseResult:
-    """Read one delimited file. Bad data never raises; a missing or too large file and one without records do."""
-    file = spark.read.format("binaryFile").load(path)
+    """Read one delimited file, or all files that path matches as one table: the header of the first by name names the
+    columns, and the others may repeat it. Bad data never raises; a missing or too large file and a table without
+    records do."""
     try:
-        size = file.select("length", "modificationTime").first()
+        files = spark.read.format("binaryFile").load(path)
+        large = files.select("path", "length").where(F.col("length") > max_bytes).orderBy("path").first()
+        n_files = files.select("path").count()
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
-    if size is None:
+    if not n_files:
         raise FileNotFoundError(path)
-    if size.length > max_bytes:
-        raise FileTooLargeError(f"{path} has {size.length} bytes; max_bytes is {max_bytes}")
-    # the version is part of the plan, so that records cached from an earlier file of this name are not taken for it
-    content = file.where((F.col("modificationTime") == F.lit(size.modificationTime)) & (F.col("length") == size.length)).select("content")
-    seen = content.mapInArrow(_sniff(encoding, delimiter), "encoding string, delimiter string").first()
-    rows = content.mapInArrow(_scan(seen.encoding, seen.delimiter), RECORDS).repartition(spark.sparkContext.defaultParallelism).cache()
-
-    line, fields = _header(rows)
+    if large:
+        raise FileTooLargeError(f"{large.path} has {large.length} bytes; max_bytes is {max_bytes}")
+    place = scratch(spark, "records")
+    rows = files.select("path", "content").mapInArrow(_scan(encoding, delimiter), RECORDS)
+    (rows.repartition(spark.sparkContext.defaultParallelism) if n_files == 1 else rows).write.parquet(place)
+    rows = spark.read.schema(RECORDS).parquet(place)
+
+    first, line, fields, heads = _header(rows)
+    seen = rows.where((F.col("source_file") == first) & (F.col("line_number") == line)).select("encoding", "delimiter").first()
     names, renamed, unnamed = header_names(fields)
     n = len(names)
-    warnings = [Warned("renamed", new, f"repeated column {old} is now {new}") for new, old in renamed.items()]
-    preamble = tuple(r.raw_line for r in rows.where(F.col("line_number") < line).orderBy("line_number").limit(1000).collect())
-    if preamble:
-        warnings.append(Warned("header", None, f"the header is on line {line}, below {len(preamble)} lines of preamble"))
+    warnings = [Warned("renamed", new, f"column {old} is now {new}, as there is one of that name") for new, old in renamed.items()]
+    if n_files > 1 and rows.agg(F.count_distinct("encoding", "delimiter")).first()[0] > 1:
+        warnings.append(Warned("mixed_files", None, f"the {n_files} files differ in encoding or delimiter"))
+    rows = rows.select(*RESERVED, "fields", "raw_line").join(F.broadcast(heads) if n_files <= BROADCAST_FILES else heads, "source_file")
+    preamble = rows.where(F.col("line_number") < F.col("header_line")).select(*RESERVED, "raw_line")
+    if above := preamble.count():
+        warnings.append(Warned("header", None, f"the header is on line {line}, below {above} lines of preamble" if n_files == 1 else f"{above} lines of preamble above the headers"))
 
     cells = F.transform("fields", lambda x: V.strip(x))
     tail_blank = ~F.exists(F.slice(F.col("v"), n + 1, F.greatest(F.size("v") - n, F.lit(0))), lambda x: x != "")
     status = F.when(~F.exists("v", lambda x: x != ""), "empty").when(F.size("v") == n, "kept").when((F.size("v") > n) & tail_blank, "trimmed").otherwise("rejected")
-    body = rows.where(F.col("line_number") > line).withColumn("v", cells).withColumn("status", status)
+    body = rows.where(F.col("line_number") > F.col("header_line")).withColumn("v", cells).withColumn("status", status)
     kept = body.where(F.col("status").isin("kept", "trimmed"))
-    flat = kept.select("line_number", *[F.col("v")[i].alias(f"c{i}") for i in range(n)])
+    flat = kept.select(*RESERVED, *[F.col("v")[i].alias(f"c{i}") for i in range(n)])
 
-    facts = flat.select("line_number", *[x.alias(f"{k}_{i}") for i in range(n) for k, x in _facts(F.col(f"c{i}")).items()])
+    facts = flat.select(*RESERVED, *[x.alias(f"{k}_{i}") for i in range(n) for k, x in _facts(F.col(f"c{i}")).items()])
     found = facts.agg(*map(_evidence, range(n))).first()
     counted = {r.status: r.n for r in body.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {"kept": counted.get("kept", 0) + counted.get("trimmed", 0), "empty": counted.get("empty", 0), "rejected": counted.get("rejected", 0)}
@@ -303,9 +325,9 @@ def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, d
         places.append(i)
         warnings += said
 
-    frame = flat.select("line_number", *[typed(F.col(f"c{i}"), c).alias(c.name) for i, c in zip(places, columns, strict=True)])
+    frame = flat.select(*RESERVED, *[typed(F.col(f"c{i}"), c).alias(c.name) for i, c in zip(places, columns, strict=True)])
     rejects = body.where(F.col("status") == "rejected").select(
-        "line_number", F.size("v").alias("n_fields"), F.lit(n).alias("n_expected"), "raw_line", F.when(F.size("v") < n, "too few fields").otherwise("too many fields").alias("reason")
+        *RESERVED, F.size("v").alias("n_fields"), F.lit(n).alias("n_expected"), "raw_line", F.when(F.size("v") < n, "too few fields").otherwise("too many fields").alias("reason")
     )
     return ParseResult(frame, rejects, _stats(flat, columns, places), tuple(columns), counts, seen.encoding, seen.delimiter, line, preamble, renamed, tuple(warnings))
 
@@ -320,12 +342,12 @@ def _stats(flat: DataFrame, columns: list[Column_], places: list[int]) -> DataFr
         each.append(F.struct(F.lit(c.name).alias("column"), v.alias("raw"), state.alias("state"), F.lit(c.kind != "text").alias("typed")))
     if not each:
         return flat.sparkSession.createDataFrame([], "column string, n_parsed long, n_failed long, n_missing long, null_tokens map<string,long>, sample_failures array<string>")
-    cells = flat.select("line_number", F.explode(F.array(*each)).alias("x")).select("line_number", "x.*")
+    cells = flat.select(*RESERVED, F.explode(F.array(*each)).alias("x")).select(*RESERVED, "x.*")
     n = lambda s: F.count_if(F.col("state") == s).alias(f"n_{s}")
     base = cells.groupBy("column").agg(n("parsed"), n("failed"), n("missing"))
     tokens = cells.where(F.col("typed") & (F.col("state") == "missing") & (F.col("raw") != "")).groupBy("column", "raw").agg(F.count(F.lit(1)).alias("n"))
     tokens = tokens.groupBy("column").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("raw", "n")))).alias("null_tokens"))
-    place = F.row_number().over(Window.partitionBy("column").orderBy("line_number"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(*RESERVED))
     first = cells.where(F.col("state") == "failed").withColumn("place", place).where(F.col("place") <= SAMPLES)
     samples = first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw"))), lambda x: x["raw"]).alias("sample_failures"))
     return base.join(tokens, "column", "left").join(samples, "column", "left")
