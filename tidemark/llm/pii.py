@@ -9,6 +9,7 @@ trusted contexts make a span; a key in no such context is none.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -95,41 +96,68 @@ class Sights:
         self.words = w = Words(texts, lower=True)
         self.base = [base_spans(t) for t in texts.to_pylist()]
         tokens, data = w.hashes(), w.data
-        bare = np.flatnonzero(~_EDGES[data])
-        at = np.searchsorted(bare, w.begin)
-        begin = np.minimum(np.r_[bare, len(data)][at], w.end)
-        back = np.searchsorted(bare, w.end) - 1
-        end = np.where(begin < w.end, np.r_[bare, 0][back] + 1, w.end)
+        begin, end = w.begin.copy(), w.end.copy()
+        edged = np.flatnonzero(_EDGES[data[begin]] | _EDGES[data[end - 1]])
+        bare = np.flatnonzero(~_EDGES[data]) if len(edged) else edged
+        begin[edged] = np.minimum(np.r_[bare, len(data)][np.searchsorted(bare, w.begin[edged])], w.end[edged])
+        end[edged] = np.maximum(np.r_[-1, bare][np.searchsorted(bare, w.end[edged])] + 1, begin[edged])
 
-        self.chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters before each byte
         spans = [(i, a, b) for i, found in enumerate(self.base) for a, _, b in found]
         of = np.array([i for i, _, _ in spans], np.int64)
-        byte = lambda k: np.searchsorted(self.chars, self.chars[w.edges[of]] + np.array([x[k] for x in spans], np.int64), "right") - 1 if len(spans) else of
-        a, b = byte(1), byte(2)
+        a, b = (self._bytes(of, np.array([x[k] for x in spans], np.int64)) for k in (1, 2))
         first, last = np.searchsorted(w.begin, a, "right") - 1, np.searchsorted(w.begin, b - 1, "right") - 1
         touched = np.zeros(len(w.begin) + 1, np.int64)
         np.add.at(touched, first, 1)
         np.add.at(touched, last + 1, -1)
-        free = np.flatnonzero((np.cumsum(touched)[:-1] == 0) & (begin < w.end))
+        free = np.flatnonzero((np.cumsum(touched)[:-1] == 0) & (begin < end))
 
         self.begin, self.end = np.r_[a, begin[free]], np.r_[b, end[free]]
         first, last = np.r_[first, free], np.r_[last, free]
-        self.text = np.searchsorted(w.of_text, first, "right") - 1
-        self.is_base = np.arange(len(first)) < len(a)
-        self.seed = self.is_base.copy()
-        for i in np.flatnonzero(self.end - self.begin >= 32):
-            self.seed[i] |= bool(_KEY.fullmatch(data[self.begin[i] : self.end[i]].tobytes()))
-        self.value = w.hashes(self.begin, self.end)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(w.of_text))[first]
+        self.n_base = len(spans)
         start, stop = w.of_text[self.text], w.of_text[self.text + 1]
-        word = lambda k, ok: np.where(ok, np.r_[tokens, np.uint64(0)][np.where(ok, k, -1)], np.uint64(0))
         self.has_before, self.has_after = first > start, last + 1 < stop
-        near, far = word(first - 1, self.has_before), word(first - 2, first - 1 > start)
-        self.before = mixed(mixed(mixed(far) + near) + w.hashes(w.begin[first], self.begin)) | np.uint64(1)
-        self.after = mixed(mixed(word(last + 1, self.has_after)) + w.hashes(self.end, w.end[last])) & ~np.uint64(1)
+        none = np.uint64(0)
+        behind = mixed(np.r_[tokens, none])
+        near = np.where(self.has_before, tokens[first - 1], none)
+        far = np.where(first - 1 > start, behind[first - 2], none)
+        self.before = mixed(mixed(far + near) + self._attached(w.begin[first], self.begin)) | np.uint64(1)
+        self.after = mixed(np.where(self.has_after, behind[last + 1], none) + self._attached(self.end, w.end[last])) & ~np.uint64(1)
+
+    def _bytes(self, text: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Places among the bytes of places among the characters of texts."""
+        if not len(text):
+            return char
+        return np.searchsorted(self.chars, self.chars[self.words.edges[text]] + char, "right") - 1
+
+    @functools.cached_property
+    def chars(self) -> np.ndarray:
+        """Characters before each byte."""
+        return np.r_[0, np.cumsum((self.words.data & 0xC0) != 0x80)]
+
+    def _attached(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of what stands between, mostly nothing."""
+        out = np.zeros(len(begin), np.uint64)
+        some = np.flatnonzero(end > begin)
+        out[some] = self.words.hashes(begin[some], end[some])
+        return out
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of values, and the context of each."""
-        a, b = np.flatnonzero(self.has_before), np.flatnonzero(self.has_after)
+    def values(self, which: np.ndarray) -> np.ndarray:
+        return self.words.hashes(self.begin[which], self.end[which]).view(np.int64)
+
+    def seeds(self) -> np.ndarray:
+        """Numbers of the values that are seeds: base spans and keys."""
+        long = np.flatnonzero(self.end - self.begin >= 32)
+        data = self.words.data
+        keys = [i for i in long.tolist() if i >= self.n_base and _KEY.fullmatch(data[self.begin[i] : self.end[i]].tobytes())]
+        return np.r_[np.arange(self.n_base), np.array(keys, np.int64)]
+
+    def rows(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of values (of some, or of all), and the context of each."""
+        if which is None:
+            a, b = np.flatnonzero(self.has_before), np.flatnonzero(self.has_after)
+        else:
+            a, b = which[self.has_before[which]], which[self.has_after[which]]
         return np.r_[a, b], np.r_[self.before[a], self.after[b]].view(np.int64)
 
 
@@ -138,11 +166,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sight = pa.list_(pa.struct([("value", pa.int64()), ("context", pa.int64())]))
     for batch in sliced_by_bytes(batches, 1):
         s = Sights(batch.column(1))
-        which, context = s.rows()
+        which, context = s.rows(s.seeds())
         seeds: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        for i, c in zip(which, context, strict=True) if s.seed.any() else ():
-            if s.seed[i]:
-                seeds[s.text[i]].append({"value": int(s.value[i].view(np.int64)), "context": int(c)})
+        for i, v, c in zip(s.text[which].tolist(), s.values(which).tolist(), context.tolist(), strict=True):
+            seeds[i].append({"value": v, "context": c})
         spans = [[{"start": a, "kind": k, "end": b} for a, k, b in found] for found in s.base]
         digests = [_digest(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0), pa.array(spans, span), pa.array(seeds, sight)], ["row", "doc_id", "base", "seeds"])
@@ -164,16 +191,15 @@ def _look_up(column: str, keys: np.ndarray | None, places: bool):
             s = Sights(batch.column(0))
             which, context = s.rows()
             if keys is not None:
-                asked = context if column == "context" else s.value[which].view(np.int64)
+                asked = context if column == "context" else s.values(which)
                 found = np.flatnonzero(np.r_[keys, np.iinfo(np.int64).max][np.searchsorted(keys, asked)] == asked) if len(keys) else np.zeros(0, np.int64)
                 which, context = which[found], context[found]
-            out = [pa.array(context), pa.array(s.value[which].view(np.int64))]
-            names = ["context", "value"]
+            out, names = [pa.array(context), pa.array(s.values(which))], ["context", "value"]
             if places:
                 texts = s.text[which]
                 digests = {i: _digest(batch.column(0)[i].as_py()) for i in np.unique(texts).tolist()}
                 char = lambda x: pa.array(s.chars[x[which]] - s.chars[s.words.edges[texts]], pa.int64())
-                out += [pa.array([digests[i] for i in texts.tolist()], pa.binary()), char(s.begin), char(s.end), pa.array(s.is_base[which])]
+                out += [pa.array([digests[i] for i in texts.tolist()], pa.binary()), char(s.begin), char(s.end), pa.array(which < s.n_base)]
                 names += ["row", "start", "end", "base"]
             yield pa.RecordBatch.from_arrays(out, names)
 
@@ -192,40 +218,33 @@ def look_up(documents: DataFrame, keys: DataFrame, places: bool = False) -> Data
     return rows if few else rows.join(keys, column, "left_semi")
 
 
-def trusted_contexts(documents: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """context: those trusted after so many rounds, from the seeds' sightings (context, value; a stored table).
+def revealed(documents: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """row, start, end: what stands in contexts that are trusted after so many rounds and is no base span, from the
+    seeds' sightings (context, value; a stored table).
 
     In each round the contexts of MIN_SUPPORT different believed values are candidates; their different values are
     counted over all documents, by estimate first and exactly where that leaves a doubt; those with a share of believed
     values of MIN_TRUST are trusted, and what stands in them is believed. It ends early if nothing new is.
     """
-    seen = stored(seeds.distinct())  # believed values in all their contexts
-    believed, last = stored(seen.select("value").distinct()), None
+    seen, out = seeds, None  # believed values in all their contexts
+    believed = stored(seen.select("value").distinct())
     for k in range(rounds):
-        support = seen.groupBy("context").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= MIN_SUPPORT)
-        support = stored(support)
-        most = F.col("support") / MIN_TRUST
+        support = stored(seen.groupBy("context").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= MIN_SUPPORT))
         about = look_up(documents, support.select("context")).groupBy("context").agg(F.approx_count_distinct("value").alias("n"))
-        open_ = stored(support.join(about, "context").where(F.col("n") <= most * SURELY + 1).select("context", "support"))
-        edges = stored(look_up(documents, open_.select("context")).distinct())
-        counted = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).join(open_, "context")
-        trusted = stored(counted.where(F.col("support") >= MIN_TRUST * (F.col("n") + 0.25)).select("context"))
-        values = edges.join(trusted, "context", "left_semi").select("value").distinct()
-        new = stored(values.join(believed, "value", "left_anti"))
-        for df in (support, open_, edges, *([last] if last else [])):
+        open_ = stored(support.join(about, "context").where(F.col("n") <= F.col("support") / MIN_TRUST * SURELY + 1).select("context", "support"))
+        held = stored(look_up(documents, open_.select("context"), places=True).distinct())
+        counted = held.groupBy("context").agg(F.count_distinct("value").alias("n")).join(open_, "context")
+        trusted = counted.where(F.col("support") >= MIN_TRUST * (F.col("n") + 0.25)).select("context")
+        inside = stored(held.join(trusted, "context", "left_semi"))
+        new = stored(inside.select("value").distinct().join(believed, "value", "left_anti"))
+        for df in (support, open_, held, *([out] if out else [])):
             forget(df)
-        last = trusted
+        out = inside
         if k + 1 == rounds or new.limit(1).count() == 0:
-            forget(new)
             break
-        more = stored(seen.union(look_up(documents, new)).distinct())
-        grown = stored(believed.union(new))
-        for df in (seen, believed, new):
-            forget(df)
-        seen, believed = more, grown
-    forget(seen)
-    forget(believed)
-    return last
+        seen = stored(seen.union(look_up(documents, new)).distinct())
+        believed = stored(believed.union(new))
+    return out.where("not base").select("row", "start", "end").distinct()
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
@@ -239,11 +258,9 @@ def personal_data(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     scanned = scan(documents)
     seeds = stored(scanned.select(F.explode("seeds").alias("s")).select("s.context", "s.value").distinct())
-    trusted = trusted_contexts(documents, seeds)
-    more = look_up(documents, trusted, places=True).where("not base").select("row", "start", "end").distinct()
+    more = revealed(documents, seeds)
     more = stored(more.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(FOUND).alias("kind"), "end")).alias("more")))
     both = join_skewed(scanned.select("row", "doc_id", "base"), more, "row", "left")
-    forget(seeds)
     return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")))).alias("spans"))
 
 
