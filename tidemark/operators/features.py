@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .temporal import check_no_time_travel
 
 GROUPS = ("counts", "deltas", "monetary", "recency", "frequency", "trend", "gaps", "flags")
@@ -64,7 +65,7 @@ def build_features(
     """Features at as_of: one instant for every customer of the log, or a DataFrame (customer, as_of).
 
     Customers without events keep a row of zeros and nulls. Undated events count as future ones. Event types are those
-    of the whole log, or `types`. With check the build runs one job that raises if a source is later than its as_of.
+    of the whole log, or `types`. With check the build is stored, and raises if a source is later than its as_of.
     """
     unknown = [g for g in groups if g not in GROUPS]
     if unknown:
@@ -127,7 +128,10 @@ def build_features(
         "n_events_excluded_as_future": F.count_if(F.coalesce(F.col("hit"), F.lit(False)) & d.isNull()),
     }
     table = both.groupBy("customer", "as_of").agg(*[c.alias(n) for n, c in (agg | extra).items()])
-    if check:
+    if check:  # the aggregate is stored, so that check, features and accounting read it and compute it once
+        path = scratch(events.sparkSession, "features")
+        table.write.parquet(path)
+        table = events.sparkSession.read.schema(table.schema).parquet(path)
         check_no_time_travel(table, ["source_ts"], "as_of")
     accounting = table.agg(F.sum("n_events_used").alias("n_events_used"), F.sum("n_events_excluded_as_future").alias("n_events_excluded_as_future"))
     return Features(table.drop("n_events_used", "n_events_excluded_as_future"), accounting, tuple(agg))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import evidence, scoring, temporal
+from ..operators import evidence, scoring, temporal, training
 from ..operators.features import build_features
 
 AS_OF = "2024-01-24"
@@ -163,10 +163,30 @@ def feat_multi_asof(spark, sf_dir):
     return _features(spark, sf_dir, ("counts", "recency"), as_of=_dates(spark, sf_dir))
 
 
-@query()
+def _joined(*names: str) -> str:
+    """The SQL of several feature queries, joined by customer and instant."""
+    parts = [f"({SQL[n].strip()})" for n in names]
+    return f"SELECT * FROM {parts[0]}" + "".join(f" JOIN {p} USING (customer, as_of)" for p in parts[1:])
+
+
+@query(_joined("feat_type_counts", "feat_deltas", "feat_monetary", "feat_recency", "feat_frequency", "feat_slope", "feat_gaps", "feat_flag"))
 def feat_all(spark, sf_dir):
-    """Every feature group at once, as one aggregation."""
-    return _features(spark, sf_dir, ("counts", "deltas", "monetary", "recency", "frequency", "trend", "gaps", "flags"), types=True)
+    """Every feature group at once, as one aggregation; means are rounded as in feat_monetary."""
+    raw = build_features(
+        table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=AS_OF, windows=SHORT, type_column="event_type", value_column="value", types=list(_TYPES), check=False
+    ).features.drop("source_ts")
+    n = {w: F.greatest(F.lit(1.0), F.col(f"events_{w}d")) for w in SHORT}
+    means = {f"value_mean_{w}d": F.round(F.col(f"value_mean_{w}d") * n[w], 6) / n[w] for w in SHORT}
+    other = {c: F.round(c, 6) + F.lit(0.0) for c, t in raw.dtypes if t == "double" and c not in means}
+    return raw.withColumns(means | other | {"as_of": F.date_format("as_of", "yyyy-MM-dd")})
+
+
+@query(_select("strftime(max(ts) FILTER (d IS NOT NULL), '%Y-%m-%d %H:%M:%S') AS source_ts, " + _each("CAST(count(*) FILTER (d <= $w) AS DOUBLE) AS events_$wd")))
+def feat_provenance(spark, sf_dir):
+    """The latest event behind each row, with event types taken from the log and the check on sources run."""
+    out = build_features(table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=AS_OF, windows=SHORT, groups=("counts",), type_column="event_type").features
+    typed = [c for c in out.columns if c.count("_") > 1 and c.startswith("events_")]
+    return out.drop(*typed).withColumns({"as_of": F.date_format("as_of", "yyyy-MM-dd"), "source_ts": F.date_format("source_ts", "yyyy-MM-dd HH:mm:ss")})
 
 
 # -- temporal validation -----------------------------------------------------------------------------------------------
@@ -290,7 +310,7 @@ def _proposal_sql() -> str:
     each = " UNION ALL ".join(
         f"SELECT {i} AS place, '{c}' AS col, '{k}' AS kind, count(*) AS n, count(DISTINCT {c}) AS d, avg(length(CAST({c} AS VARCHAR))) AS len, least(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0)) < 50 AS small, "
         f"abs(corr(CAST({c} IS NULL AS INT), quality)) AS r, count(DISTINCT {c}) FILTER (quality = 0) = 1 AND count(DISTINCT {c}) FILTER (quality = 1) = 1 AND max({c}) FILTER (quality = 0) <> max({c}) FILTER (quality = 1) AS const, "
-        + (f"(SELECT greatest(a, 1 - a) FROM (SELECT sum((y.n + y.t / 2.0) * y.p) / (sum(y.p) * sum(y.t)) AS a FROM (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS t, coalesce(sum(count(*) FILTER (quality = 0)) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c}) y))" if k == "numeric" else "NULL::DOUBLE")
+        + (f"(SELECT greatest(a, 1 - a) FROM (SELECT sum((y.n + y.t / 2.0) * y.p) / nullif(sum(y.p) * sum(y.t), 0) AS a FROM (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS t, coalesce(sum(count(*) FILTER (quality = 0)) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c}) y))" if k == "numeric" else "NULL::DOUBLE")
         + " AS auc FROM d"
         for i, (c, k) in enumerate(_COLUMNS.items())
     )
@@ -313,7 +333,7 @@ def schema_proposal(spark, sf_dir):
     from ..operators import leakage
 
     df = _labelled_documents(spark, sf_dir).select(*_COLUMNS)
-    roled = leakage.with_roles(leakage.describe(df))
+    roled = leakage.roles_of(df)
     roles = roled.select(F.lit("role").alias("what"), "column", F.col("role").alias("value"), "confidence")
     found = leakage.findings(df, roled, roled.where("column = 'quality'").first())
     return roles.union(found.select(F.lit("finding"), "column", F.concat_ws(":", "rule", "severity"), F.lit(None).cast("double")))
@@ -496,6 +516,60 @@ def logistic_scores(spark, sf_dir):
     return scoring.scored_by(model, rows).select("doc_id", F.round("churn_probability", 6).alias("churn_probability"))
 
 
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE round(c_acctbal, 2) END AS balance, c_mktsegment AS segment, (c_custkey % 4 = 0)::INT AS y FROM customer"""
+)
+def clean_rows(spark, sf_dir):
+    """customer as raw text: blanks for numbers, padded categories and targets; cleaned and split into features and y."""
+    k = F.col("c_custkey")
+    raw = table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), F.concat(F.lit(" "), k.cast("string")).alias("c_custkey"), F.when(k % 7 == 0, " ").otherwise(F.format_string("%.2f", "c_acctbal")).alias("balance"),
+        F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")).alias("segment"), F.when(k % 4 == 0, " Yes").when(k % 4 == 1, "yes").when(k % 4 == 2, "No ").alias("left"),
+    )
+    rows = training.clean(raw, id_column="id", numeric=["c_custkey", "balance"], categorical=["segment"])
+    return training.split_xy(rows, ["c_custkey", "balance", "segment"], "left").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def load_raw(spark, sf_dir):
+    from ..session import scratch
+
+    path = scratch(spark, "raw")
+    table(spark, sf_dir, "customer").write.option("header", True).csv(path)
+    out = training.load_raw(spark, path)
+    return out.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+
+
+_MODEL = training.Model(
+    {"c_acctbal": (4500.0, 4000.0, 3000.0), "c_nationkey": (12.0, 12.0, 7.0)}, {"c_mktsegment": ("BUILDING", _SEGMENTS)}, {"c_acctbal": 0.9, "c_nationkey": -0.4, "c_mktsegment_BUILDING": 0.7, "c_mktsegment_HOUSEHOLD": -0.6}, -0.2, threshold=0.4, version="7"
+)
+
+
+@query(
+    f"""WITH r AS (SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment, concat_ws('; ', CASE WHEN c_acctbal > 9000 THEN 'c_acctbal: above 9000' END, CASE WHEN c_mktsegment NOT IN {_SEGMENTS} THEN 'c_mktsegment: unknown value' END) AS faults,
+  [{{'f': 'c_acctbal', 'i': 0, 'v': (c_acctbal - 4000.0::DOUBLE) / 3000.0::DOUBLE * 0.9::DOUBLE}}, {{'f': 'c_nationkey', 'i': 1, 'v': (c_nationkey - 12.0::DOUBLE) / 7.0::DOUBLE * -0.4::DOUBLE}}, {{'f': 'Segment: BUILDING', 'i': 3, 'v': (c_mktsegment = 'BUILDING')::INT * 0.7::DOUBLE}}, {{'f': 'Segment: HOUSEHOLD', 'i': 5, 'v': (c_mktsegment = 'HOUSEHOLD')::INT * -0.6::DOUBLE}}] AS c FROM customer),
+s AS (SELECT *, CASE WHEN faults = '' THEN 1 / (1 + exp(-(-0.2::DOUBLE + c[1].v + c[2].v + c[3].v + c[4].v))) END AS p, list_sort(list_transform(c, lambda x: {{'a': -abs(x.v), 'i': x.i, 'f': x.f, 'v': x.v}}))[1] AS top FROM r)
+SELECT c_custkey, faults, round(p, 4) AS churn_probability, CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' WHEN p IS NOT NULL THEN 'Low' END AS risk_band, p >= 0.4 AS will_churn, 0.4::DOUBLE AS threshold, 'model' AS threshold_source,
+CASE WHEN p IS NOT NULL THEN top.f || '=' || CASE WHEN top.v > 0 THEN 'increases' ELSE 'decreases' END END AS top_reason, CASE WHEN p < 0.4 OR p IS NULL THEN NULL WHEN c_acctbal > 8000 THEN 'tier' ELSE 'call' END AS retention_recommendation, '7' AS model_version FROM s"""
+)
+def predict_requests(spark, sf_dir):
+    """Requests against their contract, scored with cutoff, band, main reason and recommendation."""
+    from ..operators.requests import Field
+
+    fields = [Field("c_acctbal", high=9000), Field("c_mktsegment", "string", values=_SEGMENTS)]
+    out = training.predict(table(spark, sf_dir, "customer"), _MODEL, fields, rules=[(F.col("c_acctbal") > 8000, "tier")], default="call", labels={"c_mktsegment": "Segment"}, k=1)
+    top = F.concat_ws("=", F.col("top_reasons")[0]["feature"], F.col("top_reasons")[0]["direction"])
+    return out.select("c_custkey", "faults", "churn_probability", "risk_band", "will_churn", "threshold", "threshold_source", F.when(F.col("top_reasons").isNotNull(), top).alias("top_reason"), "retention_recommendation", "model_version")
+
+
+@query()
+def train_run(spark, sf_dir):
+    """Figures of a whole run on labelled documents: split, out-of-fold cutoff, fit, held-out metrics."""
+    docs = _labelled_documents(spark, sf_dir).select("doc_id", (1 - F.col("quality")).alias("y"), F.log1p("n_chars").alias("size"), "toxic", "lang")
+    _, figures = training.train_run(docs, "doc_id", ["size", "toxic"], {"lang": ("de", "en", "es", "fr")})
+    return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in figures.items()], "figure string, value double")
+
+
 # -- sources, sinks, requests ------------------------------------------------------------------------------------------
 
 _DELIMITED = "SELECT p_partkey::DOUBLE AS p_partkey, p_name AS name, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE round(p_retailprice, 2) END AS price, strftime(DATE '2023-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y-%m-%d') AS made_on FROM part WHERE p_partkey % 50 <> 7"
