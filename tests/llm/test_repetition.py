@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,9 +45,20 @@ def brute(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab #é\n\t ")), max_size=200))
-def test_judge(text):
-    assert rp.judge(text, rp.Words()) == brute(text)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from(list("ab #é\n\t ")), max_size=200), max_size=4))
+def test_judge(texts):
+    got = rp.judge_all(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        base, shares, failed, kept = brute(text)
+        assert [got[c][i] for c in rp.BASE] == base and [got[m][i] for m in rp.MEASURES] == shares and (got["base_failed"][i], got["kept"][i]) == (failed, kept)
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    """Were all words one hash, words in repeated windows would still be counted by the words themselves."""
+    true = rp.Words.hashes
+    monkeypatch.setattr(rp.Words, "hashes", lambda self, *a, seed=0: true(self, *a, seed=seed) if seed else np.zeros(len(self.begin), np.uint64))
+    texts = ["a b c d e f g h", "a b c x a b c y", "", "one two three four one two three"]
+    assert rp.judge_all(pa.array(texts))["n_repeat_words"].tolist() == [brute(t)[0][4] for t in texts] == [0, 6, 0, 6]
 
 
 def test_whole_table(spark, sf):

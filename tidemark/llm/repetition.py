@@ -1,8 +1,10 @@
 """Quality rules on repetition: the share of a text's characters inside repeated lines and word n-grams.
 
-Windows of several lengths are compared by rolling hashes over word hashes, in numpy, a document at a time. What counts
-for lines and for n-grams of five to ten words is their second and later occurrences; for two to four words it is all
-occurrences of the n-gram that covers most. Thresholds are those commonly used for web text.
+Windows of several lengths are compared by rolling hashes over word hashes, in numpy, all texts of a batch at a time: the
+hash of a window comes from that of the one a word shorter, and only windows whose shorter one is repeated can be
+repeated themselves. What counts for lines and for n-grams of five to ten words is their second and later occurrences;
+for two to four words it is all occurrences of the n-gram that covers most. Thresholds are those commonly used for web
+text.
 """
 
 from __future__ import annotations
@@ -12,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from .common import Memo, sliced, table
-from .shingles import rolled
+from .common import sliced_by_bytes, table
+from .shingles import ODD, Words, mixed
 
 # Largest shares that are kept, from published web-text filtering rules.
 MAX_DUP_LINE_CHARS = 0.20
@@ -27,20 +28,13 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _BLANKS = " \t\n\x0b\x0c\r"
 
 MEASURES = ["dup_line_chars", *(f"top_{k}" for k in MAX_TOP), *(f"dup_{k}" for k in MAX_DUP)]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-class Words(Memo):
-    """64-bit hash of a word."""
-
-    def solve(self, word: str) -> int:
-        return xxhash.xxh64_intdigest(word.encode())
-
-
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n words lie in one of the windows that begin at starts."""
     edge = np.zeros(n + 1, np.int64)
@@ -62,64 +56,80 @@ def repeat_words(words: list[str]) -> int:
     return int(covered(np.flatnonzero(count[at] > 1), 3, n).sum())
 
 
-def measures(words: list[str], lines: list[str], seen: Words) -> list[float]:
-    """Shares of the words' characters, in the order of MEASURES."""
-    n = len(words)
-    if not n:
-        return [0.0] * len(MEASURES)
-    size = np.fromiter(map(len, words), np.int64, n)
-    total = int(size.sum())
-    hashes = np.fromiter(map(seen.__getitem__, words), np.uint64, n)
+def repeated_lines(text: str | None) -> tuple[int, int]:
+    """Lines with a word that are equal to an earlier one, and the characters of their words."""
+    if not text or "\n" not in text:
+        return 0, 0
     known: set[str] = set()
-    again = 0
-    for line in lines:
+    n = chars = 0
+    for line in text.split("\n"):
         if line in known:
-            again += len(line) - sum(map(line.count, _BLANKS))
-        known.add(line)
-    out = [again / total]
-    ends = np.r_[0, np.cumsum(size)]
-    for k in MAX_TOP:
-        w = rolled(hashes, k)
-        best = 0
-        if len(w) > 1:
-            _, first, count = np.unique(w, return_index=True, return_counts=True)
-            chars = np.where(count > 1, count * (ends[first + k] - ends[first]), 0)
-            best = int(chars.max())
-        out.append(min(1.0, best / total))
-    for k in MAX_DUP:
-        w = rolled(hashes, k)
-        later = 0
-        if len(w) > 1:
-            _, first = np.unique(w, return_index=True)
-            if len(first) < len(w):
-                is_later = np.ones(len(w), bool)
-                is_later[first] = False
-                later = int(size[covered(np.flatnonzero(is_later), k, n)].sum())
-        out.append(later / total)
-    return out
-
-
-def judge(text: str | None, seen: Words) -> tuple[list[int], list[float], bool, bool]:
-    """Base figures, measures, base_failed and kept."""
-    text = text or ""
-    words = _WORD.findall(text)
-    lines = [x for x in text.split("\n") if x.strip(_BLANKS)]
-    repeats = repeat_words(words)
-    base = [len(words), len(text) - sum(map(text.count, _BLANKS)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeats]
-    shares = measures(words, lines, seen)
-    failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
+            n += 1
+            chars += len(line) - sum(map(line.count, _BLANKS))
+        elif line.strip(_BLANKS):
+            known.add(line)
+    return n, chars
+
+
+def judge_all(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Base figures, measures, base_failed and kept of each text."""
+    w, n_texts = Words(texts, lower=False), len(texts)
+    at, plain = w.of_text, texts.to_pylist()
+    n = np.diff(at)
+    text = np.repeat(np.arange(n_texts), n)
+    chars = np.r_[0, np.cumsum((w.data & 0xC0) != 0x80)]
+    size = chars[w.end] - chars[w.begin]
+    of_text = lambda x: np.bincount(text, x, minlength=n_texts).astype(np.int64)
+    total, ends, symbols = of_text(size), np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(_SYMBOLS[w.data])]
+    lines = np.array([repeated_lines(t) for t in plain], np.int64).reshape(n_texts, 2)
+    share = lambda x: np.where(total > 0, x / np.maximum(total, 1), 0.0)
+    out = {"n_words": n, "word_chars": total, "n_symbols": symbols[w.edges[1:]] - symbols[w.edges[:-1]], "n_dup_lines": lines[:, 0], "n_repeat_words": np.zeros(n_texts, np.int64)}
+    out |= dict.fromkeys(MEASURES, np.zeros(n_texts)) | {"dup_line_chars": share(lines[:, 1])}
+
+    hashes, stop = w.hashes(), at[1:][text]
+    start, rolling = np.arange(len(hashes)), hashes
+    salt = mixed(np.arange(1, n_texts + 1, dtype=np.uint64) * ODD)
+    for k in range(2, max(MAX_DUP) + 1):
+        fit = start + k <= stop[start]
+        start, rolling = start[fit], rolling[fit]
+        if not len(start):
+            break
+        rolling = rolling * ODD + hashes[start + k - 1]
+        key = mixed(rolling) ^ salt[text[start]]
+        order = np.argsort(key, kind="stable")
+        first = np.r_[True, key[order[1:]] != key[order[:-1]]]
+        group = np.cumsum(first) - 1
+        count = np.bincount(group)
+        twice = count[group] > 1
+        if k in MAX_TOP:
+            begin, times = start[order[first]], count
+            begin, times = begin[times > 1], times[times > 1]
+            best = np.zeros(n_texts, np.int64)
+            np.maximum.at(best, text[begin], times * (ends[begin + k] - ends[begin]))
+            out[f"top_{k}"] = np.minimum(1.0, share(best))
+        else:
+            out[f"dup_{k}"] = share(of_text(size * covered(start[order[~first]], k, len(hashes))))
+        if k == 3:
+            inside = start[order[twice]]
+            out["n_repeat_words"] = of_text(covered(inside, 3, len(hashes)))
+            words = inside[:, None] + np.arange(3)
+            other = w.hashes(w.begin[words].reshape(-1), w.end[words].reshape(-1), seed=1).reshape(-1, 3)
+            unlike = (group[twice][1:] == group[twice][:-1]) & (other[1:] != other[:-1]).any(axis=1)
+            for i in np.unique(text[inside[1:][unlike]]):  # two windows of one hash: this text word by word
+                out["n_repeat_words"][i] = repeat_words(_WORD.findall(plain[i]))
+        again = np.sort(order[twice])
+        start, rolling = start[again], rolling[again]
+
+    out["base_failed"] = (n < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
     limits = [MAX_DUP_LINE_CHARS, *MAX_TOP.values(), *MAX_DUP.values()]
-    return base, shares, failed, not failed and all(s <= m for s, m in zip(shares, limits, strict=True))
+    return out | {"kept": ~out["base_failed"] & np.all([out[m] <= limit for m, limit in zip(MEASURES, limits, strict=True)], axis=0)}
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = Words()
-    for batch in sliced(batches):
-        rows = [judge(t, seen) for t in batch.column(1).to_pylist()]
-        columns = [batch.column(0), *(pa.array([r[0][i] for r in rows], pa.int64()) for i in range(len(BASE)))]
-        columns += [pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_())]
-        columns += [pa.array([r[1][i] for r in rows], pa.float64()) for i in range(len(MEASURES))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE, "base_failed", "kept", *MEASURES])
+    for batch in sliced_by_bytes(batches, 1):
+        found = judge_all(batch.column(1))
+        names = [*BASE, "base_failed", "kept", *MEASURES]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c]) for c in names)], ["doc_id", *names])
 
 
 def repetition(documents: DataFrame) -> DataFrame:

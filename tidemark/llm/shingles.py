@@ -12,7 +12,7 @@ import xxhash
 WIDTH = 5
 #: Longer words, in bytes, are hashed one by one.
 LONG_WORD = 512
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.arange(256, dtype=np.uint8)
 _SPACE = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -35,7 +35,7 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(max(n, 0), np.uint64)
     for k in range(width):
         if n > 0:
-            out = out * _ODD + words[k : k + n]
+            out = out * ODD + words[k : k + n]
     return mixed(out)
 
 
@@ -58,13 +58,13 @@ class Words:
         self.of_text = np.searchsorted(self.begin, self.edges)
         self.eight = None
 
-    def hashes(self, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, begin: np.ndarray | None = None, end: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
         """64-bit hash of each word, or of other stretches of the bytes, eight bytes at a time."""
         begin, end = (self.begin, self.end) if begin is None else (begin, end)
         size = end - begin
         if self.eight is None:
             self.eight = np.ndarray(len(self.data) + 1, "<u8", np.r_[self.data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
-        out = size.astype(np.uint64) * _ODD
+        out = size.astype(np.uint64) * ODD + np.uint64(seed)
         on = np.flatnonzero((size > 0) & (size <= LONG_WORD))
         k = 0
         while len(on):
@@ -72,7 +72,7 @@ class Words:
             out[on] = mixed(out[on] ^ self.eight[begin[on] + 8 * k] & _MASK[np.minimum(left, 8)]) + np.uint64(k)
             on, k = on[left > 8], k + 1
         for i in np.flatnonzero(size > LONG_WORD):
-            out[i] = xxhash.xxh64_intdigest(self.data[begin[i] : end[i]].tobytes())
+            out[i] = xxhash.xxh64_intdigest(self.data[begin[i] : end[i]].tobytes(), seed=seed)
         return out
 
 
