@@ -51,7 +51,7 @@ def _features(spark, sf_dir: str, groups: tuple[str, ...], as_of=AS_OF, windows=
     out = build_features(
         table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=as_of, windows=windows, groups=groups,
         type_column="event_type" if types else None, value_column="value" if "monetary" in groups else None,
-        types=["click", "error", "purchase", "signup", "view"] if types else None, check=False,
+        check=False,
     )
     return rounded(out.features.drop("source_ts")).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
 
@@ -173,7 +173,7 @@ def _joined(*names: str) -> str:
 def feat_all(spark, sf_dir):
     """Every feature group at once, as one aggregation; means are rounded as in feat_monetary."""
     raw = build_features(
-        table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=AS_OF, windows=SHORT, type_column="event_type", value_column="value", types=list(_TYPES), check=False
+        table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=AS_OF, windows=SHORT, type_column="event_type", value_column="value", check=False
     ).features.drop("source_ts")
     n = {w: F.greatest(F.lit(1.0), F.col(f"events_{w}d")) for w in SHORT}
     means = {f"value_mean_{w}d": F.round(F.col(f"value_mean_{w}d") * n[w], 6) / n[w] for w in SHORT}
@@ -183,7 +183,7 @@ def feat_all(spark, sf_dir):
 
 @query(_select("strftime(max(ts) FILTER (d IS NOT NULL), '%Y-%m-%d %H:%M:%S') AS source_ts, " + _each("CAST(count(*) FILTER (d <= $w) AS DOUBLE) AS events_$wd")))
 def feat_provenance(spark, sf_dir):
-    """The latest event behind each row, with event types taken from the log and the check on sources run."""
+    """The latest event behind each row, with the check on sources run."""
     out = build_features(table(spark, sf_dir, "events"), customer="user_id", timestamp="ts", as_of=AS_OF, windows=SHORT, groups=("counts",), type_column="event_type").features
     typed = [c for c in out.columns if c.count("_") > 1 and c.startswith("events_")]
     return out.drop(*typed).withColumns({"as_of": F.date_format("as_of", "yyyy-MM-dd"), "source_ts": F.date_format("source_ts", "yyyy-MM-dd HH:mm:ss")})
@@ -283,17 +283,15 @@ def _profile_sql(name: str, columns: dict[str, str]) -> str:
     return " UNION ALL ".join(one.format(c=c, x=x, t=name) for c, x in columns.items())
 
 
-_TEXT = ("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_quantity")
+_TEXT = ("l_returnflag", "l_linestatus")
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
 
 
-@query(
-    _profile_sql("lineitem", {c: c if i < 2 else f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)" for i, c in enumerate(_TEXT)}).replace("round(avg(length(CAST(CAST(l_orderkey AS DOUBLE) AS VARCHAR))), 6)", "NULL::DOUBLE")
-    .replace("round(avg(length(CAST(CAST(l_linenumber AS DOUBLE) AS VARCHAR))), 6)", "NULL::DOUBLE").replace("round(avg(length(CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR))), 6)", "NULL::DOUBLE")
-)
+@query(_profile_sql("lineitem", {c: c for c in _TEXT}) + "".join(f" UNION ALL SELECT '{c}', count(*), count(*) - count({c}), count(DISTINCT {c}), NULL::DOUBLE FROM lineitem" for c in _NUMBERS))
 def column_profile(spark, sf_dir):
-    """Numbers have no length of interest: engines print doubles differently."""
-    out = evidence.profile(table(spark, sf_dir, "lineitem"), list(_TEXT)).select("column", "n_rows", "n_missing", "n_distinct", "mean_length")
-    return rounded(out.withColumn("mean_length", F.when(F.col("column").isin(*_TEXT[:2]), F.col("mean_length"))))
+    """All columns; numbers and dates have no length of interest, as engines print them differently."""
+    out = evidence.profile(table(spark, sf_dir, "lineitem")).select("column", "n_rows", "n_missing", "n_distinct", "mean_length")
+    return rounded(out.withColumn("mean_length", F.when(F.col("column").isin(*_TEXT), F.col("mean_length"))))
 
 
 @query("SELECT 'l_shipdate' AS \"column\", count(*) FILTER (l_shipdate > TIMESTAMP '2000-01-01') AS n_after, strftime(max(l_shipdate), '%Y-%m-%d') AS latest FROM lineitem")
@@ -490,15 +488,15 @@ def topk_reasons(spark, sf_dir):
     return rows.select("c_custkey", (F.col("k") + 1).alias("place"), "r.feature", "r.contribution", "r.direction")
 
 
-@query(_RISK + " SELECT c_custkey, round(p, 4) AS p FROM r ORDER BY r.p DESC, c_custkey LIMIT 100")
+@query(_RISK + " SELECT row_number() OVER (ORDER BY p DESC, c_custkey) AS place, c_custkey, round(p, 4) AS p FROM r")
 def scored_sort(spark, sf_dir):
-    return _risk(spark, sf_dir).orderBy(F.desc("p"), "c_custkey").limit(100).select("c_custkey", F.round("p", 4).alias("p"))
+    """Every customer with its place in the global sort."""
+    return scoring.placed(_risk(spark, sf_dir).select("c_custkey", "p"), "p", "c_custkey").select("place", "c_custkey", F.round("p", 4).alias("p"))
 
 
 @query(_RISK + ", s AS (SELECT *, row_number() OVER (ORDER BY p DESC, c_custkey) AS place FROM r) SELECT place, c_custkey, round(p, 4) AS p, CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' ELSE 'Low' END AS risk_band FROM s")
 def scored_sort_all(spark, sf_dir):
-    """Every customer with its place in the global sort (scored_sort has the first 100, by its SQL), exported with
-    write_scored() and read back."""
+    """Every customer with its band and its place in the global sort, exported with write_scored() and read back."""
     from ..session import scratch
     from ..sources.sinks import write_scored
 
