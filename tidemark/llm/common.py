@@ -19,7 +19,7 @@ HEAVY = 1000
 
 #: Rows, and bytes, of an Arrow batch that a task works on at a time.
 SLICE_ROWS = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Longer keys are solved each time they come: a text without spaces is one key, as long as the text.
 LONGEST_KEY = 64

@@ -36,6 +36,8 @@ MARGIN = 0.2
 
 #: Sets that are sketched together, and points made at a time once few hashes are left.
 SKETCHED, POINTS = 256, 1 << 15
+#: Pairs whose similarity is estimated together.
+ESTIMATED = 512
 #: Band rows of a hot shingle that one task may meet in the join of prefixes.
 SPLIT_ROWS = 1024
 
@@ -152,10 +154,12 @@ def buckets(sketched: DataFrame, percent: int = 85) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
     rows = lambda x: np.frombuffer(b"".join(x), np.uint16).reshape(len(x), REGISTERS)
-    return pd.Series(likely_jaccard(rows(a), rows(b), n_a.to_numpy(float), n_b.to_numpy(float)))
+    out = np.empty(len(a))
+    for i in range(0, len(a), ESTIMATED):
+        k = slice(i, i + ESTIMATED)
+        out[k] = likely_jaccard(rows(a[k]), rows(b[k]), n_a[k].to_numpy(float), n_b[k].to_numpy(float))
+    return pd.Series(out)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,8 +33,10 @@ SPAN_TOKENS = 1 << 17
 END = 0
 #: Words, and pieces of words, whose ids a Python worker keeps at most.
 REMEMBERED = 200_000
+#: Bytes of text that are encoded together.
+ENCODED_BYTES = 2 << 20
 #: Words whose ids are put together at a time, and pieces that the model gets in one list.
-GATHERED, LISTED = 1 << 20, 200
+GATHERED, LISTED = 1 << 18, 200
 
 _BLOCK = "struct<n: bigint, doc_ids: binary, lengths: binary, data: binary>"
 SCHEMA = f"part int, segment int, frequencies binary, blocks array<{_BLOCK}>"
@@ -253,7 +255,7 @@ def _write(path: str, segment_tokens: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = tokens(path), TaskContext.get().partitionId(), 0
         ids, lengths, symbols = pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, "<u2")
-        for batch in sliced_by_bytes(batches, 1):
+        for batch in sliced_by_bytes(batches, 1, ENCODED_BYTES):
             more, of_text = encoder.encode(batch.column(1))
             ids, lengths, symbols = pa.concat_arrays([ids, batch.column(0)]), np.r_[lengths, of_text], np.r_[symbols, more]
             for a, b in list(_cuts(lengths, segment_tokens)):
