@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -76,11 +77,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or what SparkContext.setCheckpointDir() was given. No
-    machine's own temporary folder takes its place: other machines would not see it."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that all executors see: spark.checkpoint.dir, or what SparkContext.setCheckpointDir() was given. Where
+    neither is set, a session whose driver is its only executor gets a temporary one; on a cluster that is an error, as
+    no machine sees another's."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
