@@ -82,3 +82,23 @@ def test_repeated_rows_are_delivered_as_planned(spark, hot):
     assert out.columns == docs.columns and delivered(out) == planned(docs)
     assert {r._words for r in out.collect()} == {"clash"} and all(r.n_chars == len(r.text) for r in out.collect())
     assert sorted(out.collect(), key=str) == sorted(mx.mixed_rows(docs).collect(), key=str)
+
+
+def test_sources_of_ten_trillion_words(spark, monkeypatch):
+    """Sizes come from a column, as no test has so much text: quotas, cuts and places neither overflow nor lose a word."""
+    monkeypatch.setattr(mx, "word_count", lambda text: text.cast("long"))
+    sizes = [(i, str(2_000_000_000_000 + i), "abc"[i % 3]) for i in range(40)] + [(40, "7", "d")]
+    docs = spark.createDataFrame(sizes, "doc_id long, text string, source string")
+    rows = mx.mix(docs).collect()
+    total = sum(int(t) for _, t, _ in sizes)
+    assert all(0 <= r.taken <= 3 * r.size for r in rows) and sum(r.taken for r in rows) == pytest.approx(total, rel=1e-9)
+    for source in "abcd":
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: r.order)
+        want = min(mine[0].quota, 3 * mine[0].blocks)
+        whole, part = divmod(want, mine[0].blocks)
+        assert sum(r.taken for r in mine) == whole * mine[0].source_size + part * mine[0].source_size // mine[0].blocks
+        starts = [sum(r.size for r in mine[:i]) for i in range(len(mine))]
+        assert [r.first_block for r in mine] == [s * mine[0].blocks // mine[0].source_size for s in starts]
+    assert {r.target for r in rows if r.source == "d"} == {21.0}
+    copies = mx.mixed_rows(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in copies} == {r.doc_id: r.passes + (r.part > 0) for r in rows if r.taken}

@@ -87,6 +87,12 @@ def shard_quotas(sources: DataFrame, *, block_words: int, n_shards: int, max_epo
     )
 
 
+def times_over(a: Column, b: Column, c: Column) -> Column:
+    """a * b div c of longs with a result that is a long; the product may be one no more."""
+    wide = lambda x: x.cast("decimal(19,0)")
+    return F.call_function("div", wide(a) * wide(b), c).cast("long")
+
+
 def seeded(doc_id: Column, seed: int) -> Column:
     """What documents are laid out by; equal ids, and missing ones, follow each other by size."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
@@ -115,13 +121,13 @@ def mix(documents: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORD
     placed = sized.withColumn("within", F.coalesce(F.sum("size").over(running), F.lit(0)))
     both = placed.alias("d").join(small(stored(plan)).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.stretch") == F.col("p.stretch")))
     start = F.col("stretch_start") + F.col("within")
-    cut = F.expr("(quota % blocks) * source_size div blocks")
+    cut = times_over(F.expr("quota % blocks"), F.col("source_size"), F.col("blocks"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), cut - start))
     passes = F.expr("quota div blocks")
     return both.select(
         "doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"),
         passes.alias("passes"), part.cast("long").alias("part"), "quota", "blocks", "ends",
-        F.coalesce(F.try_divide(start * F.col("blocks"), F.col("source_size")).cast("long"), F.lit(0)).alias("first_block"), "order",
+        F.coalesce(times_over(start, F.col("blocks"), F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).alias("first_block"), "order",
     )
 
 
