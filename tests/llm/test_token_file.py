@@ -14,9 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def brute(library, rows):
@@ -47,6 +45,27 @@ def test_awkward_rows(spark, library):
     assert empty.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and empty.count() == 0
 
 
+def test_added_tokens_are_the_librarys(library):
+    """Texts that spell out an added token, at their ends and in a row, among texts that do not."""
+    import pyarrow as pa
+
+    texts = ["a <|endoftext|> b", None, "plain text", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "", "a <|endoftext |> b", "ends in <|endoftext|>", "plain again"]
+    ids, n = token_file.tokens(PATH).encode(pa.array(texts))
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_large_vocabularies_raise(library, tmp_path):
+    import json
+
+    known = json.loads(library.to_str())
+    known["model"]["vocab"] |= {f"x{i}": 50257 + i for i in range(20000)}
+    (tmp_path / "large.json").write_text(json.dumps(known))
+    with pytest.raises(ValueError, match="65,535"):
+        token_file.Tokens(str(tmp_path / "large.json"))
+
+
 def test_segments_and_ids(spark, library, tmp_path):
     rows = [(i, f"document {i} says {i * i} things, and more. " * (i % 7)) for i in range(300)]
     path = str(tmp_path / "tokens")

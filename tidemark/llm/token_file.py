@@ -31,6 +31,8 @@ LANES = 1024
 SPANS = 4
 SPAN_TOKENS = 1 << 17
 END = 0
+#: Ids are two bytes wide.
+MOST_IDS = 1 << 16
 #: Words, and pieces of words, whose ids a Python worker keeps at most.
 REMEMBERED = 200_000
 #: Bytes of text that are encoded together.
@@ -119,9 +121,11 @@ class Tokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = Tokenizer(self.tokenizer.model)
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) > MOST_IDS - 1:
+            raise ValueError(f"{path} has ids above {MOST_IDS - 1:,}, which the file format does not hold")
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.width[list(vocabulary.values())] = list(map(len, vocabulary))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -181,8 +185,27 @@ class Tokens:
         return lists
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids (null: an empty text), each text's followed by the end id, and how many each has with it."""
-        lists = self.lists(pc.fill_null(texts.cast(pa.string()), ""))
+        """All texts' ids (null: an empty text), each text's followed by the end id, and how many each has with it. Texts
+        that spell out an added token of the vocabulary, which the library takes for that token, go through the library
+        as a whole."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        spelt = np.zeros(len(texts), bool)
+        for token in self.added:
+            spelt |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not spelt.any():
+            return self.by_words(texts)
+        ids, n = self.by_words(pc.if_else(pa.array(spelt), "", texts))
+        both, which = Ragged(ids, n), np.flatnonzero(spelt)
+        whole = self.by_library(texts.take(pa.array(which)))
+        ends = np.cumsum(whole.n)
+        whole = Ragged(np.insert(whole.pool, ends, END).astype("<u2"), whole.n + 1)
+        both.start[which], both.n[which] = len(ids) + whole.start, whole.n
+        both.pool = np.r_[both.pool, whole.pool]
+        return both.take(np.arange(len(texts))), both.n
+
+    def by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for texts without added tokens."""
+        lists = self.lists(texts)
         flat, size = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = flat.dictionary_encode()
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -274,7 +297,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, segment_tokens
     """Encode every text (null: empty) of documents (doc_id, text; other columns are ignored) with the tokenizers
     library, end each with id 0, and write the segments to path in ascending doc_id order, nulls first; rows that share
     a doc_id, or have none, follow each other in the order of the table and may be dealt to several tasks. An empty
-    table writes no segment. Vocabularies up to 65,536 ids."""
+    table writes no segment. Vocabularies above 65,536 ids raise."""
     rows = documents.select("doc_id", "text").withColumn("place", F.monotonically_increasing_id())
     rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     rows.mapInArrow(_write(tokenizer, segment_tokens, block_tokens), SCHEMA).write.parquet(path)
