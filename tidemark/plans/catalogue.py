@@ -488,13 +488,13 @@ def topk_reasons(spark, sf_dir):
     return rows.select("c_custkey", (F.col("k") + 1).alias("place"), "r.feature", "r.contribution", "r.direction")
 
 
-@query(_RISK + " SELECT row_number() OVER (ORDER BY p DESC, c_custkey) AS place, c_custkey, round(p, 4) AS p FROM r")
+@query(_RISK + " SELECT row_number() OVER (ORDER BY p DESC, c_custkey) AS place, c_custkey, p FROM r")
 def scored_sort(spark, sf_dir):
     """Every customer with its place in the global sort."""
-    return scoring.placed(_risk(spark, sf_dir).select("c_custkey", "p"), "p", "c_custkey").select("place", "c_custkey", F.round("p", 4).alias("p"))
+    return scoring.placed(_risk(spark, sf_dir).select("c_custkey", "p"), "p", "c_custkey").select("place", "c_custkey", "p")
 
 
-@query(_RISK + ", s AS (SELECT *, row_number() OVER (ORDER BY p DESC, c_custkey) AS place FROM r) SELECT place, c_custkey, round(p, 4) AS p, CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' ELSE 'Low' END AS risk_band FROM s")
+@query(_RISK + ", s AS (SELECT *, row_number() OVER (ORDER BY p DESC, c_custkey) AS place FROM r) SELECT place, c_custkey, p, CASE WHEN p >= 0.66 THEN 'High' WHEN p >= 0.33 THEN 'Medium' ELSE 'Low' END AS risk_band FROM s")
 def scored_sort_all(spark, sf_dir):
     """Every customer with its band and its place in the global sort, exported with write_scored() and read back."""
     from ..session import scratch
@@ -503,7 +503,7 @@ def scored_sort_all(spark, sf_dir):
     path = scratch(spark, "scored")
     rows = _risk(spark, sf_dir).select("c_custkey", "p", V.risk_band(F.col("p")).alias("risk_band"))
     write_scored(scoring.placed(rows, "p", "c_custkey"), path, "p", "c_custkey")
-    return spark.read.schema("c_custkey long, p double, risk_band string, place long").option("header", True).csv(path).select("place", "c_custkey", F.round("p", 4).alias("p"), "risk_band")
+    return spark.read.schema("c_custkey long, p double, risk_band string, place long").option("header", True).csv(path).select("place", "c_custkey", "p", "risk_band")
 
 
 @query()
