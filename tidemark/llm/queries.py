@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dup, pii, preference, quality, repetition, runs, simhash, site_lines, token_file, unigram
+from . import decontaminate, mixing, near_dup, pii, preference, quality, repetition, runs, simhash, site_lines, structure, token_file, unigram
 
-MODULES = (mixing, near_dup, token_file, quality, decontaminate, pii, repetition, site_lines, unigram, preference, simhash, runs)
+MODULES = (mixing, near_dup, token_file, quality, decontaminate, pii, repetition, site_lines, unigram, preference, simhash, runs, structure)
 
 
 def queries() -> dict:
