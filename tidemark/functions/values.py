@@ -12,6 +12,8 @@ MULTIPLIERS = (("l", 1e5), ("lakh", 1e5), ("lac", 1e5), ("cr", 1e7), ("crore", 1
 SERIAL_RANGE = (20000, 60000)
 EXCEL_EPOCH = "1899-12-30"
 
+#: A cell that is a number as it stands, whatever the decimal sign of its column.
+PLAIN = r"^[+-]?[0-9]+(?:\.[0-9]+)?$"
 _SPACES = " \t\u00a0\u202f"
 _AMOUNT = r"^([+-]?[0-9.,\s\u00a0\u202f]*(?:[eE][+-]?[0-9]+)?)\s*((?i:lakh|lac|l|crore|cr))?\s*(%)?$"
 _ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[ T].*)?$"
@@ -38,11 +40,25 @@ def currency_of(x: Column) -> Column:
     return F.coalesce(*[F.when(x.contains(c), F.lit(c)) for c in reversed(CURRENCIES)])
 
 
+def currency_bit(x: Column) -> Column:
+    """currency_of() as a bit, which counts add up to a set; 0 if none."""
+    return F.coalesce(*[F.when(x.contains(c), F.lit(1 << i)) for i, c in reversed([*enumerate(CURRENCIES)])], F.lit(0))
+
+
+def currencies_of(bits: int) -> list[str]:
+    return [c for i, c in enumerate(CURRENCIES) if bits >> i & 1]
+
+
 def _bare(x: Column) -> Column:
     """Without currency signs and outer space."""
     return strip(F.translate(x, CURRENCIES, ""))
 
 
+def is_amount(x: Column) -> Column:
+    """Whether a text has the shape of a number, a sum of money or a percentage."""
+    return _bare(x).rlike(_AMOUNT)
+
+
 def has_multiplier(x: Column) -> Column:
     return currency_of(x).isNotNull() & (F.regexp_extract(_bare(x), _AMOUNT, 2) != "")
 
@@ -57,7 +73,8 @@ def parse_number(x: Column, decimal: str = ".") -> Column:
     for value in (1e5, 1e7):
         names = [n for n, v in MULTIPLIERS if v == value]
         factor = factor.when(suffix.isin(*names) & x.rlike(f"[{CURRENCIES}]"), F.lit(value))
-    return plain.try_cast("double") * factor / F.when(x.rlike(r"%\s*$"), F.lit(100.0)).otherwise(F.lit(1.0))
+    value = plain.try_cast("double") * factor / F.when(x.rlike(r"%\s*$"), F.lit(100.0)).otherwise(F.lit(1.0))
+    return F.when(x.rlike(PLAIN), (F.translate(x, ".", "") if decimal == "," else x).try_cast("double")).otherwise(value)
 
 
 def _int(x: Column, pattern: str, k: int) -> Column:

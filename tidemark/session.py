@@ -1,8 +1,11 @@
-"""Session defaults: UTC, ANSI semantics and adaptive execution stay on."""
+"""Session defaults (UTC, ANSI semantics and adaptive execution stay on), and tables between steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidemark", **conf: str) -> SparkSession:
@@ -13,9 +16,24 @@ def session(app: str = "tidemark", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name where all executors can write and read: below spark.checkpoint.dir, or the warehouse where that
-    is unset."""
-    import uuid
+    """A new folder name where all executors can write and read: below spark.checkpoint.dir, or what setCheckpointDir()
+    was given. Without either, local mode takes a temporary folder, and a cluster raises, as its machines share none.
+    Lazy results may read the folder as long as the session lasts; it goes when the driver ends."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(root)
+    folder = f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read again: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,41 +1,35 @@
 """Delimited text with full accounting: every record is kept, dropped as empty or rejected with a reason, and every cell
 is parsed, missing or a counted failure.
 
-A table is one file or many of one shape. A file is one task: quoted line breaks and exact line numbers need it read
-from its start, and the size guard bounds it. The task only splits records, which are stored once; header, triage, typing
-and statistics are Spark expressions over the record table. What holds for a whole column (decimal sign, date order,
-percent) is decided from one aggregate over all its cells in all files.
+A table is one file or many of one shape, of any size: tasks cut ranges of bytes into records (see ranges), which are
+stored once; header, triage, typing and statistics are Spark expressions over the record table. What holds for a whole
+column (decimal sign, date order, percent) is decided from one aggregate over all its cells in all files.
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import re
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..session import scratch
+from ..session import stored
+from . import ranges
 
 # Fixed values of the reading rules.
 MAX_BYTES = 256 * 1024 * 1024
-DELIMITERS = (",", ";", "\t", "|")
 ACCEPT = 0.8
 SAMPLES = 5
-SNIFF_ROWS = 50
 DATE_NAMES = re.compile(r"(^|_)(date|dates|dt|datetime|timestamp|day|on|at|since|until)($|_)", re.IGNORECASE)
 
-
-RECORDS = "source_file string, encoding string, delimiter string, line_number long, fields array<string>, raw_line string"
 #: Columns of every frame; a header of such a name is renamed.
 RESERVED = ("source_file", "line_number")
+#: Evidence of a column without cells.
+NOTHING = dict.fromkeys(("cand", "pct", "serial", "dates", "apart", "both", "comma", "multiplied", "tokens", "filled", "dot_all", "dot_plain", "com_all", "com_plain"), 0) | {"first": None, "second": None, "verdict": None, "signs": []}
 #: Files whose header lines may be broadcast; of more, they are joined by a shuffle.
 BROADCAST_FILES = 100_000
 
@@ -87,85 +81,6 @@ class ParseResult:
         return tuple(c.name for c in self.columns if c.ambiguous)
 
 
-def detect_encoding(data: bytes) -> str:
-    """utf-8-sig with a mark, utf-8 if valid, cp1252 if a byte of 80-9F is there and decodes, else latin-1."""
-    if data.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
-    for name in ("utf-8", "cp1252") if any(0x80 <= b <= 0x9F for b in data) else ("utf-8",):
-        try:
-            data.decode(name)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
-
-
-def lines(data: bytes, encoding: str) -> Iterator[str]:
-    """Lines with their ends, decoded as they are asked for."""
-    return io.TextIOWrapper(io.BytesIO(data), encoding, newline="")
-
-
-def records(text: Iterator[str], delimiter: str) -> Iterator[tuple[int, list[str], str]]:
-    """Line where a record starts, its fields, its raw text, from lines; blank lines vanish."""
-    csv.field_size_limit(2**31 - 1)
-    taken: list[str] = []
-
-    def kept():
-        for line in text:
-            taken.append(line)
-            yield line
-
-    at = 1
-    for fields in csv.reader(kept(), delimiter=delimiter):
-        if fields:
-            yield at, fields, "".join(taken).rstrip("\r\n")
-        at += len(taken)
-        taken.clear()
-
-
-def detect_delimiter(data: bytes, encoding: str) -> str:
-    """The candidate under which most of the first rows have one width of two or more, then the widest, then the first."""
-    best, chosen = (0.0, 0), DELIMITERS[0]
-    for d in DELIMITERS:
-        widths = []
-        for _, fields, _ in records(lines(data, encoding), d):
-            if any(f.strip() for f in fields):
-                widths.append(len(fields))
-            if len(widths) == SNIFF_ROWS:
-                break
-        if widths:
-            width, n = Counter(widths).most_common(1)[0]
-            score = (n / len(widths), width) if width > 1 else (0.0, 0)
-            if score > best:
-                best, chosen = score, d
-    return chosen
-
-
-def _scan(encoding: str | None, delimiter: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0), batch.column(1), strict=True):
-                data = data.as_py()
-                name = encoding or detect_encoding(data)
-                sign = delimiter or detect_delimiter(data, name)
-                rows: list[tuple] = []
-                for row in records(lines(data, name), sign):
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield _batch(path.as_py(), name, sign, rows)
-                        rows = []
-                if rows:
-                    yield _batch(path.as_py(), name, sign, rows)
-
-    return run
-
-
-def _batch(path: str, encoding: str, delimiter: str, rows: list[tuple]) -> pa.RecordBatch:
-    a, b, c = zip(*rows, strict=True)
-    same = [pa.array([x] * len(rows), pa.string()) for x in (path, encoding, delimiter)]
-    return pa.RecordBatch.from_arrays([*same, pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.string())), pa.array(c, pa.string())], ["source_file", "encoding", "delimiter", "line_number", "fields", "raw_line"])
-
-
 def header_names(fields: list[str]) -> tuple[list[str], dict[str, str], list[bool]]:
     """Unique names: blanks become column_<position>, repeats get the next free number."""
     names, renamed, unnamed = [], {}, []
@@ -192,9 +107,8 @@ def _header(rows: DataFrame) -> tuple[str, int, list[str], DataFrame]:
     width = rows.groupBy(F.size("fields").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_file", "line_number")).alias("at")).orderBy(F.desc("n"), "at").first()
     if width is None:
         raise ValueError("there are no records in this file")
-    cells = F.transform("fields", lambda x: V.strip(x))
-    named = F.size(F.filter(cells, lambda x: x != ""))
-    numbers = F.size(F.filter(cells, lambda x: x.rlike(r"^[+-]?[0-9][0-9.,]*%?$")))
+    named = F.size(F.filter("fields", lambda x: x != ""))
+    numbers = F.size(F.filter("fields", lambda x: x.rlike(r"^[+-]?[0-9][0-9.,]*%?$")))
     first = rows.agg(F.min("source_file")).first()[0]
     own = rows.where(F.col("source_file") == first)
     fit = own.where((F.size("fields") == width.w) & (named >= 2) & (numbers * 2 <= F.size("fields")))
@@ -204,28 +118,39 @@ def _header(rows: DataFrame) -> tuple[str, int, list[str], DataFrame]:
     return first, found.line_number, found.fields, top.select("source_file", again.cast("long").alias("header_line"))
 
 
-def _facts(v: Column) -> dict[str, Column]:
-    """What a cell says about its column."""
-    cand, pct = V.is_candidate(v), v.endswith("%")
+def evidence(cells: DataFrame) -> dict[int, dict]:
+    """What decides columns' kinds, from all cells (i, v; source_file and line_number), by column. Cells are counted by
+    column and value first, so that values that come again are looked at once, all by the same small set of expressions,
+    whatever the number of columns. Cells that are plain numbers or have no digit skip what they cannot be."""
+    v = F.col("v")
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    rows = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("token", V.is_null_token(v)).withColumn("cand", (v != "") & ~F.col("token"))
+    digit = F.col("cand") & v.rlike("[0-9]")
+    rows = rows.withColumns({"plain": F.col("cand") & v.rlike(V.PLAIN), "sign": F.when(F.col("cand"), V.currency_bit(v))})
+    rows = rows.withColumn("open", digit & ~F.col("plain"))
+    rows = rows.withColumns({"date": F.col("open") & V.is_date(v), "number": F.col("open") & V.is_amount(v)})
     turnable, first, second = V.day_and_month(v)
-    return {
-        "cand": cand, "pct": cand & pct, "serial": cand & V.is_serial(v), "date": cand & V.is_date(v), "apart": cand & turnable, "first": first, "second": second,
-        "dot": cand & V.parse_number(v, ".").isNotNull(), "com": cand & V.parse_number(v, ",").isNotNull(), "comma": cand & v.rlike(r",[0-9]{1,2}$"),
-        "both": F.when(cand & v.contains(",") & v.contains("."), F.when(F.instr(F.reverse(v), ",") < F.instr(F.reverse(v), "."), ",").otherwise(".")),
-        "multiplied": cand & V.has_multiplier(v), "sign": F.when(cand, V.currency_of(v)), "token": V.is_null_token(v), "filled": v != "",
-    }
-
-
-def _evidence(i: int) -> Column:
-    """What decides a column's kind, from the facts of all its cells."""
-    f = lambda name: F.col(f"{name}_{i}")
-    n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
-    out = {
-        "cand": n(f("cand")), "pct": n(f("pct")), "serial": n(f("serial")), "dates": n(f("date")), "apart": n(f("apart")), "first": F.max(F.when(f("apart"), f("first"))), "second": F.max(F.when(f("apart"), f("second"))),
-        "verdict": F.min_by(f("both"), F.when(f("both").isNotNull(), F.struct("source_file", "line_number"))), "comma": n(f("comma")), "multiplied": n(f("multiplied")), "signs": F.collect_set(f("sign")), "tokens": n(f("token")),
-        "dot_all": n(f("dot")), "dot_plain": n(f("dot") & ~f("pct")), "com_all": n(f("com")), "com_plain": n(f("com") & ~f("pct")), "filled": n(f("filled")),
-    }
-    return F.struct(*[x.alias(k) for k, x in out.items()]).alias(f"e{i}")
+    rows = rows.withColumn("apart", F.col("date") & turnable)
+    pct, sound = F.col("cand") & v.endswith("%"), lambda sign: F.col("plain") | F.when(F.col("number"), V.parse_number(v, sign).isNotNull())
+    both = F.col("open") & v.contains(",") & v.contains(".")
+    rows = rows.withColumns({
+        "pct": pct, "serial": F.col("plain") & V.is_serial(v), "first": F.when(F.col("apart"), first), "second": F.when(F.col("apart"), second), "dot": yes(sound(".")), "com": yes(sound(",")),
+        "comma": F.col("open") & v.rlike(r",[0-9]{1,2}$"), "both": both, "multiplied": F.when(F.col("sign") > 0, V.has_multiplier(v)),
+    })
+    n = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0))
+    c = F.col
+    found = rows.groupBy("i").agg(
+        n(c("cand")).alias("cand"), n(c("pct")).alias("pct"), n(c("serial")).alias("serial"), n(c("date")).alias("dates"), n(c("apart")).alias("apart"), F.max("first").alias("first"), F.max("second").alias("second"),
+        n(c("both")).alias("both"), n(c("comma")).alias("comma"), n(c("multiplied")).alias("multiplied"), F.bit_or("sign").alias("signs"), n(c("token")).alias("tokens"), n(v != "").alias("filled"),
+        n(c("dot")).alias("dot_all"), n(c("dot") & ~c("pct")).alias("dot_plain"), n(c("com")).alias("com_all"), n(c("com") & ~c("pct")).alias("com_plain"),
+    )
+    out = {r["i"]: r.asDict() | {"verdict": None, "signs": V.currencies_of(r["signs"] or 0)} for r in found.collect()}
+    if any(e["both"] for e in out.values()):  # the first cell that has both signs tells which one is the decimal
+        last = F.when(F.instr(F.reverse("v"), ",") < F.instr(F.reverse("v"), "."), ",").otherwise(".")
+        told = cells.where(V.is_candidate(v) & v.rlike("[0-9]") & v.contains(",") & v.contains(".")).groupBy("i").agg(F.min(F.struct("source_file", "line_number", last.alias("sign"))).alias("at"))
+        for r in told.collect():
+            out[r["i"]]["verdict"] = r["at"]["sign"]
+    return out
 
 
 def _decide(name: str, source: str, e: dict, day_first: bool | None) -> tuple[Column_, list[Warned]]:
@@ -279,13 +204,14 @@ def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, d
         raise FileNotFoundError(path)
     if large:
         raise FileTooLargeError(f"{large.path} has {large.length} bytes; max_bytes is {max_bytes}")
-    place = scratch(spark, "records")
-    rows = files.select("path", "content").mapInArrow(_scan(encoding, delimiter), RECORDS)
-    (rows.repartition(spark.sparkContext.defaultParallelism) if n_files == 1 else rows).write.parquet(place)
-    rows = spark.read.schema(RECORDS).parquet(place)
+    lines, blocks = ranges.survey(spark, path, encoding, delimiter)
+    rows = stored(ranges.cut_records(lines, stored(blocks, "ranges")), "records")
+    if rows.where("piece is not null").limit(1).count():
+        rows = rows.where("piece is null").union(stored(ranges.joined_pieces(rows), "pieces"))
 
     first, line, fields, heads = _header(rows)
-    seen = rows.where((F.col("source_file") == first) & (F.col("line_number") == line)).select("encoding", "delimiter").first()
+    seen = rows.where((F.col("source_file") == first) & (F.col("line_number") == line)).select("encoding", "delimiter", "raw_line").first()
+    written = next(ranges.records(io.StringIO(seen.raw_line, newline=""), seen.delimiter))[1]
     names, renamed, unnamed = header_names(fields)
     n = len(names)
     warnings = [Warned("renamed", new, f"column {old} is now {new}, as there is one of that name") for new, old in renamed.items()]
@@ -296,15 +222,13 @@ def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, d
     if above := preamble.count():
         warnings.append(Warned("header", None, f"the header is on line {line}, below {above} lines of preamble" if n_files == 1 else f"{above} lines of preamble above the headers"))
 
-    cells = F.transform("fields", lambda x: V.strip(x))
     tail_blank = ~F.exists(F.slice(F.col("v"), n + 1, F.greatest(F.size("v") - n, F.lit(0))), lambda x: x != "")
     status = F.when(~F.exists("v", lambda x: x != ""), "empty").when(F.size("v") == n, "kept").when((F.size("v") > n) & tail_blank, "trimmed").otherwise("rejected")
-    body = rows.where(F.col("line_number") > F.col("header_line")).withColumn("v", cells).withColumn("status", status)
+    body = rows.where(F.col("line_number") > F.col("header_line")).withColumnRenamed("fields", "v").withColumn("status", status)
     kept = body.where(F.col("status").isin("kept", "trimmed"))
     flat = kept.select(*RESERVED, *[F.col("v")[i].alias(f"c{i}") for i in range(n)])
 
-    facts = flat.select(*RESERVED, *[x.alias(f"{k}_{i}") for i in range(n) for k, x in _facts(F.col(f"c{i}")).items()])
-    found = facts.agg(*map(_evidence, range(n))).first()
+    found = evidence(kept.select(*RESERVED, F.posexplode(F.slice("v", 1, n)).alias("i", "v"))) if n else {}
     counted = {r.status: r.n for r in body.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {"kept": counted.get("kept", 0) + counted.get("trimmed", 0), "empty": counted.get("empty", 0), "rejected": counted.get("rejected", 0)}
     counts["n_rows_in"] = sum(counts.values())
@@ -317,10 +241,10 @@ def read_table(spark: SparkSession, path: str, *, encoding: str | None = None, d
 
     columns, places = [], []
     for i, name in enumerate(names):
-        if unnamed[i] and not found[f"e{i}"].filled:
+        if unnamed[i] and not found.get(i, {}).get("filled"):
             warnings.append(Warned("ghost_column", name, f"{name}: unnamed and empty, dropped"))
             continue
-        column, said = _decide(name, fields[i], found[f"e{i}"].asDict(), day_first)
+        column, said = _decide(name, written[i], found.get(i, NOTHING), day_first)
         columns.append(column)
         places.append(i)
         warnings += said
