@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch
+from ..session import stored
 
 
 def kinds_of(df: DataFrame) -> dict[str, str]:
@@ -47,26 +47,27 @@ def positive(df: DataFrame, target: str) -> Column:
     return F.coalesce((F.col(target).cast("string") == F.lit(top)).cast("int"), F.lit(0))
 
 
-def running(counted: DataFrame, by: list[str], order: list[Column], sums: list[str]) -> DataFrame:
-    """Add <name>_before for each of sums: its sum over the rows of the same `by` that come before in `order`.
+def running(counted: DataFrame, by: list[str], order: list[Column], sums: list[str], tops: list[str] | tuple = ()) -> DataFrame:
+    """Add <name>_before for each of sums: its sum over the rows of the same `by` that come before in `order`, nulls
+    counting nothing; and for each of tops: its maximum over them, null if there is none.
 
-    Rows are dealt to tasks by ranges of the order and stored; each range adds up its own rows, and the sums of whole
+    Rows are dealt to tasks by ranges of the order and stored; each range adds up its own rows, and the figures of whole
     ranges, of which there are few, make the offsets. So neither a group nor a table without groups is one task.
     """
-    spark, path = counted.sparkSession, scratch(counted.sparkSession, "running")
-    counted.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = stored(counted.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "running")
     up_to_now = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    figure = {c: F.sum for c in sums} | {c: F.max for c in tops}
+    zero = lambda c, x: F.coalesce(x, F.lit(0)) if c in sums else x
+    sizes = rows.groupBy(*by, "_range").agg(*[f(c).alias(c) for c, f in figure.items()])
     ahead = up_to_now(Window.partitionBy(*by).orderBy("_range"))
-    offsets = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
+    offsets = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), *[zero(c, f(c).over(ahead)).alias(f"_{c}") for c, f in figure.items()])
     inside = up_to_now(Window.partitionBy(*by, "_range").orderBy(*order))
-    rows = rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    rows = rows.withColumns({f"{c}_before": zero(c, f(c).over(inside)) for c, f in figure.items()})
     same = F.col("_range") == F.col("_of")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    both = rows.join(offsets, same)
-    return both.select(*counted.columns, *[(F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums])
+    total = lambda c: F.col(f"{c}_before") + F.col(f"_{c}") if c in sums else F.greatest(f"{c}_before", f"_{c}")
+    return rows.join(offsets, same).select(*counted.columns, *[total(c).alias(f"{c}_before") for c in figure])
 
 
 def numbers_of(df: DataFrame, columns: list[str], *carry: Column) -> DataFrame:

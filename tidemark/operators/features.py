@@ -1,7 +1,8 @@
 """Point-in-time features of an event log: for each (customer, as_of) only events strictly before as_of count.
 
-Everything is one left join of the population to its events and one aggregation keyed by (customer, as_of). The gap
-feature needs each event's predecessor, which is one window over the same keys and so the same shuffle.
+build_features() joins the population to its events, heavy customers by broadcast, and aggregates by (customer, as_of) with
+partial sums; gaps are summed up by hours first. features_at() is for very many instants, such as every event: running
+sums answer any window by two of their values, so its work grows with events and instants, not with their product.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, stored
+from . import evidence
+from .skew import join_skewed
 from .temporal import check_no_time_travel
 
 GROUPS = ("counts", "deltas", "monetary", "recency", "frequency", "trend", "gaps", "flags")
@@ -21,6 +24,9 @@ FLAG_DAYS = 30
 DROP_RATIO = 0.7
 
 _DAY = 86400e6
+_MICROS, _HOUR = 86_400_000_000, 3_600_000_000
+#: Groups that running sums can answer.
+RUNNING_GROUPS = ("counts", "deltas", "monetary", "recency", "frequency", "flags")
 
 
 @dataclass(frozen=True)
@@ -76,17 +82,16 @@ def build_features(
     if type_column and type_column not in events.columns:
         type_column = None
 
-    people = as_of if isinstance(as_of, DataFrame) else population(events, customer, as_of)
+    people = stored(as_of.select("customer", F.col("as_of").cast("timestamp_ntz")) if isinstance(as_of, DataFrame) else population(events, customer, as_of), "people")
     log = events.select(
         F.col(customer).alias("customer"), F.col(timestamp).cast("timestamp_ntz").alias("ts"), F.lit(True).alias("hit"),
         *([F.col(type_column).cast("string").alias("type")] if type_column else []),
         *([F.nanvl(F.col(value_column).cast("double"), F.lit(None)).alias("value")] if value_column else []),
     )
-    both = people.join(log, "customer", "left").withColumn("d", F.when(F.col("ts") < F.col("as_of"), _days(F.col("as_of"), F.col("ts"))))
+    # a row without an event for each of the population keeps those without events, and alters no figure
+    both = join_skewed(log, people, "customer").unionByName(people, allowMissingColumns=True)
+    both = both.withColumn("d", F.when(F.col("ts") < F.col("as_of"), _days(F.col("as_of"), F.col("ts"))))
     d = F.col("d")
-    if "gaps" in groups:
-        order = Window.partitionBy("customer", "as_of").orderBy(F.col("d").desc_nulls_last())
-        both = both.withColumn("before", F.lag("d").over(order))
 
     if type_column and types is None and ({"counts", "recency"} & set(groups)):
         types = [r[0] for r in events.select(F.col(type_column).cast("string")).distinct().where(f"`{type_column}` is not null").orderBy(type_column).collect()]
@@ -108,10 +113,6 @@ def build_features(
         if "monetary" in groups and value_column:
             agg[f"value_sum_{w}d"] = F.coalesce(F.sum(F.when(now, F.col("value"))), zero)
             agg[f"value_mean_{w}d"] = F.when(count(now) == 0, zero).otherwise(F.avg(F.when(now, F.col("value"))))
-        if "gaps" in groups:
-            width = F.lit(float(w))
-            inner = F.max(F.when(now, F.least(F.coalesce(F.col("before"), width), width) - d))
-            agg[f"longest_gap_{w}d"] = F.coalesce(F.greatest(inner, F.min(F.when(now, d))), width)
     if "recency" in groups:
         agg["days_since_last_event"] = F.min("d")
         agg |= {f"days_since_last_{names[t]}": F.min(F.when(F.col("type") == t, d)) for t in types or ()}
@@ -128,6 +129,12 @@ def build_features(
         "n_events_excluded_as_future": F.count_if(F.coalesce(F.col("hit"), F.lit(False)) & d.isNull()),
     }
     table = both.groupBy("customer", "as_of").agg(*[c.alias(n) for n, c in (agg | extra).items()])
+    if "gaps" in groups:
+        gaps = longest_gaps(both.where(d.isNotNull()), windows).select(F.col("customer").alias("_customer"), F.col("as_of").alias("_as_of"), *[f"longest_gap_{w}d" for w in windows])
+        joined = table.join(gaps, (F.col("customer") == F.col("_customer")) & F.col("as_of").eqNullSafe(F.col("_as_of")), "left")
+        names_of_gaps = {f"longest_gap_{w}d": F.coalesce(f"longest_gap_{w}d", F.lit(float(w))) for w in windows}
+        table = joined.withColumns(names_of_gaps).select("customer", "as_of", *agg, *names_of_gaps, *extra)
+        agg |= names_of_gaps
     if check:  # the aggregate is stored, so that check, features and accounting read it and compute it once
         path = scratch(events.sparkSession, "features")
         table.write.parquet(path)
@@ -135,3 +142,86 @@ def build_features(
         check_no_time_travel(table, ["source_ts"], "as_of")
     accounting = table.agg(F.sum("n_events_used").alias("n_events_used"), F.sum("n_events_excluded_as_future").alias("n_events_excluded_as_future"))
     return Features(table.drop("n_events_used", "n_events_excluded_as_future"), accounting, tuple(agg))
+
+
+def longest_gaps(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """customer, as_of, longest_gap_<w>d of rows (customer, as_of, ts before it): the longest time without an event in the
+    last w days, from the window's start to as_of; pairs without an event there have no row.
+
+    An hour of a customer is summed up by its first and last event and its longest gap; hours in order add the gaps
+    between them. So a task holds an hour's events or a customer's hours, never a customer's events.
+    """
+    age = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("as_of"))
+    near = rows.select("customer", "as_of", age.alias("age")).where(F.col("age") <= max(windows) * _MICROS).withColumn("hour", F.expr(f"(age - 1) div {_HOUR}"))
+    step = F.col("age") - F.lag("age").over(Window.partitionBy("customer", "as_of", "hour").orderBy("age"))
+    hours = near.withColumn("step", step).groupBy("customer", "as_of", "hour").agg(F.min("age").alias("low"), F.max("age").alias("high"), F.max("step").alias("step"))
+    across = F.col("low") - F.lag("high").over(Window.partitionBy("customer", "as_of").orderBy("hour"))
+    hours = hours.withColumn("step", F.greatest("step", across))
+    out = []
+    for w in windows:
+        inside = F.col("hour") < 24 * w
+        longest = F.greatest(F.max(F.when(inside, F.col("step"))), F.min(F.when(inside, F.col("low"))), F.lit(w * _MICROS) - F.max(F.when(inside, F.col("high"))))
+        out.append((longest / F.lit(_DAY)).alias(f"longest_gap_{w}d"))
+    return hours.groupBy("customer", "as_of").agg(*out)
+
+
+def features_at(
+    events: DataFrame, instants: DataFrame, *, customer: str, timestamp: str, type_column: str | None = None, value_column: str | None = None,
+    windows: tuple[int, ...] = WINDOWS, groups: tuple[str, ...] = RUNNING_GROUPS, types: list[str] | None = None,
+) -> DataFrame:
+    """What build_features() makes of the stated groups, for very many instants (customer, as_of), each distinct pair a row.
+
+    An instant and the starts of its windows are probes among the events in order of time; the running sums before two
+    probes differ by what lies between them. Events and probes are dealt to tasks by ranges of customer and time.
+    Sums of a decimal column are exact; those of doubles differ from a direct sum by rounding.
+    """
+    unknown = [g for g in groups if g not in RUNNING_GROUPS]
+    if unknown:
+        raise ValueError(f"groups that running sums do not answer: {', '.join(unknown)}; known: {', '.join(RUNNING_GROUPS)}")
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+    log = events.select(F.col(customer).alias("customer"), F.col(timestamp).cast("timestamp_ntz").alias("ts"), *([F.col(type_column).cast("string").alias("type")] if type_column else []), *([F.col(value_column).alias("value")] if value_column else []))
+    log = log.where("customer is not null and ts is not null").withColumn("t", micros(F.col("ts")))
+    if type_column and types is None:
+        types = [r[0] for r in log.select("type").distinct().where("type is not null").orderBy("type").collect()]
+    names = {t: clean_name(t) for t in types or ()} if type_column else {}
+    if len(set(names.values())) < len(names):
+        raise ValueError(f"event types share a clean name: {sorted(names)}")
+
+    sums = {"n": F.lit(1)} | {f"n_{x}": (F.col("type") == t).cast("int") for t, x in names.items()}
+    tops = {"last": F.col("t")} | {f"last_{x}": F.when(F.col("type") == t, F.col("t")) for t, x in names.items()}
+    if value_column and "monetary" in groups:
+        number = F.col("value") if dict(log.dtypes)["value"].startswith("decimal") else F.nanvl(F.col("value").cast("double"), F.lit(None))
+        sums |= {"value": number, "values": number.isNotNull().cast("int")}
+    rows = log.select("customer", "t", F.lit(1).alias("kind"), *[x.alias(n) for n, x in (sums | tops).items()])
+    if "frequency" in groups:
+        days = log.groupBy("customer", F.to_date("ts").alias("day")).agg(F.min("t").alias("t")).select("customer", "t", F.lit(1).alias("kind"), F.lit(1).alias("days"))
+        rows, sums = rows.unionByName(days, allowMissingColumns=True), sums | {"days": F.lit(1)}
+    edges = sorted({0, *windows, *(2 * w for w in windows if "deltas" in groups), *((FLAG_DAYS, 2 * FLAG_DAYS) if "flags" in groups else ())})
+    asked = instants.select("customer", F.col("as_of").cast("timestamp_ntz").alias("as_of")).where("customer is not null and as_of is not null").distinct()
+    probes = asked.withColumn("edge", F.explode(F.array(*map(F.lit, edges)))).select("customer", "as_of", "edge", (micros(F.col("as_of")) - F.col("edge") * F.lit(_MICROS)).alias("t"), F.lit(0).alias("kind"))
+    placed = evidence.running(rows.unionByName(probes, allowMissingColumns=True), ["customer"], [F.col("t"), F.col("kind")], list(sums), list(tops))
+    before = lambda name, k: F.coalesce(F.max(F.when(F.col("edge") == k, F.col(f"{name}_before"))), F.lit(0))
+    between = lambda name, near, far: (before(name, near) - before(name, far)).cast("double")
+
+    agg: dict[str, Column] = {}
+    for w in windows:
+        now = between("n", 0, w)
+        if "counts" in groups:
+            agg[f"events_{w}d"] = now
+            agg |= {f"events_{x}_{w}d": between(f"n_{x}", 0, w) for x in names.values()}
+        if "deltas" in groups:
+            past = between("n", w, 2 * w)
+            agg |= {f"events_{w}d_delta": now - past, f"events_{w}d_ratio": F.try_divide(now, past)}
+        if "monetary" in groups and value_column:
+            agg[f"value_sum_{w}d"] = between("value", 0, w)
+            agg[f"value_mean_{w}d"] = F.when(now == 0, 0.0).otherwise(F.try_divide(between("value", 0, w), between("values", 0, w)))
+    if "recency" in groups:
+        since = lambda name: (F.max(F.when(F.col("edge") == 0, F.col("t") - F.col(f"{name}_before"))) / F.lit(_DAY))
+        agg["days_since_last_event"] = since("last")
+        agg |= {f"days_since_last_{x}": since(f"last_{x}") for x in names.values()}
+    if "frequency" in groups:
+        agg["events_per_active_day"] = F.coalesce(F.try_divide(before("n", 0).cast("double"), before("days", 0).cast("double")), F.lit(0.0))
+    if "flags" in groups:
+        now, past = between("n", 0, FLAG_DAYS), between("n", FLAG_DAYS, 2 * FLAG_DAYS)
+        agg["usage_down_30pct_mom"] = F.when((past > 0) & (now < DROP_RATIO * past), 1.0).otherwise(0.0)
+    return placed.where("kind = 0").groupBy("customer", "as_of").agg(*[c.alias(n) for n, c in agg.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import evidence, scoring, temporal, training
-from ..operators.features import build_features
+from ..operators.features import build_features, features_at
 
 AS_OF = "2024-01-24"
 SHORT = (3, 7, 14)
@@ -81,6 +81,27 @@ def feat_counts(spark, sf_dir):
 _TYPES = ("click", "error", "purchase", "signup", "view")
 
 
+_WITHIN = "OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL $w DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+_BEFORE = "OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, event_type, CAST(value AS DECIMAL(18, 2)) AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) SELECT DISTINCT user_id AS customer, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS as_of, "
+    + _each(
+        f"CAST(count(*) {_WITHIN} AS DOUBLE) AS events_$wd, CAST(count(*) FILTER (event_type = 'purchase') {_WITHIN} AS DOUBLE) AS events_purchase_$wd, CAST(2 * count(*) {_WITHIN} - count(*) {_WITHIN.replace('$w', '$w2')} AS DOUBLE) AS events_$wd_delta, "
+        f"CAST(coalesce(sum(v) {_WITHIN}, 0) AS DOUBLE) AS value_sum_$wd, CASE WHEN count(*) {_WITHIN} = 0 THEN 0 ELSE CAST(sum(v) {_WITHIN} AS DOUBLE) / count(v) {_WITHIN} END AS value_mean_$wd"
+    )
+    + f", date_diff('microsecond', max(ts) {_BEFORE}, ts) / 86400e6 AS days_since_last_event, coalesce(CAST(count(*) {_BEFORE} AS DOUBLE) / nullif(count(DISTINCT CAST(ts AS DATE)) {_BEFORE}, 0), 0) AS events_per_active_day FROM e"
+)
+def feat_every_event(spark, sf_dir):
+    """Features at every event of the log, from what its user did before: all windows from one set of running sums."""
+    events = table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
+    instants = events.select(F.col("user_id").alias("customer"), F.col("ts").alias("as_of"))
+    out = features_at(events, instants, customer="user_id", timestamp="ts", type_column="event_type", value_column="value", windows=SHORT, groups=("counts", "deltas", "monetary", "recency", "frequency"), types=["purchase"])
+    out = out.drop("days_since_last_purchase", *[f"events_{w}d_ratio" for w in SHORT])
+    return out.withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query(_select(_each("CAST(count(*) FILTER (d <= $w) AS DOUBLE) AS events_$wd") + ", " + ", ".join(_each(f"CAST(count(*) FILTER (d <= $w AND event_type = '{t}') AS DOUBLE) AS events_{t}_$wd") for t in _TYPES)))
 def feat_type_counts(spark, sf_dir):
     return _features(spark, sf_dir, ("counts",), types=True)
