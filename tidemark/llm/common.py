@@ -113,11 +113,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def join_skewed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join rows (cheap to read twice) to a stored table of one row per key, no key being a task of its own however many
-    rows have it: a table of few rows is broadcast; of a larger one, only the keys of more than 1 / HEAVY of the rows
-    are, of which there are fewer than HEAVY, and the others shuffle."""
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows have it: a table of up to `limit` rows is broadcast; of a larger one, only the keys of more than 1 / HEAVY of the
+    rows are, of which there are fewer than HEAVY, and the others shuffle."""
+    if limit and table.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(table), key, how)
     counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
     total = counts.agg(F.sum("_rows")).first()[0] or 0

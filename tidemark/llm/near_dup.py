@@ -38,7 +38,7 @@ MARGIN = 0.2
 SKETCHED, POINTS = 256, 1 << 15
 #: Pairs whose similarity is estimated together.
 ESTIMATED = 512
-#: Band rows of a hot shingle that one task may meet in the join of prefixes.
+#: Members of a hub, or rows of an element, that one task may meet.
 SPLIT_ROWS = 1024
 
 
@@ -162,99 +162,181 @@ def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
     return pd.Series(out)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that both texts have, and that either has."""
-    last, last_set = None, None
-    for batch in sliced_by_bytes(batches, 2):
-        common, either = [], []
-        for a, text in zip(shingle_sets(batch.column(2)), batch.column(3), strict=True):
-            if last_set is None or text != last:  # rows come ordered by b, so a large group is hashed once
-                last, last_set = text, next(shingle_sets(pa.array([text.as_py()], pa.string())))
-            both = len(np.intersect1d(a, last_set, assume_unique=True))
-            common.append(both)
-            either.append(len(a) + len(last_set) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
-
-
-def linked(pairs: DataFrame, sketched: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union on their whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
-    chosen = lambda df: df.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    k = chosen(sketched.select("doc_id", "n_shingles", "registers"))
-    near = (  # a doc_id of several texts is met with each
-        pairs.join(k.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a")
-        .join(k.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b")), "b")
-        .where(_estimate("r_a", "r_b", "n_a", "n_b") >= percent / 100 - MARGIN)
-        .select("a", "b").distinct()
-    )
-    t = chosen(documents.select("doc_id", "text")).dropDuplicates(["doc_id", "text"])
-    both = near.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
-    sure = both.select("a", "b", "t_a", "t_b").mapInArrow(_shared, "a long, b long, common long, either long")
-    return stored(sure.where(f"common * 100 >= either * {percent}").select("a", "b").distinct())
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced_by_bytes(batches, 1):
+        sets = list(shingle_sets(batch.column(1)))
+        v = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc", "v", "n", "shingles"])
+
+
+def _sets(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc, v (tells a doc_id's texts apart), n, shingles (sorted 64-bit hashes) of the documents in rows."""
+    ids = stored(rows.select(F.col("doc").alias("doc_id")).distinct())
+    texts = documents.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    return stored(texts.mapInArrow(_packed, "doc long, v long, n long, shingles binary").where("n > 0").dropDuplicates(["doc", "v"]))
+
+
+DELTAS = "hub long, doc long, v long, comp long, n long, n_hub long, m long, delta binary"
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by hub and salt, each hub's own set in front: what every member's set and the hub's do not share."""
+    hub, own = None, np.zeros(0, np.uint64)
+    for batch in sliced_by_bytes(batches, 7):
+        out = []
+        for h, first, doc, v, comp, n, shingles in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7)), strict=True):
+            found = np.frombuffer(shingles, np.uint64)
+            if first == 0:
+                hub, own = h, found
+            else:
+                assert h == hub
+                delta = np.setxor1d(found, own, assume_unique=True)
+                out.append((h, doc, v, comp, n, len(own), len(delta), delta.tobytes()))
+        if out:
+            kinds = [pa.int64()] * 7 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in DELTAS.split(", ")])
+
+
+def against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """DELTAS of pairs (hub, doc, comp; a stored table): how a document's set differs from one set of the hub. The members
+    of a hub are dealt to as many tasks as they need, and the hub's set goes to each of these once."""
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPLIT_ROWS).cast("int").alias("parts"))
+    sizes = stored(sizes)
+    salted = join_skewed(pairs, sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    members = salted.join(sets, "doc").select("hub", "salt", F.lit(1).alias("member"), "doc", "v", "comp", "n", "shingles")
+    one = sets.join(sizes.select(F.col("hub").alias("doc")), "doc", "left_semi").groupBy("doc").agg(F.min_by(F.struct("v", "n", "shingles"), "v").alias("x"))
+    hubs = sizes.join(one, F.col("hub") == F.col("doc")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hubs = hubs.select("hub", "salt", F.lit(0).alias("member"), "doc", "x.v", F.lit(None).cast("long").alias("comp"), "x.n", "x.shingles")
+    return members.union(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_differ, DELTAS)
+
+
+def _linked(m: str, n: str, percent: int) -> str:
+    """Whether sets of n shingles together, of which m are not shared, have 100 * intersection >= percent * union."""
+    return f"100 * ({n} - {m}) >= {percent} * ({n} + {m})"
+
+
+def hub_links(deltas: DataFrame, percent: int) -> DataFrame:
+    return deltas.where("doc <> hub").where(_linked("m", "(n + n_hub)", percent)).select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose similarity, estimated from registers, is not far below the threshold."""
+    k = sketched.select("doc_id", "n_shingles", "registers")
+    near = pairs.join(k.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a")
+    near = join_skewed(stored(near), k.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b")), "b", limit=0)
+    return near.where(_estimate("r_a", "r_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b").distinct()
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one component so far, with each row's component."""
-    known = rows.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("bucket", "doc", "n", F.coalesce("label", "doc").alias("comp"))
-    unsettled = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    return stored(known.join(unsettled, "bucket", "left_semi"))
+    known = join_skewed(rows, stored(labels.select(F.col("node").alias("doc"), "label")), "doc", "left").select("bucket", "doc", "n", F.coalesce("label", "doc").alias("comp"))
+    known = stored(known)
+    unsettled = stored(known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"))
+    return stored(join_skewed(known, unsettled, "bucket", "left_semi"))
 
 
-def _star(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _star(rows: DataFrame, percent: int) -> DataFrame:
     """Each row's document with the document that is first most often in its buckets (of other components)."""
-    first = rows.groupBy("bucket").agg(F.min_by(F.struct("doc", "comp", "n"), "doc").alias("first"))
-    met = rows.join(first, "bucket").where(f"first.comp <> comp and 100 * least(n, first.n) >= {percent} * greatest(n, first.n)")
+    first = stored(rows.groupBy("bucket").agg(F.min_by(F.struct("doc", "comp", "n"), "doc").alias("first")))
+    met = join_skewed(rows, first, "bucket").where(f"first.comp <> comp and 100 * least(n, first.n) >= {percent} * greatest(n, first.n)")
     votes = met.groupBy("doc", F.col("first.doc").alias("first")).agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("doc").agg(F.max_by("first", F.struct("votes", -F.col("first"))).alias("b")).select(F.col("doc").alias("a"), "b")
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, v (tells a doc_id's texts apart), comp, n and a shingle each."""
-    for batch in sliced_by_bytes(batches, 1):
-        docs, comps = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for doc, comp, s in zip(docs, comps, shingle_sets(batch.column(1)), strict=True):
-            v = xxhash.xxh64_intdigest(s.tobytes()) >> 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(s), x, np.int64)) for x in (doc, v, comp, len(s))), pa.array(s.view(np.int64))], ["doc", "v", "comp", "n", "shingle"])
+def _elements(percent: int):
+    """hub, doc, v, comp, n, m and an element of the delta each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced_by_bytes(batches, 6):
+            m = batch.column(5).to_numpy(zero_copy_only=False)
+            repeat = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), m)) for k in range(6)]
+            element = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([*repeat, pa.array(element)], ["hub", "doc", "v", "comp", "n", "m", "element"])
+
+    return run
 
 
-def _rest(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """All pairs that may link two components, of the documents that share buckets across components.
+def fronts(deltas: DataFrame, percent: int) -> DataFrame:
+    """The elements by which deltas of one hub can meet, with their place i in the delta, rarest elements first.
 
-    A prefix filter, which loses no link. Shingles are put in one order, rarest first. Two linked sets of m <= n shingles
-    share (m + n) * percent / (100 + percent) at least, so the first one they share is followed by nearly all the others
-    in both: only the fronts of the sets can hold it, and its place in one tells how large the other may be. Fronts meet
-    by shingle and class of size. Within a shingle the component with most rows is never met with itself, and a hot
-    shingle is dealt to many tasks. Pages of one template whose own part is about (100 - percent) / (100 + percent) of
-    them or more never meet; those with less, a few points below the threshold, do.
+    Sets that differ in s places at most have deltas that do so too: of m_a and m_b elements they share
+    (m_a + m_b - s) / 2, so the first one they share has nearly all of the others behind it. A set's own size bounds s.
+    What a set lacks of its hub is told apart like what it has besides, so pages of one template meet only if they
+    depart from it in the same places.
     """
-    p = percent
-    docs = stored(rows.groupBy("doc").agg(F.min("comp").alias("comp")))
-    texts = documents.select("doc_id", "text").join(small(docs.withColumnRenamed("doc", "doc_id")), "doc_id").dropDuplicates(["doc_id", "text"])
-    each = stored(texts.select("doc_id", "text", "comp").mapInArrow(_shingle_rows, "doc long, v long, comp long, n long, shingle long"))
-    common = stored(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 8"))  # rarer ones are equals, in front
-    place = F.row_number().over(Window.partitionBy("doc", "v").orderBy(F.coalesce("df", F.lit(0)), "shingle")) - 1
-    front = each.join(small(common), "shingle", "left").withColumn("i", place).where(f"{p} * n <= 100 * (n - i)").drop("df")
-    front = stored(front)
-    counts = front.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
+    each = stored(deltas.select("hub", "doc", "v", "comp", "n", "m", "delta").mapInArrow(_elements(percent), "hub long, doc long, v long, comp long, n long, m long, element long"))
+    common = stored(each.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    there = each.join(small(common), ["hub", "element"], "left")
+    place = F.row_number().over(Window.partitionBy("hub", "doc", "v").orderBy(F.coalesce("df", F.lit(1)), "element")) - 1
+    return stored(there.withColumn("i", place).where(f"df is not null and {percent} * i <= {100 - percent} * n").drop("df"))
+
+
+def _may_link(x: str, y: str, percent: int) -> str:
+    """Whether the places where two deltas first meet leave room for a link."""
+    n, p = f"({x}.n + {y}.n)", percent
+    free = f"floor({n} * {100 - p} / {100 + p})"
+    return f"100 * least({x}.n, {y}.n) >= {p} * greatest({x}.n, {y}.n) and {x}.m + {y}.m - {free} <= 2 * least({x}.m - {x}.i, {y}.m - {y}.i) and abs({x}.m - {y}.m) <= {free}"
+
+
+def _first_met(front: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each document with the first that has the same element, in another component."""
+    first = front.groupBy("hub", "element").agg(F.min_by(F.struct("doc", "v", "comp", "n", "m", "i"), F.struct("doc", "v")).alias("y"))
+    key = F.struct("hub", "element").alias("key")
+    both = join_skewed(front.select(key, F.struct("hub", "doc", "v", "comp", "n", "m", "i").alias("x")), stored(first.select(key, "y")), "key")
+    met = both.where(f"x.comp <> y.comp and {_may_link('x', 'y', percent)}")
+    return met.select("x.hub", F.struct("x.doc", "x.v").alias("a"), F.struct("y.doc", "y.v").alias("b")).distinct()
+
+
+def _rest(front: DataFrame, percent: int) -> DataFrame:
+    """All pairs of documents of different components that may link. Within an element the component with most rows is
+    never met with itself, and a hot element is dealt to many tasks."""
+    counts = front.groupBy("hub", "element", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub", "element")
     met = counts.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    met = small(stored(met.select("shingle", "major", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts"))))
-    marked = stored(front.join(met, "shingle").withColumn("minor", F.col("comp") != F.col("major")))
-    size_class = lambda n: F.floor(F.log(n.cast("double")) * 50).cast("int")
-    n, left = F.col("n"), F.col("n") - F.col("i")
-    as_smaller = marked.where(2 * p * n <= (100 + p) * left).withColumn("size_class", size_class(n))
-    largest = F.least(n, F.floor(left * (100 + p) / p) - n)
-    as_larger = marked.withColumn("size_class", F.explode(F.sequence(size_class(F.ceil(n * p / 100)), F.greatest(size_class(largest), size_class(F.ceil(n * p / 100))))))
-    own = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    met = stored(met.select(F.struct("hub", "element").alias("key"), "major", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts")))
+    rows = front.select(F.struct("hub", "element").alias("key"), F.struct("hub", "doc", "v", "comp", "n", "m", "i").alias("x"))
+    marked = stored(join_skewed(rows, met, "key").withColumn("minor", F.col("x.comp") != F.col("major")))
+    own = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("x.doc"), F.col("parts")).cast("int"))
     every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = None
-    for x, y in ((every(as_smaller.where("minor")), own(as_larger)), (own(as_smaller.where("not minor")), every(as_larger.where("minor")))):
-        keys = ["shingle", "size_class", "salt"]
-        a, b = x.select(*keys, *[F.col(c).alias(f"{c}_a") for c in ("doc", "comp", "n", "i")]), y.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("doc", "comp", "n", "i")])
-        both = a.join(b, keys).where(f"comp_a <> comp_b and n_a <= n_b and {p} * (n_a + n_b) <= {100 + p} * least(n_a - i_a, n_b - i_b)")
-        both = both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
-        pairs = both if pairs is None else pairs.union(both)
-    return pairs.distinct()
+    a = every(marked.where("minor")).select("key", "salt", "x", "minor")
+    b = own(marked).select("key", "salt", F.col("x").alias("y"), F.col("minor").alias("also"))
+    both = a.join(b, ["key", "salt"]).where(f"x.comp <> y.comp and (not also or x.doc < y.doc) and {_may_link('x', 'y', percent)}")
+    return both.select("x.hub", F.struct("x.doc", "x.v").alias("a"), F.struct("y.doc", "y.v").alias("b")).distinct()
+
+
+def _unshared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced_by_bytes(batches, 3):
+        x, y = ([np.frombuffer(d, np.uint64) for d in batch.column(k).to_pylist()] for k in (3, 4))
+        m = [len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(m, pa.int64())], ["a", "b", "n", "m"])
+
+
+def delta_links(pairs: DataFrame, deltas: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (hub, a, b; each a document and its v) of one hub, those that link: two sets differ where their deltas
+    do. A document that many pairs have is no task of its own."""
+    for side in ("a", "b"):
+        known = deltas.select(F.struct("hub", F.struct("doc", "v").alias("x")).alias("key"), F.struct("n", "delta").alias(f"d_{side}"))
+        pairs = join_skewed(pairs.withColumn("key", F.struct("hub", F.col(side).alias("x"))), known, "key", limit=0).drop("key")
+    both = pairs.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), (F.col("d_a.n") + F.col("d_b.n")).alias("n"), F.col("d_a.delta").alias("x"), F.col("d_b.delta").alias("y"))
+    sure = both.mapInArrow(_unshared, "a long, b long, n long, m long")
+    return stored(sure.where(_linked("m", "n", percent)).select("a", "b").distinct())
+
+
+def _by_deltas(unsettled: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """All links that are missing between components that share a bucket, or enough of them: documents of a bucket have its
+    first document for a hub, and meet by their deltas to it, first those of an element with its first document, then,
+    of components that are still apart, all that may link."""
+    first = stored(unsettled.groupBy("bucket").agg(F.min("doc").alias("hub")))
+    groups = stored(join_skewed(unsettled.select("bucket", "doc", "comp"), first, "bucket").select("hub", "doc", "comp").distinct())
+    deltas = stored(against(groups, sets))
+    found = stored(hub_links(deltas, percent))
+    front = fronts(deltas, percent)
+    more = delta_links(stored(_first_met(front, percent)), deltas, percent)
+    labels = stored(components(links.union(found).union(more)).select(F.col("node").alias("doc"), "label"))
+    later = join_skewed(front, labels, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label")
+    last = delta_links(stored(_rest(stored(later), percent)), deltas, percent)
+    for df in (groups, front):
+        forget(df)
+    return stored(found.union(more).union(last))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -264,8 +346,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     component_id is the smallest doc_id that links lead to, kept is true where that is the row's own. Sets that are
     equal are one class, whose members need no pairs. Candidates share all registers of a band. Components first grow
     by pairing each document with the one that most often comes first in its buckets; documents of components that
-    still share a bucket then meet in a prefix filter, which loses no link and does not pair up what merely shares a
-    template.
+    still share a bucket then meet by what they do not share with the first document of the bucket, which loses no link
+    and pairs up no pages that merely share a template.
 
     Null, empty and blank texts have no shingles and no links. Rows without a doc_id cannot be pointed at: their
     component_id is null and they are kept. Rows that share a doc_id are one node, linked by any of their texts. An
@@ -274,19 +356,20 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     documents = documents.select("doc_id", "text")
     sketched = stored(sketches(documents))
     rows = stored(buckets(sketched, percent))
-    unsettled = rows.withColumn("comp", F.col("doc"))
-    links, done = None, [rows]
-    for step in (_star, _star, _rest):
-        pairs = stored(step(unsettled, documents, percent))
-        found = linked(pairs, sketched, documents, percent)
+    sets = _sets(rows, documents)
+    unsettled, links, done = rows.withColumn("comp", F.col("doc")), None, [rows, sets]
+    for _ in range(2):
+        pairs = stored(likely(stored(_star(unsettled, percent)), sketched, percent))
+        found = against(pairs.select(F.col("b").alias("hub"), F.col("a").alias("doc"), F.lit(None).cast("long").alias("comp")), sets)
+        found = stored(hub_links(found, percent))
         links = found if links is None else links.union(found)
-        done.append(pairs)
-        if step is not _rest:
-            unsettled = _open(rows, components(links))
-            done.append(unsettled)
-    sets = sketched.where("n_shingles > 0 and doc_id is not null").select("doc_id", "key")
-    one = stored(sets.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"))
-    copies = join_skewed(sets, one, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        unsettled = _open(rows, components(links))
+        done += [pairs, unsettled]
+    if unsettled.limit(1).count():
+        links = links.union(_by_deltas(unsettled, sets, links, percent))
+    whole = sketched.where("n_shingles > 0 and doc_id is not null").select("doc_id", "key")
+    one = stored(whole.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"))
+    copies = join_skewed(whole, one, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     labels = components(links.union(copies)).select(F.col("node").alias("doc_id"), "label")
     for df in (*done, one):
         forget(df)
