@@ -176,7 +176,16 @@ def _sets(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_packed, "doc long, v long, n long, shingles binary").where("n > 0").dropDuplicates(["doc", "v"]))
 
 
-DELTAS = "hub long, doc long, v long, comp long, n long, n_hub long, m long, delta binary"
+#: Longs of a delta's parity: 64 bits each.
+PARITY = 8
+DELTAS = "hub long, doc long, v long, comp long, n long, n_hub long, m long, delta binary, " + ", ".join(f"p{k} long" for k in range(PARITY))
+
+
+def parity(delta: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITY classes of elements: whether their number is odd. Two deltas have as many unshared
+    elements as there are bits in which their parities differ, at least."""
+    odd = np.bincount((delta % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +200,9 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 assert h == hub
                 delta = np.setxor1d(found, own, assume_unique=True)
-                out.append((h, doc, v, comp, n, len(own), len(delta), delta.tobytes()))
+                out.append((h, doc, v, comp, n, len(own), len(delta), delta.tobytes(), *parity(delta).tolist()))
         if out:
-            kinds = [pa.int64()] * 7 + [pa.binary()]
+            kinds = [pa.int64()] * 7 + [pa.binary()] + [pa.int64()] * PARITY
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in DELTAS.split(", ")])
 
 
@@ -268,21 +277,27 @@ def fronts(deltas: DataFrame, percent: int) -> DataFrame:
     common = stored(each.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     there = each.join(small(common), ["hub", "element"], "left")
     place = F.row_number().over(Window.partitionBy("hub", "doc", "v").orderBy(F.coalesce("df", F.lit(1)), "element")) - 1
-    return stored(there.withColumn("i", place).where(f"df is not null and {percent} * i <= {100 - percent} * n").drop("df"))
+    front = there.withColumn("i", place).where(f"df is not null and {percent} * i <= {100 - percent} * n").drop("df")
+    return stored(front.join(deltas.select("hub", "doc", "v", *[f"p{k}" for k in range(PARITY)]), ["hub", "doc", "v"]))
+
+
+#: What a join of elements knows of a document.
+MET = ("hub", "doc", "v", "comp", "n", "m", "i", *(f"p{k}" for k in range(PARITY)))
 
 
 def _may_link(x: str, y: str, percent: int) -> str:
-    """Whether the places where two deltas first meet leave room for a link."""
+    """Whether the places where two deltas first meet leave room for a link, and their parities do."""
     n, p = f"({x}.n + {y}.n)", percent
     free = f"floor({n} * {100 - p} / {100 + p})"
-    return f"100 * least({x}.n, {y}.n) >= {p} * greatest({x}.n, {y}.n) and {x}.m + {y}.m - {free} <= 2 * least({x}.m - {x}.i, {y}.m - {y}.i) and abs({x}.m - {y}.m) <= {free}"
+    apart = " + ".join(f"bit_count({x}.p{k} ^ {y}.p{k})" for k in range(PARITY))
+    return f"{apart} <= {free} and 100 * least({x}.n, {y}.n) >= {p} * greatest({x}.n, {y}.n) and {x}.m + {y}.m - {free} <= 2 * least({x}.m - {x}.i, {y}.m - {y}.i) and abs({x}.m - {y}.m) <= {free}"
 
 
 def _first_met(front: DataFrame, percent: int) -> DataFrame:
     """Pairs of each document with the first that has the same element, in another component."""
-    first = front.groupBy("hub", "element").agg(F.min_by(F.struct("doc", "v", "comp", "n", "m", "i"), F.struct("doc", "v")).alias("y"))
+    first = front.groupBy("hub", "element").agg(F.min_by(F.struct(*MET[1:]), F.struct("doc", "v")).alias("y"))
     key = F.struct("hub", "element").alias("key")
-    both = join_skewed(front.select(key, F.struct("hub", "doc", "v", "comp", "n", "m", "i").alias("x")), stored(first.select(key, "y")), "key")
+    both = join_skewed(front.select(key, F.struct(*MET).alias("x")), stored(first.select(key, "y")), "key")
     met = both.where(f"x.comp <> y.comp and {_may_link('x', 'y', percent)}")
     return met.select("x.hub", F.struct("x.doc", "x.v").alias("a"), F.struct("y.doc", "y.v").alias("b")).distinct()
 
@@ -293,7 +308,7 @@ def _rest(front: DataFrame, percent: int) -> DataFrame:
     counts = front.groupBy("hub", "element", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub", "element")
     met = counts.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     met = stored(met.select(F.struct("hub", "element").alias("key"), "major", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts")))
-    rows = front.select(F.struct("hub", "element").alias("key"), F.struct("hub", "doc", "v", "comp", "n", "m", "i").alias("x"))
+    rows = front.select(F.struct("hub", "element").alias("key"), F.struct(*MET).alias("x"))
     marked = stored(join_skewed(rows, met, "key").withColumn("minor", F.col("x.comp") != F.col("major")))
     own = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("x.doc"), F.col("parts")).cast("int"))
     every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
