@@ -527,6 +527,51 @@ def scored_sort_all(spark, sf_dir):
     return spark.read.schema("c_custkey long, p double, risk_band string, place long").option("header", True).csv(path).select("place", "c_custkey", "p", "risk_band")
 
 
+_EDGES = [[float(t) for t in range(0, 10000, 1000)], [4.0, 9.0, 14.0, 19.0]]
+_LEVEL = """s$k AS (
+  SELECT node, f, t, sum(g) FILTER (x <= t) AS gl, count(*) FILTER (x <= t) * 0.25::DOUBLE AS hl, sum(g) AS gt, count(*) * 0.25::DOUBLE AS ht
+  FROM (SELECT node, g, f, t, CASE f WHEN 0 THEN a ELSE n END AS x FROM r$k, edges) GROUP BY node, f, t),
+b$k AS (SELECT node, f, t, gain FROM (SELECT *, gl * gl / (hl + 1.0::DOUBLE) + (gt - gl) * (gt - gl) / (ht - hl + 1.0::DOUBLE) - gt * gt / (ht + 1.0::DOUBLE) AS gain FROM s$k WHERE hl >= 1 AND ht - hl >= 1)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, t) = 1)"""
+
+
+@query(
+    f"""WITH edges AS (SELECT 0 AS f, unnest({_EDGES[0]})::DOUBLE AS t UNION ALL SELECT 1, unnest({_EDGES[1]})::DOUBLE),
+r0 AS (SELECT 0 AS node, c_acctbal::DOUBLE AS a, c_nationkey::DOUBLE AS n, 0.5::DOUBLE - (c_acctbal > 6500 AND c_nationkey > 7 OR c_mktsegment = 'BUILDING')::INT AS g FROM customer),
+{_LEVEL.replace('$k', '0')},
+r1 AS (SELECT 2 * r.node + CASE WHEN CASE f WHEN 0 THEN a ELSE n END <= t THEN 1 ELSE 2 END AS node, a, n, g FROM r0 r JOIN b0 USING (node)),
+{_LEVEL.replace('$k', '1')},
+r2 AS (SELECT 2 * r.node + CASE WHEN CASE f WHEN 0 THEN a ELSE n END <= t THEN 1 ELSE 2 END AS node, a, n, g FROM r1 r JOIN b1 USING (node)),
+v AS (SELECT node, -0.3::DOUBLE * sum(g) / (count(*) * 0.25::DOUBLE + 1.0::DOUBLE) AS value, count(*)::DOUBLE AS cover FROM (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2) GROUP BY node)
+SELECT v.node, CASE f WHEN 0 THEN 'c_acctbal' WHEN 1 THEN 'c_nationkey' END AS feature, t AS threshold, value, cover FROM v LEFT JOIN (FROM b0 UNION ALL FROM b1) b USING (node)"""
+)
+def boosted_tree(spark, sf_dir):
+    """The first tree of a boosted ensemble on all customers: each node's split, value and cover."""
+    from ..operators import trees
+
+    high = (F.col("c_acctbal") > 6500) & (F.col("c_nationkey") > 7) | (F.col("c_mktsegment") == "BUILDING")
+    rows = table(spark, sf_dir, "customer").withColumn("y", high.cast("int"))
+    model = trees.fit_boosted(rows, ["c_acctbal", "c_nationkey"], "y", rounds=1, depth=2, rate=0.3, edges=_EDGES)
+    t = model.trees[0]
+    nodes = [(k, model.features[f] if f >= 0 else None, t.threshold[k] if f >= 0 else None, t.value[k], t.cover[k]) for k, f in enumerate(t.feature)]
+    return spark.createDataFrame(nodes, "node int, feature string, threshold double, value double, cover double")
+
+
+@query(
+    """WITH r AS (SELECT c_custkey, c_acctbal <= 4500 AS a, c_nationkey <= 12 AS n FROM customer),
+v AS (SELECT c_custkey, 0.2 + 0.6 * (0.5 * -1.0 + 0.5 * 0.25) + 0.4 * 2.0 AS v0, 0.2 + CASE WHEN a THEN 0.5 * -1.0 + 0.5 * 0.25 ELSE 2.0 END AS va, 0.2 + 0.6 * CASE WHEN n THEN -1.0 ELSE 0.25 END + 0.4 * 2.0 AS vn,
+  0.2 + CASE WHEN NOT a THEN 2.0 WHEN n THEN -1.0 ELSE 0.25 END AS van FROM r)
+SELECT c_custkey, round(van::DOUBLE, 9) AS margin, round(v0::DOUBLE, 9) AS expected, round((((va - v0) + (van - vn)) / 2)::DOUBLE, 9) AS contribution_c_acctbal, round((((vn - v0) + (van - va)) / 2)::DOUBLE, 9) AS contribution_c_nationkey FROM v"""
+)
+def tree_explanations(spark, sf_dir):
+    """Margins of a fixed tree and what each feature adds to them, for every customer."""
+    from ..operators import trees
+
+    tree = trees.Tree((0, 1, -1, -1, -1), (4500.0, 12.0, 0.0, 0.0, 0.0), (True,) * 5, (1, 3, 0, 0, 0), (2, 4, 0, 0, 0), (0.0, 0.0, 2.0, -1.0, 0.25), (1000.0, 600.0, 400.0, 300.0, 300.0))
+    out = trees.explained(table(spark, sf_dir, "customer"), trees.Ensemble(("c_acctbal", "c_nationkey"), 0.2, (tree,)), "c_custkey")
+    return rounded(out.drop("probability"), 9)
+
+
 @query()
 def logistic_scores(spark, sf_dir):
     """A fitted pipeline's probability of low quality for each labelled document."""
