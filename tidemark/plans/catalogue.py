@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import evidence, scoring, temporal, training
+from ..operators import evidence, monitoring, scoring, temporal, training
 from ..operators.features import build_features, features_at
 
 AS_OF = "2024-01-24"
@@ -527,6 +527,78 @@ def scored_sort_all(spark, sf_dir):
     return spark.read.schema("c_custkey long, p double, risk_band string, place long").option("header", True).csv(path).select("place", "c_custkey", "p", "risk_band")
 
 
+_INACTIVE = """WITH p AS (SELECT user_id AS customer, t AS as_of FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL), (SELECT TIMESTAMP '2023-12-31' + INTERVAL (i) DAY AS t FROM range(34) r(i))),
+x AS (SELECT customer, as_of, max(ts) FILTER (ts <= as_of) AS last_event, min(ts) FILTER (ts > as_of) AS next_event FROM p LEFT JOIN events e ON e.user_id = customer AND ts <= TIMESTAMP '2024-01-28' GROUP BY ALL),
+o AS (SELECT *, CASE WHEN as_of > TIMESTAMP '2024-01-28' THEN 'after_observation' WHEN last_event IS NULL THEN 'never_active' WHEN last_event < as_of - INTERVAL 36 HOUR THEN 'already_inactive'
+  WHEN next_event <= as_of + INTERVAL 12 HOUR THEN 'active' WHEN as_of + INTERVAL 12 HOUR > TIMESTAMP '2024-01-28' THEN 'censored' ELSE 'inactive' END AS outcome FROM x)
+SELECT customer, strftime(as_of, '%Y-%m-%d') AS as_of, strftime(last_event, '%Y-%m-%d %H:%M:%S.%f') AS last_event, strftime(next_event, '%Y-%m-%d %H:%M:%S.%f') AS next_event, outcome, CASE outcome WHEN 'inactive' THEN 1 WHEN 'active' THEN 0 END AS label FROM o"""
+
+
+@query(_INACTIVE)
+def inactivity_labels(spark, sf_dir):
+    """Every user on every day: whether an event followed within twelve hours, as far as the log tells."""
+    events = table(spark, sf_dir, "events")
+    days = F.explode(F.sequence(F.lit("2023-12-31").cast("date"), F.lit("2024-02-02").cast("date")))
+    instants = events.where("user_id is not null").select(F.col("user_id").alias("customer")).distinct().select("customer", days.alias("day")).select("customer", F.col("day").cast("timestamp_ntz").alias("as_of"))
+    out = monitoring.label_inactivity(events, instants, customer="user_id", timestamp="ts", horizon=timedelta(hours=12), observation_end="2024-01-28", lookback=timedelta(hours=36))
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("last_event", "next_event")}
+    return out.withColumns(shown | {"as_of": F.date_format("as_of", "yyyy-MM-dd")}).select("customer", "as_of", "last_event", "next_event", "outcome", "label")
+
+
+@query(
+    """WITH v AS (SELECT col, val, sum(b) AS b, sum(c) AS c FROM (
+    SELECT unnest(['o_totalprice', 'priority', 'day']) AS col, unnest([CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice::DOUBLE END, left(o_orderpriority, 1)::DOUBLE, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::DOUBLE]) AS val, b, 1 - b AS c
+    FROM (SELECT *, (o_orderdate < TIMESTAMP '1998-01-01')::INT AS b FROM orders)) GROUP BY ALL),
+s AS (SELECT col, sum(b) AS of_b, sum(c) AS of_c, sum(b) FILTER (val IS NOT NULL) AS known FROM v GROUP BY col),
+p AS (SELECT v.*, CASE WHEN val IS NULL THEN -1 ELSE least(9, coalesce(10 * coalesce(sum(b) FILTER (val IS NOT NULL) OVER (PARTITION BY col ORDER BY val NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // nullif(known, 0), 0)) END AS bin, of_b, of_c FROM v JOIN s USING (col)),
+g AS (SELECT col, bin, sum(b) AS nb, sum(c) AS nc, greatest(sum(b)::DOUBLE / any_value(of_b)::DOUBLE, 1e-4) AS was, greatest(sum(c)::DOUBLE / any_value(of_c)::DOUBLE, 1e-4) AS now FROM p GROUP BY col, bin)
+SELECT col AS "column", bin::INT AS bin, nb::BIGINT AS n_baseline, nc::BIGINT AS n_current, round((now - was) * ln(now / was), 9) AS psi FROM g"""
+)
+def drift_bins(spark, sf_dir):
+    """Orders before 1998 against later ones: bins, counts and population stability of three columns."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderdate", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("o_totalprice"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("day")
+    )
+    old = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    return rounded(monitoring.drift(rows.where(old), rows.where(~old), ["o_totalprice", "priority", "day"]), 9)
+
+
+_REPLICATES = ", ".join(map(str, monitoring.replicates(40, 7)))
+_COPIES = " + ".join(f"(u >= {t!r}::DOUBLE)::INT" for t in monitoring.poisson_steps())
+_SCORES = "SELECT c_custkey, (c_mktsegment = 'BUILDING' OR c_acctbal > 7000)::INT::DOUBLE AS y, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (c_acctbal + 1000.0::DOUBLE) / 11000.0::DOUBLE)) AS p1, c_nationkey / 24.0::DOUBLE AS p2 FROM customer"
+
+
+@query(
+    f"""WITH r AS (SELECT ('0x' || md5(c_custkey::VARCHAR)[1:12])::BIGINT % {monitoring.PRIME} AS h, (p1 - y) * (p1 - y) AS e1, (p2 - y) * (p2 - y) AS e2 FROM ({_SCORES})),
+d(replicate, a, b) AS (VALUES (-1, 0, 0), {_REPLICATES}),
+u AS (SELECT replicate, e1, e2, (a::HUGEINT * h + b) % {monitoring.PRIME}::HUGEINT / {float(monitoring.PRIME)!r}::DOUBLE AS u FROM r, d),
+w AS (SELECT replicate, e1, e2, CASE WHEN replicate < 0 THEN 1 ELSE {_COPIES} END AS w FROM u)
+SELECT replicate, sum(w)::BIGINT AS weight, round(sum(w * e1) / sum(w), 9) AS champion, round(sum(w * e2) / sum(w), 9) AS challenger FROM w GROUP BY replicate"""
+)
+def challenger_replicates(spark, sf_dir):
+    """Two scores of every customer, compared in forty seeded replicates."""
+    y = (F.col("c_mktsegment") == "BUILDING") | (F.col("c_acctbal") > 7000)
+    rows = _risk(spark, sf_dir).select("c_custkey", y.cast("int").cast("double").alias("y"), F.col("p").alias("p1"), (F.col("c_nationkey") / F.lit(24.0)).alias("p2"))
+    return rounded(monitoring.paired_bootstrap(rows, "c_custkey", "y", "p1", "p2", n=40, seed=7), 9)
+
+
+@query(
+    """WITH l AS (SELECT o_custkey AS id, o_orderdate::TIMESTAMP AS told, o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30'),
+x AS (SELECT o_custkey AS id, max({'told': o_orderdate::TIMESTAMP + INTERVAL 45 DAY, 'y': (o_totalprice > 150000)::INT}) AS x FROM orders WHERE o_orderdate::TIMESTAMP + INTERVAL 45 DAY <= TIMESTAMP '1996-06-30' AND o_orderkey % 3 <> 0 GROUP BY 1),
+j AS (SELECT l.*, CASE WHEN x.x.told > l.told THEN x.x.told END AS known_at, CASE WHEN x.x.told > l.told THEN x.x.y END AS y FROM l LEFT JOIN x USING (id))
+SELECT o_orderkey::DOUBLE AS p, id, strftime(told, '%Y-%m-%d') AS predicted_at, strftime(known_at, '%Y-%m-%d') AS known_at, y, CASE WHEN known_at IS NOT NULL THEN 'labelled' WHEN told + INTERVAL 90 DAY > TIMESTAMP '1996-06-30' THEN 'pending' ELSE 'unlabelled' END AS state FROM j"""
+)
+def delayed_labels(spark, sf_dir):
+    """Predictions at every order, with what was known of the customer later, as of one day: outcomes come late, are restated
+    and sometimes never come."""
+    orders = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    predictions = orders.select(F.col("o_custkey").alias("id"), day.alias("predicted_at"), F.col("o_orderkey").cast("double").alias("p"))
+    outcomes = orders.where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("id"), (day + F.lit(timedelta(days=45))).alias("known_at"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
+    out = monitoring.matured(predictions, outcomes, "1996-06-30", timedelta(days=90))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("predicted_at", "known_at")})
+
+
 _EDGES = [[float(t) for t in range(0, 10000, 1000)], [4.0, 9.0, 14.0, 19.0]]
 _LEVEL = """s$k AS (
   SELECT node, f, t, sum(g) FILTER (x <= t) AS gl, count(*) FILTER (x <= t) * 0.25::DOUBLE AS hl, sum(g) AS gt, count(*) * 0.25::DOUBLE AS ht
