@@ -752,6 +752,54 @@ def delimited_stats(spark, sf_dir):
     return stats.select("column", "n_parsed", "n_failed", "n_missing", F.coalesce(tokens, F.lit("")).alias("tokens"))
 
 
+_HEADER = "id,id,,start_date,seen_on,rate,mixed,fee,life,note,"
+
+
+def _awkward(spark, sf_dir):
+    """part as delimited text with repeated and missing names, an empty column, spreadsheet dates, dates that can be read in
+    two ways, percentages, some percentages, two currencies, lakhs and texts that look like null."""
+    from ..session import scratch
+    from ..sources.delimited import read_table
+
+    k, path = F.col("p_partkey"), scratch(spark, "awkward")
+    text = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    cells = [
+        text(k), text(k), text(k % 5), text(k % 1000 + 40000), text(two(k % 12 + 1), "/", two(k % 11 + 1), "/2024"), text(k % 100, "%"), F.when(k % 10 == 0, "5%").otherwise(text(k % 7)), F.when(k % 2 == 0, text("$", k)).otherwise(text("€", k)),
+        text("₹", k, " lakh"), F.when(k % 3 == 0, "").when(k % 3 == 1, "n/a").otherwise("text"), F.lit(""),
+    ]
+    rows = table(spark, sf_dir, "part").repartitionByRange(k).sortWithinPartitions(k).select(F.concat_ws(",", *cells).alias("line"), F.monotonically_increasing_id().alias("at"))
+    rows.select(F.when(F.col("at") == 0, F.concat(F.lit(_HEADER + "\n"), "line")).otherwise(F.col("line")).alias("line")).write.text(path)
+    return read_table(spark, f"{path}/part-*.txt")
+
+
+@query(
+    """SELECT p_partkey::DOUBLE AS id, p_partkey::DOUBLE AS id_1, (p_partkey % 5)::DOUBLE AS column_3, strftime(DATE '1899-12-30' + INTERVAL (40000 + p_partkey % 1000) DAY, '%Y-%m-%d') AS start_date,
+  printf('%02d/%02d/2024', p_partkey % 12 + 1, p_partkey % 11 + 1) AS seen_on, (p_partkey % 100)::DOUBLE / 100.0::DOUBLE AS rate, CASE WHEN p_partkey % 10 <> 0 THEN (p_partkey % 7)::DOUBLE END AS mixed, p_partkey::DOUBLE AS fee, p_partkey * 1e5::DOUBLE AS life,
+  CASE p_partkey % 3 WHEN 1 THEN 'n/a' WHEN 2 THEN 'text' END AS note FROM part"""
+)
+def awkward_values(spark, sf_dir):
+    """Typed cells of awkward columns; the unnamed empty one is gone."""
+    out = _awkward(spark, sf_dir).frame.drop("source_file", "line_number")
+    return out.withColumn("start_date", F.date_format("start_date", "yyyy-MM-dd"))
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (p_partkey % 10 = 0) AS tenth, count(*) FILTER (p_partkey % 3 = 0) AS third FROM part),
+c(name, source_name, kind, unit, currency, decimal, date_format, ambiguous, warned) AS (VALUES ('id', 'id', 'numeric', NULL, NULL, '.', NULL, false, ''), ('id_1', 'id', 'numeric', NULL, NULL, '.', NULL, false, 'renamed'),
+  ('column_3', '', 'numeric', NULL, NULL, '.', NULL, false, ''), ('start_date', 'start_date', 'datetime', NULL, NULL, NULL, 'serial', false, 'serial'), ('seen_on', 'seen_on', 'text', NULL, NULL, NULL, NULL, true, 'ambiguous_date'),
+  ('rate', 'rate', 'numeric', 'percent', NULL, '.', NULL, false, ''), ('mixed', 'mixed', 'numeric', NULL, NULL, '.', NULL, false, 'partial_percent'), ('fee', 'fee', 'numeric', NULL, NULL, '.', NULL, false, 'mixed_currency'),
+  ('life', 'life', 'numeric', NULL, '₹', '.', NULL, false, 'multiplier'), ('note', 'note', 'text', NULL, NULL, NULL, NULL, false, 'null_like_text'))
+SELECT c.*, n - CASE name WHEN 'mixed' THEN tenth WHEN 'note' THEN third ELSE 0 END AS n_parsed, CASE name WHEN 'mixed' THEN tenth ELSE 0 END AS n_failed, CASE name WHEN 'note' THEN third ELSE 0 END AS n_missing FROM c, n"""
+)
+def awkward_columns(spark, sf_dir):
+    """What was decided of awkward columns, what was said of each, and how its cells fared."""
+    out = _awkward(spark, sf_dir)
+    rows = [(c.name, c.source_name, c.kind, c.unit, c.currency, c.decimal, c.date_format, c.ambiguous, ",".join(sorted(w.code for w in out.warnings if w.column == c.name))) for c in out.columns]
+    columns = spark.createDataFrame(rows, "name string, source_name string, kind string, unit string, currency string, decimal string, date_format string, ambiguous boolean, warned string")
+    return columns.join(out.stats.select(F.col("column").alias("name"), "n_parsed", "n_failed", "n_missing"), "name")
+
+
 @query("SELECT 'Parts of the shop' AS raw_line, 1::BIGINT AS line_number")
 def delimited_preamble(spark, sf_dir):
     return _delimited(spark, sf_dir).preamble.select("raw_line", "line_number")
