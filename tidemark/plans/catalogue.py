@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import evidence, monitoring, scoring, temporal, training
+from ..operators import calibration, evidence, monitoring, scoring, temporal, training
 from ..operators.features import build_features, features_at
 
 AS_OF = "2024-01-24"
@@ -527,6 +527,23 @@ def scored_sort_all(spark, sf_dir):
     return spark.read.schema("c_custkey long, p double, risk_band string, place long").option("header", True).csv(path).select("place", "c_custkey", "p", "risk_band")
 
 
+_OUTCOME = "(c_mktsegment = 'BUILDING' OR c_acctbal > 5000 AND c_custkey % 3 > 0)"
+
+
+@query(
+    f"""{_RISK}, g AS (SELECT floor(p * 100) / 100 AS score, sum({_OUTCOME}::INT) AS s, count(*) AS n FROM r GROUP BY 1),
+c AS (SELECT score, sum(s) OVER w AS s, sum(n) OVER w AS n, coalesce(sum(s) OVER b, 0) AS s0, coalesce(sum(n) OVER b, 0) AS n0 FROM g
+  WINDOW w AS (ORDER BY score ROWS UNBOUNDED PRECEDING), b AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT i.score, a.score AS a, min((b.s - a.s0)::DOUBLE / (b.n - a.n0)::DOUBLE) AS m FROM c i JOIN c a ON a.score <= i.score JOIN c b ON b.score >= i.score GROUP BY i.score, a.score),
+f AS (SELECT score, max(m) AS calibrated FROM m GROUP BY score)
+SELECT c_custkey, score, round(calibrated, 9) AS calibrated FROM r JOIN f ON score = floor(p * 100) / 100"""
+)
+def isotonic_scores(spark, sf_dir):
+    """Every customer's score in hundredths, calibrated to an outcome."""
+    rows = _risk(spark, sf_dir).select("c_custkey", (F.floor(F.col("p") * 100) / 100).alias("score"), F.expr(_OUTCOME).cast("int").alias("y"))
+    return rounded(calibration.calibrated(rows, calibration.isotonic(rows, "y", "score"), "score", "c_custkey").select("c_custkey", "score", "calibrated"), 9)
+
+
 _INACTIVE = """WITH p AS (SELECT user_id AS customer, t AS as_of FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL), (SELECT TIMESTAMP '2023-12-31' + INTERVAL (i) DAY AS t FROM range(34) r(i))),
 x AS (SELECT customer, as_of, max(ts) FILTER (ts <= as_of) AS last_event, min(ts) FILTER (ts > as_of) AS next_event FROM p LEFT JOIN events e ON e.user_id = customer AND ts <= TIMESTAMP '2024-01-28' GROUP BY ALL),
 o AS (SELECT *, CASE WHEN as_of > TIMESTAMP '2024-01-28' THEN 'after_observation' WHEN last_event IS NULL THEN 'never_active' WHEN last_event < as_of - INTERVAL 36 HOUR THEN 'already_inactive'
