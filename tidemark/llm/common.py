@@ -91,10 +91,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and survives the loss of any executor."""
+    """Write df to the shared folder and read it again: cuts lineage, and survives the loss of any executor. The table goes
+    when the driver ends, as lazy results may read it until then; see forget()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
