@@ -26,10 +26,12 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(root)
-    folder = f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/tidemark-{context.applicationId}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # only what exists can be marked
+    files.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
