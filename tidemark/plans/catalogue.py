@@ -358,6 +358,41 @@ def schema_proposal(spark, sf_dir):
     return roles.union(found.select(F.lit("finding"), "column", F.concat_ws(":", "rule", "severity"), F.lit(None).cast("double")))
 
 
+@query(
+    """WITH c AS (SELECT DATE '2024-01-01' + CAST(c_custkey % 200 AS INT) AS end_day, (c_mktsegment = 'BUILDING')::INT AS y FROM customer),
+n AS (SELECT count(*) FILTER (end_day > DATE '2024-06-30') AS late, max(end_day) AS latest, least(sum(y), count(*) - sum(y)) AS smaller FROM c)
+SELECT 'point' AS what, 'final_score' AS "column", 'single_column_auc:blocking' AS value, 'AUC 1.000 on its own' AS detail
+UNION ALL SELECT 'point', 'final_score', 'name_pattern:blocking', 'named like an outcome''s trace'
+UNION ALL SELECT 'point', 'cancel_note', 'name_pattern:blocking', 'named after the end of a relationship'
+UNION ALL SELECT 'point', 'status', 'name_pattern:warning', 'named like an outcome''s trace'
+UNION ALL SELECT 'point', 'end_day', 'post_window_datetime:blocking', late || ' values after 2024-06-30, the latest ' || strftime(latest, '%Y-%m-%d') FROM n WHERE late > 0
+UNION ALL SELECT 'left out', 'customer_id', 'unique in every row', NULL UNION ALL SELECT 'left out', 'region', 'says nothing', NULL
+UNION ALL SELECT 'refused', 'churned', '4', NULL UNION ALL SELECT 'accepted', 'churned', '4', NULL
+UNION ALL SELECT 'dated by', 'opened_on', NULL, NULL UNION ALL SELECT 'row key', 'customer_id', NULL, NULL"""
+)
+def review_settled(spark, sf_dir):
+    """A review of customers with columns that betray the outcome by name, by value and by date: its points, what it takes
+    to settle it, and what is left out then."""
+    from ..operators import leakage
+
+    k = F.col("c_custkey")
+    y = F.col("c_mktsegment") == "BUILDING"
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (k % n).cast("int"))
+    df = table(spark, sf_dir, "customer").select(
+        k.alias("customer_id"), F.when(y, "Yes").otherwise("No").alias("churned"), F.concat(F.lit("note "), k % 5).alias("cancel_note"), F.concat(F.lit("s"), k % 3).alias("status"),
+        (y.cast("int") * 1000 + k % 7).alias("final_score"), F.lit("north").alias("region"), day(200).alias("end_day"), day(90).alias("opened_on"),
+    )
+    found = leakage.review(df, outcome="churned", observation_end="2024-06-30")
+    rows = [("point", p["column"], f"{p.rule}:{p.severity}", p.detail) for p in found.points]
+    try:
+        found.settle("churned")
+    except leakage.NotSettled as e:
+        rows.append(("refused", "churned", str(len(e.open_points)), None))
+    settled = found.settle("churned", phrase=leakage.OVERRIDE_PHRASE)
+    rows += [("left out", c, why, None) for c, why in settled.left_out.items()] + [("accepted", settled.outcome, str(len(settled.accepted)), None), ("dated by", settled.dated_by, None, None), ("row key", settled.row_key, None, None)]
+    return spark.createDataFrame(rows, "what string, column string, value string, detail string")
+
+
 # -- cells of delimited text -------------------------------------------------------------------------------------------
 
 
