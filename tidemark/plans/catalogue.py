@@ -367,7 +367,7 @@ UNION ALL SELECT 'point', 'cancel_note', 'name_pattern:blocking', 'named after t
 UNION ALL SELECT 'point', 'status', 'name_pattern:warning', 'named like an outcome''s trace'
 UNION ALL SELECT 'point', 'end_day', 'post_window_datetime:blocking', late || ' values after 2024-06-30, the latest ' || strftime(latest, '%Y-%m-%d') FROM n WHERE late > 0
 UNION ALL SELECT 'left out', 'customer_id', 'unique in every row', NULL UNION ALL SELECT 'left out', 'region', 'says nothing', NULL
-UNION ALL SELECT 'refused', 'churned', '4', NULL UNION ALL SELECT 'accepted', 'churned', '4', NULL
+UNION ALL SELECT unnest(['refused', 'accepted']), 'churned', (3 + (late > 0)::INT)::VARCHAR, NULL FROM n
 UNION ALL SELECT 'dated by', 'opened_on', NULL, NULL UNION ALL SELECT 'row key', 'customer_id', NULL, NULL"""
 )
 def review_settled(spark, sf_dir):
