@@ -64,13 +64,13 @@ def closers(delimiter: str) -> tuple[re.Pattern, re.Pattern]:
     d = re.escape(delimiter.encode())
     field = rb'(?:"(?:[^"]|"")*+"[^%(d)s]*+|[^"%(d)s][^%(d)s]*+|)' % {b"d": d}
     rest = rb"(?:%(d)s%(field)s)*+" % {b"d": d, b"field": field}
-    return re.compile(field + rest), re.compile(rb'(?:[^"]|"")*+"[^%(d)s]*+' % {b"d": d} + rest)
+    return re.compile(field + rest + rb"\Z"), re.compile(rb'(?:[^"]|"")*+"[^%(d)s]*+' % {b"d": d} + rest + rb"\Z")
 
 
 def opened(state: int, line: bytes, delimiter: str) -> int:
     """1 if a line that begins in a state (1: inside quotes) ends inside quotes."""
     for part in line.split(b"\r") if b"\r" in line else (line,):
-        state = 0 if closers(delimiter)[state].fullmatch(part) else 1
+        state = 0 if closers(delimiter)[state].match(part) else 1
     return state
 
 
