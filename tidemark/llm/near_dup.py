@@ -297,7 +297,7 @@ def _first_met(front: DataFrame, percent: int) -> DataFrame:
     """Pairs of each document with the first that has the same element, in another component."""
     first = front.groupBy("hub", "element").agg(F.min_by(F.struct(*MET[1:]), F.struct("doc", "v")).alias("y"))
     key = F.struct("hub", "element").alias("key")
-    both = join_skewed(front.select(key, F.struct(*MET).alias("x")), stored(first.select(key, "y")), "key")
+    both = join_skewed(front.select(key, F.struct(*MET).alias("x")), stored(first.select(key, "y")), "key", limit=BROADCAST_ROWS // 8)  # rows of many longs
     met = both.where(f"x.comp <> y.comp and {_may_link('x', 'y', percent)}")
     return met.select("x.hub", F.struct("x.doc", "x.v").alias("a"), F.struct("y.doc", "y.v").alias("b")).distinct()
 
