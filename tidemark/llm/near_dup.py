@@ -304,12 +304,14 @@ def _first_met(front: DataFrame, percent: int) -> DataFrame:
 
 def _rest(front: DataFrame, percent: int) -> DataFrame:
     """All pairs of documents of different components that may link. Within an element the component with most rows is
-    never met with itself, and a hot element is dealt to many tasks."""
-    counts = front.groupBy("hub", "element", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub", "element")
-    met = counts.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    met = stored(met.select(F.struct("hub", "element").alias("key"), "major", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts")))
+    never met with itself, and a hot element is dealt to many tasks. Rows that stand too far back in their delta to link even
+    with the smallest delta and the largest set of the element are left out."""
+    counts = front.groupBy("hub", "element", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("m"), F.max("n").alias("n")).groupBy("hub", "element")
+    met = counts.agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps"), F.min("m").alias("least"), F.max("n").alias("most")).where("comps > 1")
+    met = stored(met.select(F.struct("hub", "element").alias("key"), "major", "least", "most", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts")))
     rows = front.select(F.struct("hub", "element").alias("key"), F.struct(*MET).alias("x"))
-    marked = stored(join_skewed(rows, met, "key").withColumn("minor", F.col("x.comp") != F.col("major")))
+    near = f"x.m + least - floor((x.n + most) * {100 - percent} / {100 + percent}) <= 2 * (x.m - x.i)"
+    marked = stored(join_skewed(rows, met, "key").where(near).withColumn("minor", F.col("x.comp") != F.col("major")).drop("least", "most"))
     own = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("x.doc"), F.col("parts")).cast("int"))
     every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     a = every(marked.where("minor")).select("key", "salt", "x", "minor")
