@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.compute as pc
@@ -22,6 +23,10 @@ HEAVY = 1000
 SLICE_ROWS = 512
 SLICE_BYTES = 1 << 20
 
+#: Bytes of the Arrow batches that Spark hands to Python under small_batches(), and the setting that says so.
+BATCH_BYTES = 4 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Longer keys are solved each time they come: a text without spaces is one key, as long as the text.
 LONGEST_KEY = 64
 
@@ -53,6 +58,20 @@ class Memo(dict):
         return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What is run inside hands Python batches of BATCH_BYTES, unless the session has a bound of its own: rows alone bound
+    no memory where texts or sets are long, as a task's batch is held by the executor and by its Python worker."""
+    own = spark.conf.get(BATCH, None)
+    if own is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH)
+
+
 def sliced(batches, rows: int = SLICE_ROWS):
     """The same rows in smaller Arrow batches, without copying."""
     for batch in batches:

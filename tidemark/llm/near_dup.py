@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import BROADCAST_ROWS, forget, join_skewed, sliced, sliced_by_bytes, small, stored, table
+from .common import BROADCAST_ROWS, forget, join_skewed, sliced, sliced_by_bytes, small, small_batches, stored, table
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -370,7 +370,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     component_id is null and they are kept. Rows that share a doc_id are one node, linked by any of their texts. An
     empty table gives no rows.
     """
-    documents = documents.select("doc_id", "text")
+    with small_batches(documents.sparkSession):
+        return _near_duplicates(documents.select("doc_id", "text"), percent)
+
+
+def _near_duplicates(documents: DataFrame, percent: int) -> DataFrame:
     sketched = stored(sketches(documents))
     rows = stored(buckets(sketched, percent))
     sets = _sets(rows, documents)
