@@ -293,13 +293,19 @@ def _may_link(x: str, y: str, percent: int) -> str:
     return f"{apart} <= {free} and 100 * least({x}.n, {y}.n) >= {p} * greatest({x}.n, {y}.n) and {x}.m + {y}.m - {free} <= 2 * least({x}.m - {x}.i, {y}.m - {y}.i) and abs({x}.m - {y}.m) <= {free}"
 
 
+def _once(met: DataFrame) -> DataFrame:
+    """Pairs (hub, a, b) of the met x and y, once each: documents that meet under several hubs are as far apart under each."""
+    x, y = F.struct("x.doc", "x.v"), F.struct("y.doc", "y.v")
+    return met.select(F.col("x.hub").alias("hub"), F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).groupBy("a", "b").agg(F.min("hub").alias("hub"))
+
+
 def _first_met(front: DataFrame, percent: int) -> DataFrame:
     """Pairs of each document with the first that has the same element, in another component."""
     first = front.groupBy("hub", "element").agg(F.min_by(F.struct(*MET[1:]), F.struct("doc", "v")).alias("y"))
     key = F.struct("hub", "element").alias("key")
     both = join_skewed(front.select(key, F.struct(*MET).alias("x")), stored(first.select(key, "y")), "key", limit=BROADCAST_ROWS // 8)  # rows of many longs
     met = both.where(f"x.comp <> y.comp and {_may_link('x', 'y', percent)}")
-    return met.select("x.hub", F.struct("x.doc", "x.v").alias("a"), F.struct("y.doc", "y.v").alias("b")).distinct()
+    return _once(met)
 
 
 def _rest(front: DataFrame, percent: int) -> DataFrame:
@@ -317,7 +323,7 @@ def _rest(front: DataFrame, percent: int) -> DataFrame:
     a = every(marked.where("minor")).select("key", "salt", "x", "minor")
     b = own(marked).select("key", "salt", F.col("x").alias("y"), F.col("minor").alias("also"))
     both = a.join(b, ["key", "salt"]).where(f"x.comp <> y.comp and (not also or x.doc < y.doc) and {_may_link('x', 'y', percent)}")
-    return both.select("x.hub", F.struct("x.doc", "x.v").alias("a"), F.struct("y.doc", "y.v").alias("b")).distinct()
+    return _once(both)
 
 
 def _unshared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
